@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op2_warc": OP2_SQL,
 }
