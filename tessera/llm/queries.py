@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .quality import op3_quality
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
