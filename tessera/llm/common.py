@@ -62,3 +62,32 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
     a = left.withColumn("__salt", salt_of(*spread, salts=salts))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*keys, "__salt"], "left").drop("__salt")
+
+
+def training_part(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Rows whose ``crc32(doc_id as text)`` isn't divisible by ``folds``."""
+    return df.where(F.col("doc_id").isNotNull() & ~held_out(folds))
+
+
+def held_out(folds: int = 5) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, stratum: str, rows: int, order: str = "doc_id") -> list:
+    """About ``rows`` rows of each stratum, at most twice that, on the driver; the same rows on every run.
+
+    Counts come first; then rows whose hash is below a stratum's share pass a filter,
+    so no stratum is sorted and only the sample moves.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(1_000).collect() if r[0] is not None}
+    if not counts:
+        return []
+    h = F.pmod(F.xxhash64(order, F.lit(17)), F.lit(1 << 32))
+    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, rows / n) * (1 << 32))))])
+    got = df.where(h < F.element_at(limit, F.col(stratum))).withColumn("__h", h).orderBy("__h", order).limit(2 * rows * len(counts)).collect()
+    out, seen = [], dict.fromkeys(counts, 0)
+    for r in got:
+        seen[r[stratum]] += 1
+        if seen[r[stratum]] <= 2 * rows:
+            out.append(r)
+    return out

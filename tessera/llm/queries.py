@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .language import op4_language
 from .quality import op3_quality
 from .warc import OP2_SQL, op2_warc
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
