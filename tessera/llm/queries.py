@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html_text import op5_html
 from .language import op4_language
 from .quality import op3_quality
 from .warc import OP2_SQL, op2_warc
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_html": op5_html,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
