@@ -147,8 +147,8 @@ class WordCache:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, width))
 
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """The sum of the rows of each list's words."""
+    def rows_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows of each list's words."""
         if len(self.at) > self.most:
             self.at = {}
         new = list(dict.fromkeys(w for ws in texts for w in ws if w not in self.at))
@@ -158,11 +158,11 @@ class WordCache:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[n:n + len(part)] = self.compute(part)
             self.at.update(zip(part, range(n, n + len(part)), strict=True))
-        out = np.zeros((len(texts), self.width))
-        for i, ws in enumerate(texts):
-            if ws:
-                out[i] = self.rows[np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0)
-        return out
+        return [self.rows[np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))] for ws in texts]
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the rows of each list's words."""
+        return np.array([r.sum(axis=0) for r in self.rows_of(texts)]).reshape(len(texts), self.width)
 
 
 def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:

@@ -6,6 +6,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op5_html
 from .language import op4_language
 from .quality import op3_quality
+from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_html": op5_html,
+    "op6_toxicity": op6_toxicity,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
