@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op5_html
 from .language import op4_language
@@ -16,8 +17,10 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_warc": OP2_SQL,
+    "op7_chat": OP7_SQL,
 }
