@@ -52,15 +52,20 @@ def salt_of(*cols: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts)).cast("int")
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], n: str = "n", salts: int = SALTS) -> DataFrame:
     """Left join to at most one row of ``right`` a key, where a key may hold any share of ``left``.
 
-    Left rows of a key are dealt by a hash of ``spread``; ``right`` (meant to be
-    small beside ``left``) is repeated for each salt. Both sides are exchanged for
-    the join alone, so adaptive execution can still split what is left.
+    ``right`` is a stored table whose column ``n`` says how many rows of ``left`` have
+    the key. Keys with more than a hundred-thousandth of all rows (and over 1,000)
+    are hot: there can be 100,000 of them at most, so their list is safe to broadcast.
+    Rows of a hot key are dealt over ``salts`` by a hash of ``spread``, and its row of
+    ``right`` is repeated for each salt; ``n`` isn't part of the result.
     """
-    a = left.withColumn("__salt", salt_of(*spread, salts=salts))
-    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(1_000, total // 100_000)
+    marked = left.join(F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    a = marked.withColumn("__salt", F.when(F.col("__hot"), salt_of(*spread, salts=salts)).otherwise(F.lit(0))).drop("__hot")
+    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(hot, salts - 1).otherwise(0)))).drop(n)
     return a.join(b, [*keys, "__salt"], "left").drop("__salt")
 
 

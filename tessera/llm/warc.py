@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import fresh_path, table
+from tessera.session import fresh_path, stored, table
 
 from .common import map_batches, salted_left_join
 
@@ -137,8 +137,8 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 100, segment_byt
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"))
     p = p.withColumn("twin", F.when(F.octet_length(html) >= min_revisit_bytes, F.col("digest")))
-    first = p.where("twin IS NOT NULL").groupBy("twin").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    held = salted_left_join(p, first, ["twin"], ["page_id"])
+    first = p.where("twin IS NOT NULL").groupBy("twin").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = salted_left_join(p, stored(first, "twins"), ["twin"], ["page_id"])
     schema = T.StructType([T.StructField("value", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
