@@ -7,6 +7,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op5_html
 from .language import op4_language
 from .quality import op3_quality
+from .secrets import op9_secrets
 from .simhash import op8_simhash
 from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
