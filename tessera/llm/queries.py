@@ -6,6 +6,7 @@ from .chat import OP7_SQL, op7_chat
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op5_html
 from .language import op4_language
+from .mixing import op10_mixing
 from .quality import op3_quality
 from .secrets import op9_secrets
 from .simhash import op8_simhash
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
+    "op10_mixing": op10_mixing,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
