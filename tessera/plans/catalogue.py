@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.plans import series_queries
+
 FLAGSHIP = "nav_kpis"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+_PARTS = (series_queries,)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
