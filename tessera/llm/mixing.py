@@ -54,7 +54,7 @@ def topic_of(text: Column) -> Column:
 
 def with_cells(docs: DataFrame) -> DataFrame:
     """``docs`` with ``mix_source, mix_lang, mix_topic, mix_tokens``."""
-    return docs.withColumns({
+    return docs.select(*[c for c in docs.columns if not c.startswith("mix_")]).withColumns({
         "mix_source": F.coalesce(F.col("source"), F.lit("?")),
         "mix_lang": F.coalesce(F.col("lang"), F.lit("?")),
         "mix_topic": topic_of(F.col("text")),
