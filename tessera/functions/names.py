@@ -73,9 +73,9 @@ def fold_key(c: Column) -> Column:
 
 
 def wikilink(c: Column) -> Column:
-    """What stands in the first double brackets, else the text without outer quotes."""
-    inner = F.regexp_extract(c, r"\[\[([^\]]+)\]\]", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^['\" ]+|['\" ]+$", "")))
+    """What stands in the first double brackets, else the text, without outer spaces and quotes."""
+    inner = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^.*?\[\[([^\]]+)\]\].*$", "$1")
+    return F.regexp_replace(inner, r"^['\"\s]+|['\"\s]+$", "")
 
 
 def clean_name(c: Column) -> Column:
@@ -111,17 +111,14 @@ def manager_name(c: Column) -> Column:
 
 
 def manager_core(c: Column) -> Column:
-    """The distinguishing part of a manager's name; the whole where nothing else is left."""
-    name = manager_name(c)
-    core = strip_company(strip_city(name))
-    core = F.when(core == "", name).otherwise(core)
-    for w in CORE_WORDS:
-        less = F.replace(core, F.lit(w), F.lit(""))
-        core = F.when(less == "", core).otherwise(less)
-    core = strip_city(core)
-    for w in CORE_TAILS:
-        core = F.regexp_replace(core, f"{w}$", "")
-    return F.when(core == "", name).otherwise(core)
+    """The distinguishing part of a manager's name; the whole where nothing else is left.
+
+    A fold over the words keeps the expression small: each step refers to the one before once.
+    """
+    less = lambda a, w, pattern: F.coalesce(F.nullif(F.regexp_replace(a, F.concat(w, F.lit(pattern)), F.lit("")), F.lit("")), a)
+    core = F.aggregate(F.array(*[F.lit(w) for w in CORE_WORDS]), strip_company(strip_city(manager_name(c))), lambda a, w: less(a, w, ""))
+    core = F.aggregate(F.array(*[F.lit(w) for w in CORE_TAILS]), strip_city(core), lambda a, w: less(a, w, "$"))
+    return F.coalesce(F.nullif(core, F.lit("")), manager_name(c))
 
 
 def identity_key(c: Column) -> Column:
@@ -148,7 +145,7 @@ def manager_aliases(c: Column) -> Column:
 def without_manager(product: Column, aliases: Column) -> Column:
     """A product's name without the longest manager's name it begins with."""
     name = clean_name(product)
-    hit = F.element_at(F.filter(aliases, lambda a: fold_key(name).startswith(fold_key(a))), 1)
+    hit = F.try_element_at(F.filter(aliases, lambda a: fold_key(name).startswith(fold_key(a))), F.lit(1))
     return F.coalesce(F.substr(name, F.length(hit) + 1), name)
 
 
@@ -196,7 +193,7 @@ def analyzed(df: DataFrame, product: str = "product_name", manager: str = "manag
     t = t.withColumn("canonical_name", F.when(F.col("is_generic"), canonical).otherwise(F.col("__clean")))
     suspicious = ~F.col("is_generic") & plain & ~has_family & F.col("__stem").rlike(r"^[一-鿿]{2,3}$")
     key = synonym_key(F.col("canonical_name"))
-    hit = F.element_at(F.filter("__aliases", lambda a: (synonym_key(a) != "") & key.startswith(synonym_key(a))), 1)
+    hit = F.try_element_at(F.filter("__aliases", lambda a: (synonym_key(a) != "") & key.startswith(synonym_key(a))), F.lit(1))
     return t.withColumns({
         "family": F.col("__family.code"),
         "quality_status": F.when(F.col("is_generic"), "weak_line").when(suspicious, "needs_review").otherwise("confirmed"),

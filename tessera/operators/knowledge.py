@@ -55,7 +55,12 @@ def relations(profiles: DataFrame, predicates: dict[str, str]) -> DataFrame:
     ``predicates`` maps a column (text or list) to its predicate.
     """
     kinds = dict(profiles.dtypes)
-    pairs = [F.transform(F.col(c) if kinds[c].startswith("array") else F.array(c), lambda x, p=p: F.struct(F.lit(p).alias("predicate"), F.trim(x).alias("object"))) for c, p in predicates.items()]
+
+    def pairs_of(column: str, predicate: str) -> Column:
+        values = F.col(column) if kinds[column].startswith("array") else F.array(column)
+        return F.transform(values, lambda x: F.struct(F.lit(predicate).alias("predicate"), F.trim(x).alias("object")))
+
+    pairs = [pairs_of(c, p) for c, p in predicates.items()]
     t = profiles.select("product_name", "manager", F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<predicate:string,object:string>>")) for p in pairs])).alias("r"))
     t = t.where("r.object IS NOT NULL AND r.object <> ''").select(F.col("product_name").alias("subject"), "r.predicate", "r.object", "manager", "product_name")
     return t.distinct()
@@ -154,7 +159,7 @@ def report_issues(reports: DataFrame, required: list[str], strict: bool = False)
     rule = lambda cond, level, name, detail: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(name).alias("rule"), detail.alias("detail")))
     found = F.array(
         rule(F.size(missing) > 0, "error", "sections", F.array_join(missing, ", ")),
-        rule(F.size(open_rows) > 0, "error", "table_breaks", F.element_at(open_rows, 1)),
+        rule(F.size(open_rows) > 0, "error", "table_breaks", F.try_element_at(open_rows, F.lit(1))),
         rule(F.size(widths) > 1, soft, "table_width", F.array_join(F.transform(widths, lambda n: n.cast("string")), ", ")),
         rule(F.size(priority) > 0, "error", "evidence_priority", F.array_join(priority, ", ")),
         rule(F.size(strength) > 0, soft, "evidence_strength", F.array_join(strength, ", ")),

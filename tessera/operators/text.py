@@ -35,7 +35,7 @@ def is_valid(c: Column, pages: Column | None = None, least: int = 50, per_page:
     counts = F.aggregate(F.array_sort(short), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("rep")), lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(1).alias("run"), (a["rep"] + F.when(x != a["last"], 0).when(a["run"] + 1 == 3, 3).when(a["run"] + 1 > 3, 1).otherwise(0)).alias("rep")))["rep"]
     repeated = F.when(F.size(short) > 0, counts / F.size(short)).otherwise(0.0)
     n = F.length(t)
-    return (n >= least) & (n / F.greatest(F.coalesce(pages, F.lit(1)), F.lit(1)) >= per_page) & (valid_ratio(t) >= least_valid) & (repeated <= most_repeated)
+    return (n >= least) & (n / F.greatest(F.lit(1) if pages is None else F.coalesce(pages, F.lit(1)), F.lit(1)) >= per_page) & (valid_ratio(t) >= least_valid) & (repeated <= most_repeated)
 
 
 def cut_at(c: Column, marks: list[str]) -> Column:
@@ -81,7 +81,7 @@ def to_markdown(rows: Column) -> Column:
     cell = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), cell), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(F.element_at(rows, 1)), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")).otherwise("")
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(F.try_element_at(rows, F.lit(1))), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")).otherwise("")
 
 
 def layout_lines(spans: DataFrame, gap: float = 3.0, edge: float = 0.1) -> DataFrame:
