@@ -125,7 +125,7 @@ def fit(bags: list[list[str]], labels: list[int], window: int, buckets: int = 1
     used, f = np.unique(f[known], return_inverse=True)
     owner = owner[known]
     total = np.maximum(np.bincount(doc, weights=per_word[word], minlength=len(bags)), 1)
-    share = 1 / total[doc]
+    share = (1 / total[doc]).astype(np.float32)
     by_word = np.argsort(word, kind="stable")
     by_f = np.argsort(f, kind="stable")
     f_start = np.searchsorted(f[by_f], np.arange(len(used)))
@@ -134,12 +134,12 @@ def fit(bags: list[list[str]], labels: list[int], window: int, buckets: int = 1
     owners, word_start = np.unique(owner, return_index=True)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     rng = np.random.default_rng(seed)
-    params = [rng.uniform(-0.01, 0.01, (len(used), dim)), rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)]
+    params = [rng.uniform(-0.01, 0.01, (len(used), dim)).astype(np.float32), rng.uniform(-1 / dim, 1 / dim, (dim, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [0.0] * 3
     target = np.stack([1 - y, y], axis=1)
     for step in range(1, steps + 1):
         e, w, b = params
-        v = np.zeros((len(vocab), dim))
+        v = np.zeros((len(vocab), dim), dtype=np.float32)
         v[owners] = np.add.reduceat(e[f], word_start)
         h = np.zeros((len(bags), dim))
         h[d_rows] = np.add.reduceat(v[word] * share[:, None], d_start)
@@ -148,12 +148,12 @@ def fit(bags: list[list[str]], labels: list[int], window: int, buckets: int = 1
         p /= p.sum(axis=1, keepdims=True)
         dz = (p - target) * weight[:, None]
         dh = dz @ w.T
-        dv = np.add.reduceat((dh[doc] * share[:, None])[by_word], w_start)
+        dv = np.add.reduceat((dh.astype(np.float32)[doc] * share[:, None])[by_word], w_start)
         de = np.add.reduceat(dv[owner[by_f]], f_start)
         for k, g in enumerate((de + decay * e, h.T @ dz, dz.sum(axis=0))):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * np.mean(g * g)
-            params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            params[k] = (params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(params[k].dtype)
     e, w, b = params
     weights = np.zeros(buckets)
     weights[used] = e @ (w[:, 1] - w[:, 0])
@@ -165,12 +165,13 @@ def fit_passages(texts: list[str], labels: list[int], window: int = 12, rounds:
 
     Every ``calibrate``-th text is left out of that and sets the bias: the one with the fewest wrong verdicts.
     """
-    words = [words_of(t) for t in texts]
+    same: dict[str, str] = {}
+    words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]  # one object a word, however often it occurs
     rng = np.random.default_rng(11)
     fitted = [i for i in range(len(texts)) if words[i] and i % calibrate]
     bags, marks = [], []
     for i in fitted:
-        at = [0] if len(words[i]) <= 4 * window else rng.integers(0, len(words[i]) - 4 * window, 4).tolist()
+        at = [0] if len(words[i]) <= 4 * window else rng.integers(0, len(words[i]) - 4 * window, 2).tolist()
         bags += [words[i][k:k + 4 * window] for k in at]
         marks += [labels[i]] * len(at)
     model = fit(bags, marks, window, **how)
