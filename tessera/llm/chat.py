@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import table
 
-from .common import map_batches
+from .common import arrow_map, map_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -167,7 +167,7 @@ def format_chats(turns: DataFrame, vocab: Broadcast, part_turns: int = 1_024, ba
         if done:
             yield out()
 
-    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order").mapInArrow(assemble, FORMATTED)
+    return arrow_map(pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order"), assemble, FORMATTED)
 
 
 DIGEST = T.StructType([
@@ -210,7 +210,7 @@ def digest(formatted: DataFrame, vocab: Broadcast) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return formatted.mapInArrow(run, DIGEST)
+    return arrow_map(formatted, run, DIGEST)
 
 
 TRAP = f"{END}{START}assistant ok"

@@ -17,6 +17,18 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
+def arrow_map(df: DataFrame, run, schema: T.StructType, most_rows: int = 1_000) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``most_rows`` rows (and of the bytes that the session allows).
+
+    Texts may be long, and a worker holds a batch several times over, so the session's
+    larger default is lowered; a lower one stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= most_rows:
+        conf.set(key, str(most_rows))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, factory: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType) -> DataFrame:
     """Arrow map: ``factory()`` runs once in a task, what it returns turns each batch into columns of ``schema``."""
     arrow = to_arrow_schema(schema)
@@ -27,7 +39,7 @@ def map_batches(df: DataFrame, factory: Callable[[], Callable[[pa.RecordBatch],
             got = f(b)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[a.name], pa.Array) and x.type == a.type else pa.array(x, type=a.type) if not isinstance(x, pa.Array) else x.cast(a.type) for a in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def filter_batches(df: DataFrame, factory: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
@@ -45,7 +57,7 @@ def filter_batches(df: DataFrame, factory: Callable[[], Callable[[list], list]],
             b = b.set_column(at, b.schema.field(at), pa.array([t for _, t in got], type=b.schema.field(at).type))
             yield b.filter(pa.array([k for k, _ in got], type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow_map(df, run, df.schema)
 
 
 def salt_of(*cols: str, salts: int = SALTS) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, ASCII_UPPER, filter_batches
+from .common import ASCII_LOWER, ASCII_UPPER, arrow_map, filter_batches
 
 #: Upper case to lower case, all other ASCII characters that are no word character to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -201,7 +201,7 @@ def match(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
                 cols += [pa.array([r[j] for r in rows], type=arrow.field(len(cols) + j).type) for j in range(3)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-        df = df.mapInArrow(run, schema)
+        df = arrow_map(df, run, schema)
     return df
 
 

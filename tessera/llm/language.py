@@ -142,7 +142,7 @@ PREDICTED = T.StructType([
 class WordCache:
     """Rows of numbers by word; unknown words of a batch are worked out together. Emptied when full."""
 
-    def __init__(self, compute, width: int, most: int = 400_000):
+    def __init__(self, compute, width: int, most: int = 150_000):
         self.compute, self.width, self.most = compute, width, most
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, width))

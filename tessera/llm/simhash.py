@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import stored, table
 
-from .common import map_batches, salted_left_join
+from .common import arrow_map, map_batches, salted_left_join
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
@@ -234,7 +234,7 @@ def links(reps: DataFrame, budget: int = 4, chunk: int = 4_096, gather: int = 10
         if held:
             yield joined({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
-    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, EDGES)
+    return arrow_map(dealt.repartition(*names).sortWithinPartitions(*names), run, EDGES)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

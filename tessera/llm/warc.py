@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import fresh_path, stored, table
 
-from .common import map_batches, salted_left_join
+from .common import arrow_map, map_batches, salted_left_join
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -147,7 +147,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 100, segment_byt
             rows = [r for page in zip(*cols, strict=True) for r in records_of(*page, segment_bytes, chunk_bytes, date)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.string())], names=["value"])
 
-    held.mapInArrow(run, schema).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    arrow_map(held, run, schema).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
     return path
 
 
@@ -218,7 +218,7 @@ def read(spark: SparkSession, path: str, segments: bool) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return arrow_map(spark.read.format("binaryFile").load(path).select("content"), run, RECORD)
 
 
 DECODED = T.StructType([*RECORD.fields[:6], T.StructField("payload", T.BinaryType()), T.StructField("status", T.StringType())])
