@@ -281,3 +281,71 @@ def sessionized(spark, sf):
     t = table(spark, sf, "events").withColumn("new", F.when(gap <= 6 * 3600, 0).otherwise(1))
     t = t.withColumn("session", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return t.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- trends, comparisons and the knowledge base on invented notes
+
+
+@query(f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, value AS w, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS x FROM events)
+SELECT {_D.format('day')} AS day, event_type, round(sum(w * x) / sum(w) FILTER (x IS NOT NULL), 6) AS exposure, round(coalesce(sum(w) FILTER (x IS NOT NULL), 0) / sum(w), 6) AS coverage FROM e GROUP BY 1, 2""")
+def exposure_trend(spark, sf):
+    from tessera.operators.attribution import weighted_exposure
+
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_type", F.col("value").alias("weight"), F.when(F.col("event_id") % 5 != 0, F.get_json_object("props", "$.k").cast("double")).alias("exposure"))
+    return rounded(weighted_exposure(e, ["day", "event_type"]))
+
+
+@query(f"""WITH {V.FACTOR}, r AS (SELECT series, day, nav / first(nav) OVER (PARTITION BY series ORDER BY day) AS v FROM factor)
+SELECT a.series AS series, {_D.format('a.day')} AS day, round(a.v - b.v, 6) AS excess FROM r a JOIN r b ON a.day = b.day AND b.series = 'view' WHERE a.series <> 'view'""")
+def benchmark_comparison(spark, sf):
+    first = F.first("nav").over(W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+    r = V.factor(spark, sf).withColumn("v", F.col("nav") / first)
+    b = r.where("series = 'view'").select("day", F.col("v").alias("b"))
+    return rounded(r.where("series <> 'view'").join(b, "day").select("series", "day", (F.col("v") - F.col("b")).alias("excess")))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 1 DAY - INTERVAL 1 DAY * 30, '%Y-%m-%d') AS prev_begin, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS prev_end FROM orders")
+def analysis_windows(spark, sf):
+    from tessera.operators.attribution import previous_window
+
+    d = F.to_date("o_orderdate")
+    a, b = previous_window(d, F.date_add(d, 30))
+    return rounded(table(spark, sf, "orders").select("o_orderkey", a.alias("prev_begin"), b.alias("prev_end")))
+
+
+@query("""WITH t AS (SELECT n_name, s_name, s_acctbal / 10000 AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY c DESC, s_name) AS rn FROM t WHERE c > 0)
+SELECT n_name, string_agg(s_name, '，' ORDER BY rn) AS names FROM r WHERE rn <= 2 GROUP BY 1""")
+def top_names(spark, sf):
+    from tessera.plans.report import top_text
+
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    t = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("n_name", "s_name", (F.col("s_acctbal") / 10_000).alias("c"))
+    return top_text(t, ["n_name"], "s_name", "c").select("n_name", F.regexp_replace("text", "（[^）]*）", "").alias("names"))
+
+
+@query("""SELECT n_nationkey, n_name, string_agg(s_name, chr(10) ORDER BY s_name) AS products FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""")
+def manager_rollup(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    t = s.join(n, s["s_nationkey"] == n["n_nationkey"])
+    return t.groupBy("n_nationkey", "n_name").agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("products"))
+
+
+def _notes(spark):
+    note = lambda path, manager, entity, body: (path, f"---\nentity_type: product\nmanager: {manager}\nprimary_entity: '[[{entity}]]'\nmain_strategies: [{body}]\n---\n{entity} 的策略是{body}。\n")
+    return spark.createDataFrame([note("a.md", "双隆", "双隆隆元1号", "商品CTA"), note("b.md", "双隆", "隆元一号", "趋势CTA"), note("c.md", "平方和", "中证1000指数增强产品", "1000指增"), note("d.md", "平方和", "平方和财赢1号", "量化多头")], "path string, content string")
+
+
+@query()
+def profile_build(spark, sf):
+    from tessera.plans.profiles import build
+
+    return build(_notes(spark))["profiles"].select("canonical_key", "product_name", "manager", "primary_tag", "quality_status", "fragments")
+
+
+@query()
+def profile_search(spark, sf):
+    from tessera.operators.retrieval import search, with_defaults
+    from tessera.plans.profiles import build
+
+    p = with_defaults(build(_notes(spark))["profiles"].drop("tag_confidence", "tag_review_status", "path"))
+    return search(p, "哪些管理人有商品CTA策略", 5).select("rank", "product_name", "manager", "score", "satisfied")

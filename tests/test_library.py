@@ -215,3 +215,52 @@ def test_unnesting(spark):
     assert [tuple(r) for r in A.unnested_bars(spark.createDataFrame([(bar,)], "bar string")).collect()] == [(dt.date(2024, 1, 7), 1, "a", 0.1, 1.1)]
     wide = spark.createDataFrame([(1, "0.5", 2.0)], "k int, `甲贡献` string, `甲收益` double")
     assert {(r["name"], r["measure"], r["value"]) for r in A.unpivoted(wide, ["k"], {"贡献": "c", "收益": "r"}).collect()} == {("甲", "c", 0.5), ("甲", "r", 2.0)}
+
+
+def test_profile_build(spark):
+    from tessera.plans import market_queries as Q
+    from tessera.plans import profiles as P
+
+    files = Q._notes(spark)
+    got = P.build(files)
+    rows = {r["product_name"]: r for r in got["profiles"].collect()}
+    assert len(rows) == 3 and sorted(r["fragments"] for r in rows.values()) == [1, 1, 2]
+    assert got["relations"].where("predicate = 'managed_by' AND object = '双隆'").count() == 1
+    assert got["status"].first()["status"] == "error"
+    body = '---\nentity_type: odd\nmentioned_products_simple:\n  - "[[甲一号]]"\n  - 乙二号\n---\n<!-- SYSTEM_MENTIONED_PRODUCTS not json -->'
+    parsed = P.notes(spark.createDataFrame([("x.md", body)], "path string, content string"))
+    assert parsed.first()["mentioned"] == ["甲一号", "乙二号"]
+    assert {r["kind"] for r in P.note_issues(parsed, ["manager"]).collect()} == {"missing_fields", "unknown_entity_type", "unreadable_products"}
+    assert sorted(r["product_name"] for r in P.fragments(parsed).collect()) == ["乙二号", "甲一号"]
+    assert P.manager_pages(got["profiles"]).where("manager = '双隆'").first()["markdown"].startswith("# 双隆\n\n- [[")
+    assert {r["quality_status"] for r in P.quality_report(got["profiles"]).collect()} == {"confirmed", "weak_line"}
+
+
+def test_lifecycle_and_plans(spark):
+    from tessera.plans import profiles as P
+
+    man = spark.createDataFrame([("a", "h1", 1, "r", "success", "na"), ("b", "h2", 1, "r", "success", "nb"), ("b", "h2", 2, "r", "failed", "nb"), ("c", "h3", 1, "r", "success", "nc")], "source_path string, sha256 string, parsed_at int, run_id string, status string, source_note_path string")
+    here = spark.createDataFrame([("b",), ("c",), ("na",)], "path string")
+    assert {(r["source_path"], r["kind"]) for r in P.lifecycle_issues(man, here).collect()} == {("a", "source_missing"), ("b", "parse_failed"), ("c", "note_missing")}
+    files = spark.createDataFrame([("x", "h1"), ("y", "h9")], "path string, sha256 string")
+    assert [r["path"] for r in P.changed_only(files, man).collect()] == ["y"]
+    md = spark.createDataFrame([("v.md", "## 标签\n| label | code |\n| --- | --- |\n| 低波动 | A |\n| 高 | B |\n## 下\n")], "path string, content string")
+    words = P.vocabulary(md, "## 标签", ["label", "code"])
+    assert [(r["label"], r["code"]) for r in words.collect()] == [("低波动", "A"), ("高", "B")]
+    assert [r["code"] for r in P.labels_like(words, "低波").collect()] == ["A"] and [r["code"] for r in P.labels_like(words, "高").collect()] == ["B"]
+    funds = spark.createDataFrame([("f",), ("g",)], "fund string")
+    reports = spark.createDataFrame([("f", "p1", 1), ("f", "p2", 2)], "fund string, path string, stamp int")
+    assert {r["fund"]: (r["report"], r["action"]) for r in P.audit_plan(funds, reports).collect()} == {"f": ("p2", "reuse"), "g": (None, "audit")}
+    assert [r["call"] for r in P.documented_calls(spark.createDataFrame([("a", "### x `fund_nav(a, b)`\ntext\n## pm_nav()")], "path string, content string")).collect()] == ["fund_nav", "pm_nav"]
+
+
+def test_report(spark):
+    from tessera.plans import report as T
+
+    k = S.nav_kpis(nav(spark, [1.0, 1.1, 1.05]), "2024-01-01", "2024-01-03")
+    strat = spark.createDataFrame([("x", 0.02), ("y", 0.01)], "strategy string, contribution double")
+    tracks = spark.createDataFrame([("t1", 0.01), ("t2", -0.005)], "track string, contribution double")
+    text = T.summary("P", k, strat, tracks)
+    assert "3.00%" in text and "t1（100.0bp）" in text and "t2（-50.0bp）" in text
+    hint = spark.createDataFrame([("size", 0.5), ("size", -0.5), ("size", 0.01), ("odd", 1.0)], "f string, e double").select(T.factor_hint(F.col("f"), F.col("e")).alias("h"))
+    assert [r["h"] for r in hint.collect()] == ["偏大盘", "偏小盘", "中性", "正暴露"]
