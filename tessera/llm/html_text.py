@@ -40,7 +40,7 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 _DROP = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select textarea input label option dialog menu map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note status".split())
-_BAD = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager paging toolbar footer footnav masthead sidebar aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular outbrain taboola comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall share sharing social follow search skip skiplink legal copyright disclaimer toc tags byline".split())
+_BAD = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager paging toolbar footer footnav masthead sidebar aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular outbrain taboola comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall share sharing social follow search skip skiplink legal copyright disclaimer toc".split())
 _WEAK = frozenset("header meta info tools extra".split())
 _GOOD = frozenset("article main content post entry story text body page".split())
 #: Names by which an element says that it holds the article.
@@ -120,21 +120,50 @@ def unwanted(x: Node, inside: bool) -> bool:
     if a.get("role", "").lower() in _ROLES:
         return True
     parts = [p.lower() for p in _NAME_PART.findall(f"{a.get('class', '')} {a.get('id', '')}")]
-    if not parts or x.tag in ("a", "span", "b", "i", "em", "strong", "p") and not {"ad", "ads", "advert", "sponsored"} & set(parts):
+    if not parts or x.tag in ("a", "span", "b", "i", "em", "strong") and not {"ad", "ads", "advert", "sponsored"} & set(parts):
         return False
     bad = [p for p in parts if p in _BAD]
     good = [p for p in parts if p in _GOOD]
     if not bad:
-        return bool([p for p in parts if p in _WEAK]) and not good and not inside and x.tag != "article"
+        return bool([p for p in parts if p in _WEAK]) and not good and not inside and x.tag != "article" and not find(x, ("article", "main"))
+    if not {"comment", "comments", "related", "recommended"} & set(bad) and find(x, ("article", "main")) is not None:
+        return False  # a frame round the article, named after what else it holds
     return {"with", "has", "no"}.isdisjoint(parts)
 
 
+#: Headings of what follows an article.
+_AFTER = re.compile(r"(?i)^\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|leave a (?:reply|comment)|join the discussion|responses?|related(?: \w+)?|read (?:more|next)|more (?:stories|from .*)|you may also like|share this|advertisement|newsletter|subscribe|kommentare|commentaires|comentarios)\W*(?:\(?\d+\)?)?\W*$")
+
+
+def headed_after(x: Node) -> bool:
+    """Whether a block's first content is a heading that announces comments, other articles or the like."""
+    if x.tag not in ("section", "div", "aside", "article"):
+        return False
+    for k in x.kids:
+        if isinstance(k, str):
+            if k.strip():
+                return False
+        elif k.tag in _HEADING:
+            return bool(_AFTER.match(" ".join("".join(texts(k)).split())))
+        else:
+            return headed_after(k) if k.tag in ("div", "header") and x.tag != "article" else False
+    return False
+
+
+def texts(x: Node):
+    for k in x.kids:
+        if isinstance(k, str):
+            yield entities.unescape(k)
+        else:
+            yield from texts(k)
+
+
 def prune(x: Node, inside: bool = False) -> None:
     inside = inside or x.tag == "article"
     kids = []
     for k in x.kids:
         if isinstance(k, Node):
-            if unwanted(k, inside):
+            if unwanted(k, inside) or headed_after(k) and not find(k, ("main",)):
                 continue
             if k.tag == "header":  # of an article: its headings stay
                 keep_headings(k)
@@ -298,14 +327,26 @@ def flatten(root: Node, most: int = 200) -> None:
 def main_text(page: str | None, least_chars: int = 25, least_share: float = 0.2) -> str:
     if not page:
         return ""
-    root = tree(page)
-    flatten(root)
-    prune(root)
-    count(root)
-    kept = chosen(root, least_chars, least_share)
-    if not kept:
-        kept = [find(root, ("article",)) or find(root, ("main",)) or find(root, ("body",)) or root]
-    return "\n\n".join(t for x in kept for t in blocks(x))
+    for strip in (prune, bare):
+        root = tree(page)
+        flatten(root)
+        strip(root)
+        count(root)
+        kept = chosen(root, least_chars, least_share) or [find(root, ("article",)) or find(root, ("main",)) or find(root, ("body",)) or root]
+        if got := [t for x in kept for t in blocks(x)]:
+            return "\n\n".join(got)
+    return ""
+
+
+_NO_TEXT = frozenset("head script style noscript template iframe object embed svg math audio video select textarea button input".split())
+
+
+def bare(x: Node) -> None:
+    """For a page of which :func:`prune` leaves nothing, such as one inside a single form: without what is no text."""
+    x.kids = [k for k in x.kids if isinstance(k, str) or k.tag not in _NO_TEXT]
+    for k in x.kids:
+        if isinstance(k, Node):
+            bare(k)
 
 
 EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

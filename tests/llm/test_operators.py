@@ -221,6 +221,11 @@ PAGES = {
     "short": ("<p>hi", "hi"),
     "none": (None, ""),
     "empty": ("", ""),
+    "frame": ("<body><div class='layout sidebar-right'><main><p>The text that is meant, with enough words in it.</p></main><aside><p>Other things of this kind, and so on, and on.</p></aside></div>", "The text that is meant, with enough words in it."),
+    "wholeform": ("<body><form><div><p>All of the page is in a form, as some systems do.</p></div></form></body>", "All of the page is in a form, as some systems do."),
+    "headed": ("<body><div><div><h1>Title here</h1><p>Body of the text, of a length that will do.</p><p>More of the body, again with a comma, yes.</p></div><section><h2>3 Comments</h2><div><p>I say this, and that, and even more of it here.</p></div></section></div>", "Title here\n\nBody of the text, of a length that will do.\n\nMore of the body, again with a comma, yes."),
+    "notice": ("<article><p class='notice'>We changed our terms, please read them, now.</p><p>Only this sentence belongs to the article.</p></article>", "Only this sentence belongs to the article."),
+    "menus": ("<body><div><ul><li><a href=a>One thing</a></li><li><a href=b>Another thing</a></li><li><a href=c>A third thing of them</a></li></ul></div><div><p>What is written here, in full sentences, counts.</p><p>And so does this, which follows on it, of course.</p></div>", "What is written here, in full sentences, counts.\n\nAnd so does this, which follows on it, of course."),
     "entities": ("<article><p>a &lt;b&gt; &#233; &eacute;\n\t c, d, e and further words</p></article>", "a <b> é é c, d, e and further words"),
 }
 
@@ -423,6 +428,13 @@ def test_secrets_findings_and_redaction(spark, forest):
     assert secrets.redact(docs.limit(0), forest).count() == 0 and secrets.findings(docs.limit(0), forest).count() == 0
 
 
+def test_sums_before(spark):
+    for n in (1, 2, 255, 256, 257, 1000):
+        xs = [k % 7 for k in range(n)]
+        got = spark.createDataFrame([(xs,)], "w array<int>").select(secrets.sums_before("w").alias("x")).first()["x"]
+        assert got == [sum(xs[:k]) for k in range(n)]
+
+
 # --- 10: mixing
 
 
