@@ -224,12 +224,21 @@ def judged(text: Column, forest: Forest, threshold: float = 0.5) -> Column:
     return F.transform(scored, lambda x: F.struct(*[x["s"][c].alias(c) for c in ("gap", "lead", "value", "before", "after", "tail")], x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret")))
 
 
+def sums_before(numbers: str, block: int = 256) -> Column:
+    """For each element of an array column the sum of those before it: within blocks, then over blocks' totals."""
+    add = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all"))
+    fold = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda k: fold(F.slice(numbers, k * block + 1, F.lit(block))))
+    starts = lambda bs: fold(F.transform(bs, lambda b: b["sum"]))["all"]
+    return F.flatten(F.zip_with(blocks, starts(blocks), lambda b, at: F.transform(b["all"], lambda x: x + at)))
+
+
 def findings(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """One row a candidate: its place (code points from 0), a digest, never the value itself, and the verdict."""
     rows = docs.select("doc_id", judged(F.col("text"), forest, threshold).alias("found")).where("found IS NOT NULL")
     width = lambda x: x["gap"] + F.length(x["lead"]) + F.length(x["value"]) + F.length(x["tail"])
-    # running sums in one pass: the fold carries the list of places so far
-    places = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + width(x)).alias("at"), F.concat(a["all"], F.array(a["at"] + x["gap"] + F.length(x["lead"]))).alias("all")))["all"]
+    rows = rows.withColumn("widths", F.transform("found", width))
+    places = F.zip_with(sums_before("widths"), "found", lambda at, x: at + x["gap"] + F.length(x["lead"]))
     flat = rows.select("doc_id", F.explode(F.arrays_zip("found", places.alias("place"))).alias("z"))
     v = F.col("z.found.value")
     return flat.select(
