@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.names import analyzed, fold_key, wikilink
+from tessera.operators import enrichment as X
 from tessera.operators import knowledge as K
 from tessera.operators.taxonomy import classified
 from tessera.operators.text import embedded_json, frontmatter, lines_with, section, table_rows
@@ -13,7 +14,11 @@ from tessera.session import stored
 
 PRODUCTS = "array<struct<name:string,main_strategies:array<string>,sub_strategies:array<string>,entity_type:string,confidence:string,evidence_quote:string,manager_name:string>>"
 MARK = "SYSTEM_MENTIONED_PRODUCTS"
-PREDICATES = {"manager": "managed_by", "primary_tag": "has_primary_strategy", "secondary_tags": "has_secondary_strategy", "candidate_tags": "has_candidate_strategy", "strategies": "has_strategy"}
+PREDICATES = {
+    "manager": "managed_by", "canonical_name": "has_canonical_product_name", "primary_tag": "has_primary_strategy", "secondary_tags": "has_secondary_strategy", "candidate_tags": "has_candidate_strategy",
+    "direct_tags": "has_direct_strategy_tag", "strategies": "has_strategy", "product_lines": "has_product_line", "facet_values": "has_strategy_facet", "backgrounds": "has_people_background",
+    "constraints": "has_exposure_constraint", "path": "has_source_note",
+}
 #: Keywords that mark evidence.
 EVIDENCE_WORDS = ["策略", "收益", "回撤", "风控", "持仓", "因子", "模型"]
 
@@ -59,10 +64,22 @@ def compiled(rows: DataFrame) -> DataFrame:
     spread = generic.select("manager", "family", "path", "ordinal", "strategies", "evidence").join(real.select("manager", "family", "canonical_key", "canonical_name", "product_name", "quality_status", "name_reason", "entity_type", "entity_confidence").dropDuplicates(["manager", "canonical_key"]), ["manager", "family"])
     spread = spread.withColumn("confidence", F.lit("low"))
     together = a.withColumn("own", F.lit(0)).unionByName(spread.where("family <> ''").withColumn("own", F.lit(1)), allowMissingColumns=True)
-    g = K.merged_fragments(together, ["canonical_key"], ["own", "path", "ordinal"], ["product_name", "manager", "canonical_name", "family", "quality_status", "name_reason", "entity_type", "entity_confidence"], ["strategies", "evidence"], {"confidence": K.CONFIDENCE})
+    g = K.merged_fragments(together, ["canonical_key"], ["own", "path", "ordinal"], ["product_name", "manager", "canonical_name", "path", "family", "quality_status", "name_reason", "entity_type", "entity_confidence"], ["strategies", "evidence"], {"confidence": K.CONFIDENCE})
     text = F.concat_ws("\n", "product_name", "canonical_name", F.concat_ws(" ", "strategies"), F.concat_ws("\n", "evidence"))
     t = classified(g.withColumn("profile_text", text), "profile_text")
-    return t.withColumns({"primary_tags": F.array("primary_tag"), "search_text": F.col("profile_text")})
+    t = X.guarded(t.withColumn("product_lines", X.product_lines(F.col("profile_text"))), ["product_name", "canonical_name"])
+    split = X.scope_split(F.concat(F.array("primary_tag"), F.col("secondary_tags"), F.col("product_lines")), F.concat("strategies", "candidate_tags"))
+    return t.withColumns({
+        "primary_tags": F.array("primary_tag"),
+        "direct_tags": split["direct"],
+        "mentioned_tags": split["mentioned"],
+        "facet_values": F.flatten(F.transform(F.map_entries("facets"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(":"), v)))),
+        "backgrounds": X.backgrounds(F.col("profile_text")),
+        "constraints": X.exposure_constraints(F.col("profile_text")),
+        "evidence_summary": X.evidence_summary(F.col("evidence"), F.col("strategies"), EVIDENCE_WORDS),
+        "positioning": X.positioning(F.array("primary_tag"), F.col("secondary_tags"), F.col("product_lines"), F.col("strategies"), F.col("evidence")),
+        "search_text": F.col("profile_text"),
+    })
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:

@@ -68,3 +68,30 @@ def test_air_index_is_long_only(spark):
 def test_match_score(spark):
     df = spark.createDataFrame([(["甲 乙1号"], ["甲乙1号"]), (["甲乙"], ["甲乙1号"]), (["丙"], ["丁"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(N.overlap_score(F.col("a"), F.col("b"))).collect()] == [4, 2, 0]
+
+
+def test_guardrails(spark):
+    from tessera.operators import enrichment as E
+
+    rows = [("甲A500指增一号", ["500指增", "A500指增", "商品CTA"], {"benchmark": ["中证500", "中证A500"], "horizon": ["日内"]}), ("甲一号", ["500指增"], {"benchmark": ["中证500"]})]
+    df = spark.createDataFrame(rows, "product_name string, secondary_tags array<string>, facets map<string,array<string>>")
+    a, b = E.guarded(df, ["product_name"]).orderBy(F.desc("benchmark")).collect()
+    assert (a["benchmark"], a["secondary_tags"], a["rejected_tags"], a["facets"]["benchmark"]) == ("A500", ["A500指增", "商品CTA"], ["500指增"], ["中证A500"])
+    assert (b["benchmark"], b["secondary_tags"], b["facets"]) == ("", [], {})
+    assert one(spark, lambda c: E.product_lines(c), "中证1000指增与CTA") == ["指数增强", "1000指增", "CTA"]
+    assert one(spark, E.backgrounds, "曾在WorldQuant，千禧") == ["WorldQuant背景", "Millennium背景"]
+    assert one(spark, E.exposure_constraints, "行业偏离3%以内，Barra") == ["行业暴露3%以内", "Barra风险约束"]
+
+
+def test_groups_snippets_and_external(spark):
+    from tessera.operators import enrichment as E
+
+    df = spark.createDataFrame([("a", ["商品CTA"], [], "", 2.0), ("b", [], [], "做指增的", 1.0), ("c", [], [], "无", 3.0), ("d", ["商品CTA"], [], "", 5.0)], "product_name string, secondary_tags array<string>, primary_tags array<string>, profile_text string, score double")
+    assert [(r["group"], r["products"]) for r in E.grouped(df).collect()] == [("商品CTA", ["d", "a"]), ("指数增强", ["b"]), ("其他策略", ["c"])]
+    s = lambda lines, terms: spark.createDataFrame([(lines, terms)], "l array<string>, t array<string>").select(E.snippet(F.col("l"), F.col("t"), F.lit("z")).alias("x")).first()["x"]
+    assert s(["- 甲", "乙 CTA"], ["无", "cta"]) == "乙 CTA" and s(["甲"], ["x"]) == "甲" and s([], ["x"]) == "z"
+    maps = spark.createDataFrame([([{"url": "u"}], [{"url": "u"}, {"url": "v"}])], "a array<map<string,string>>, b array<map<string,string>>")
+    assert len(maps.select(E.merged_external(F.col("a"), F.col("b")).alias("x")).first()["x"]) == 2
+    ids = spark.createDataFrame([("k1", ["1"]), ("k2", ["1", "2"]), ("k3", ["2"])], "canonical_key string, external_ids array<string>")
+    assert {r[0]: r[1] for r in E.by_external_identity(ids).collect()} == {"k1": "k2", "k2": "k3", "k3": "k3"}
+    assert one(spark, lambda c: E.positioning(F.array(c), F.array().cast("array<string>"), F.array(F.lit("CTA")), F.array().cast("array<string>"), F.array().cast("array<string>")), "管理期货") == "一级策略：管理期货；产品线：CTA"
