@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import table
+from tessera.session import stored, table
 
-from .common import map_batches
+from .common import arrow_map, map_batches
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes, of UTF-8 bytes; continuation bytes have none.
@@ -136,7 +136,7 @@ def corpus_counts(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
             yield out("class", lang, Counter({c: int(k) for c, k in zip(CLASSES, classes[lang], strict=True)}))
 
     src = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    return src.mapInArrow(run, COUNTS).groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
+    return arrow_map(src, run, COUNTS).groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
 
 
 class Reference:
@@ -154,9 +154,12 @@ class Reference:
 
 def references(docs: DataFrame, common: int = 50, max_langs: int = 1_000) -> dict[str, Reference]:
     """Each language's reference; of the ``max_langs`` largest languages at most, with ``common`` words each."""
-    n = corpus_counts(docs)
+    n = stored(corpus_counts(docs), "counts")
     total = n.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total"))
-    top = n.where("kind = 'word'").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= common)
+    # the best words of each part of a language first, so that no task sorts all of its words
+    part = F.pmod(F.xxhash64("key"), F.lit(64))
+    first = n.where("kind = 'word'").withColumn("part", part).withColumn("r", F.row_number().over(W.partitionBy("lang", "part").orderBy(F.desc("n"), "key"))).where(F.col("r") <= common)
+    top = first.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= common)
     kept = total.orderBy(F.desc("total"), "lang").limit(max_langs)
     rows = top.select("kind", "lang", "key", "n").unionByName(n.where("kind = 'class'")).join(kept, "lang").collect()
     langs: dict[str, dict] = {}

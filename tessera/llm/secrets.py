@@ -46,7 +46,17 @@ PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_
 NEAR = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|auth)"
 INNOCENT = r"(?i)(?:commit|sha-?\d*|md5|checksum|digest|integrity|hash|uuid|guid|etag|revision|build|version|isbn|doi|order|invoice|serial|ticket|tracking|card|iban|phone|id)\b[^A-Za-z]{0,6}$"
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|changeme|change.?me|placeholder|your|xxxx|\*\*\*|redacted|todo|insert|here|none|null|required|optional|undefined|test.?test|foo|bar)"
-WORDS = ("access account action address admin after agent all and api app application array article auth available back base before board body book build button cache call card cell center change channel check child class clear click client close cloud code collect color column command comment common compile component config connect console contact container content context control copy core count create current custom daily data database date day default define delete description design detail device dialog direct disable display document domain down draft driver edit element email enable encode end engine entry enum error event example execute exit export extension factory false fetch field file filter final find first float focus folder font form format forward frame from function general generate get global grid group handle handler hash head header height hello help hidden hide high history home host html http icon image import index info init inner input insert install instance integer item iterator java job join json key kernel label language large last layout left length level library light line link list listener load local lock log login long loop main make manager map mark match max media memory menu message meta method min mobile mode model module month mouse move multi name native network new next node none normal note null number object offset open option order other output owner package page panel param parse part partner path pattern phone photo picture plan platform player plugin point policy pool port position post power prefix print private process product profile program project property provider public python query queue random range read record redirect region register release remote remove render report request require reset resource response rest result return right role root route rule run sample save scale schema scope screen script scroll search second section select send sequence server service session set setting share show side sign simple single site size sort source space split stack start state static status step stop storage store stream string style sub submit summary super support switch sync system table tag target task temp template test text the theme thread time title token tool total track transaction transfer tree trigger true type unit update upload user utils valid value variable vector version video view visible web width window with word work worker wrapper write year zone").split()
+WORDS = (
+    "access action admin agent array auth back before body build cache card center channel child clear client cloud collect column comment compile config "
+    "console container context copy count current daily data database default delete design device direct display domain draft edit email encode entry "
+    "error example exit extension false field file filter find float folder form forward from general global group handler header hello hidden high home "
+    "html icon image import index info inner insert instance item java json label large layout length library line list load lock long main manager match "
+    "memory message method mode module mouse multi name native next none note number offset option other owner package page param part path phone picture "
+    "platform plugin policy port post prefix private product program property python queue range record region release remove report require resource rest "
+    "return role route sample scale scope script search section send server service session share side simple site sort space stack state status stop store "
+    "string submit super switch system target temp test theme time token total transaction tree true unit upload user utils value vector version video "
+    "visible window word worker write"
+).split()
 DICTIONARY = "(?:" + "|".join(sorted((w for w in WORDS if len(w) >= 4), key=lambda w: (-len(w), w))) + ")"
 
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "symbols", "hex", "dictionary", "vowels", "path", "dotted", "prefix", "assigned", "quoted", "near", "innocent", "placeholder", "letters_only_runs")
