@@ -146,11 +146,11 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-def item_blocks(benchmark: DataFrame, max_block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, max_block_words: int, least_item_words: int = 1) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items with words, streamed to the driver in blocks of a bounded size."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        if ws := words_of(row[1]):
+        if len(ws := words_of(row[1])) >= max(1, least_item_words):
             if block and n + len(ws) > max_block_words:
                 yield block
                 block, n = [], 0
@@ -160,9 +160,9 @@ def item_blocks(benchmark: DataFrame, max_block_words: int) -> Iterator[list[tup
         yield block
 
 
-def automata(benchmark: DataFrame, window: int = 10, max_block_words: int = 400_000) -> list[Broadcast]:
+def automata(benchmark: DataFrame, window: int = 10, max_block_words: int = 400_000, least_item_words: int = 1) -> list[Broadcast]:
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(SuffixAutomaton(b, window)) for b in item_blocks(benchmark, max_block_words)]
+    return [sc.broadcast(SuffixAutomaton(b, window)) for b in item_blocks(benchmark, max_block_words, least_item_words)]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -229,13 +229,14 @@ def cut(text: str, sam: SuffixAutomaton, max_span_words: int, max_coverage: floa
         text = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span_words: int = 1, max_coverage: float = 0.5, max_block_words: int = 400_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span_words: int = 1, max_coverage: float = 0.5, max_block_words: int = 400_000, least_item_words: int = 5) -> DataFrame:
     """``docs`` with benchmark spans cut out; documents mostly made of such spans are dropped.
 
     Cutting is repeated until no window of the block is left, as joining the rest of a text can make
-    a new one. Each block has a map of its own; coverage is measured within a block.
+    a new one. Each block has a map of its own; coverage is measured within a block. Items of fewer
+    than ``least_item_words`` words are left out: a few words in common are no leak.
     """
-    for bc in automata(benchmark, window, max_block_words):
+    for bc in automata(benchmark, window, max_block_words, least_item_words):
 
         def factory(bc=bc):
             sam = bc.value

@@ -73,6 +73,8 @@ def test_decontamination_cuts_and_drops(spark):
     assert got[2]["text"] == clean and got[0]["text"].count(clean) == 2 and "w" not in got[0]["text"].replace(clean, "")
     assert got[0]["score"] == 1.5 and got[0]["spans"] == "mine"
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 5
+    short = spark.createDataFrame([(1, "really nothing")], "item_id long, text string")
+    assert {r["text"] for r in decontaminate.decontaminate(docs, short).collect()} == set(texts)
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
