@@ -178,3 +178,36 @@ def found_reports(reports: DataFrame, query: str, limit: int = 20) -> DataFrame:
     s = F.when(title == key, 1000).when(title.contains(key), 700).when(name.contains(key), 500).otherwise(0) + per_part
     stamp = F.try_to_timestamp(F.regexp_extract("filename", r"(\d{8}-\d{6})", 1), F.lit("yyyyMMdd-HHmmss"))
     return reports.withColumns({"score": s, "stamp": stamp}).where("score > 0").orderBy(F.desc("score"), F.desc_nulls_last("stamp"), "filename").limit(limit)
+
+
+def visible(matches: DataFrame, by: list[str], least: int = 30, most: int = 20) -> DataFrame:
+    """Matches in order with ``shown``: the first of a group, and others of at least ``least``; at most ``most`` a group."""
+    w = W.partitionBy(*by).orderBy(F.desc("score"), "name")
+    t = matches.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return t.withColumn("shown", (F.col("place") == 1) | (F.col("score") >= least))
+
+
+def run_status(counts: DataFrame) -> DataFrame:
+    """``status`` of ingest runs from ``sources, profiles, indexed, failed, processed, skipped``: the first rule that holds."""
+    c = F.col
+    status = (
+        F.when((c("sources") == 0) & (c("failed") > 0), "failed")
+        .when(c("sources") == 0, "no_sources")
+        .when(c("profiles") == 0, "no_profiles")
+        .when(c("indexed") < c("profiles"), "index_incomplete")
+        .when(c("failed") > 0, "partial")
+        .when((c("processed") == 0) & (c("skipped") > 0), "unchanged")
+        .otherwise("success")
+    )
+    return counts.withColumn("status", status)
+
+
+def product_mentions(text: Column, most: int = 12) -> Column:
+    """Names in a text that look like products: some Han characters or letters before a number and its counter, each once."""
+    names = F.regexp_extract_all(text, F.lit(r"([一-鿿A-Za-z0-9]{2,16}?(?:\d+|[一二三四五六七八九十]+)(?:号|期))"), F.lit(1))
+    return F.slice(F.array_distinct(names), 1, most)
+
+
+def strategy_mentions(text: Column, names: list[str]) -> Column:
+    """Strategies whose names a text holds, as links, in the order given."""
+    return F.filter(F.array(*[F.when(F.lower(text).contains(n.lower()), F.lit(f"[[{n}]]")) for n in names]), lambda x: x.isNotNull())

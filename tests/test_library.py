@@ -264,3 +264,12 @@ def test_report(spark):
     assert "3.00%" in text and "t1（100.0bp）" in text and "t2（-50.0bp）" in text
     hint = spark.createDataFrame([("size", 0.5), ("size", -0.5), ("size", 0.01), ("odd", 1.0)], "f string, e double").select(T.factor_hint(F.col("f"), F.col("e")).alias("h"))
     assert [r["h"] for r in hint.collect()] == ["偏大盘", "偏小盘", "中性", "正暴露"]
+
+
+def test_ingest_rules(spark):
+    df = spark.createDataFrame([("q", "a", 10), ("q", "b", 40), ("q", "c", 5), ("r", "d", 1)], "q string, name string, score int")
+    assert {(r["name"], r["shown"]) for r in K.visible(df, ["q"], most=2).collect()} == {("b", True), ("a", False), ("d", True)}
+    runs = spark.createDataFrame([(0, 0, 0, 1, 0, 0), (0, 0, 0, 0, 0, 0), (2, 0, 0, 0, 2, 0), (2, 2, 1, 0, 2, 0), (2, 2, 2, 1, 1, 0), (2, 2, 2, 0, 0, 2), (2, 2, 2, 0, 2, 0)], "sources int, profiles int, indexed int, failed int, processed int, skipped int")
+    assert [r["status"] for r in K.run_status(runs).collect()] == ["failed", "no_sources", "no_profiles", "index_incomplete", "partial", "unchanged", "success"]
+    assert value(spark, K.product_mentions(F.lit("看 隆元1号 和 隆元1号, 财赢十二期"))) == ["隆元1号", "财赢十二期"]
+    assert value(spark, K.strategy_mentions(F.lit("做cta的"), ["CTA", "套利"])) == ["[[CTA]]"]
