@@ -111,7 +111,7 @@ def divergence(counts: np.ndarray, ref: np.ndarray) -> float:
 COUNTS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
 
 
-def corpus_counts(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
+def corpus_counts(docs: DataFrame, flush_at: int = 400_000) -> DataFrame:
     """Counts of character classes and words by language over all documents; tasks pre-aggregate in bounded memory."""
     arrow = to_arrow_schema(COUNTS)
 
@@ -122,18 +122,22 @@ def corpus_counts(docs: DataFrame, flush_at: int = 200_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
+
+        def flushed() -> Iterable[pa.RecordBatch]:
+            for lang, n in words.items():
+                yield out("word", lang, Counter({w.decode("utf-8", "replace"): k for w, k in n.items()}))
+                yield out("class", lang, Counter({c: int(k) for c, k in zip(CLASSES, classes[lang], strict=True)}))
+            words.clear()
+            classes.clear()
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 classes[lang] = classes.get(lang, 0) + class_counts(raw)
-                n = words.setdefault(lang, Counter())
-                n.update(raw.lower().split())
-                if len(n) > flush_at:
-                    yield out("word", lang, Counter({w.decode("utf-8", "replace"): k for w, k in n.items()}))
-                    n.clear()
-        for lang, n in words.items():
-            yield out("word", lang, Counter({w.decode("utf-8", "replace"): k for w, k in n.items()}))
-            yield out("class", lang, Counter({c: int(k) for c, k in zip(CLASSES, classes[lang], strict=True)}))
+                words.setdefault(lang, Counter()).update(raw.lower().split())
+            if sum(map(len, words.values())) > flush_at:
+                yield from flushed()
+        yield from flushed()
 
     src = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     return arrow_map(src, run, COUNTS).groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
