@@ -18,7 +18,8 @@ Defined cases: null or empty text has no tokens, and a cell without any tokens
 has probability 0; null source and language are values of their own (written ``?``);
 targets for values that don't occur are left out and the others scaled to sum to
 one; values without a target are dropped from the sample (probability 0) if a
-margin has targets; repeated rows are treated alike; :func:`sample` keeps all
+margin has targets; a margin with too many values for the driver keeps its
+targets as a table; repeated rows are treated alike; :func:`sample` keeps all
 columns of ``docs`` but such as begin with ``mix_``, which it replaces by its own.
 """
 
@@ -67,11 +68,17 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return stored(with_cells(docs.select("source", "lang", "text")).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
 
 
-def tempered(cells: DataFrame, margin: str, power: float, max_values: int = 100_000) -> dict[str, float]:
-    """Targets of a margin: its shares of tokens to a power, so that small values get more. A margin has at most ``max_values`` values."""
-    rows = cells.groupBy(f"mix_{margin}").agg(F.sum("tokens")).where("sum(tokens) > 0").limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{margin} has over {max_values} values")
+def tempered(cells: DataFrame, margin: str, power: float, max_values: int = 100_000) -> dict[str, float] | DataFrame:
+    """Targets of a margin: its shares of tokens to a power, so that small values get more.
+
+    A dictionary for up to ``max_values`` values, else a table ``value, target`` that stays distributed.
+    """
+    sums = cells.groupBy(F.col(f"mix_{margin}").alias("value")).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0")
+    if sums.limit(max_values + 1).count() > max_values:
+        total = sums.agg(F.sum("tokens")).first()[0]
+        raw = sums.select("value", F.pow(F.col("tokens") / total, power).alias("raw"))
+        return stored(raw.select("value", (F.col("raw") / raw.agg(F.sum("raw")).first()[0]).alias("target")), "targets")
+    rows = sums.collect()
     total = sum(r[1] for r in rows)
     raw = {r[0]: (r[1] / total) ** power for r in sorted(rows)}
     whole = sum(raw.values())
@@ -94,46 +101,44 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return factor
 
 
-def _usable(targets: dict[str, dict[str, float]], have: dict[str, set]) -> dict[str, dict[str, float]]:
-    """Targets of values that occur, scaled to one."""
-    out = {}
-    for m, t in targets.items():
-        t = {k: v for k, v in t.items() if k in have[m] and v > 0}
-        whole = sum(t.values())
-        out[m] = {k: v / whole for k, v in t.items()}
-    return out
-
+def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame], max_cells: int = 200_000, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """``mix_source, mix_lang, mix_topic, factor`` of each cell; the largest factor is 1.
 
-def factors(cells: DataFrame, targets: dict[str, dict[str, float]], max_cells: int = 200_000, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """``mix_source, mix_lang, mix_topic, factor`` of each cell; the largest factor is 1."""
+    Up to ``max_cells`` cells with targets given as dictionaries are fitted on the driver, all others by aggregations.
+    """
+    keys, spark = [f"mix_{m}" for m in MARGINS], cells.sparkSession
     live = cells.where("tokens > 0")
-    have = {m: {r[0] for r in live.select(f"mix_{m}").distinct().limit(1_000_000).collect()} for m in targets}
-    targets = _usable(targets, have)
-    inside = live
-    for m, t in targets.items():
-        inside = inside.where(F.col(f"mix_{m}").isin(list(t)))
-    keys = [f"mix_{m}" for m in MARGINS]
-    spark = cells.sparkSession
-    if inside.limit(max_cells + 1).count() <= max_cells:
-        rows = sorted(inside.select(*keys, "tokens").collect())
-        tokens = np.array([r["tokens"] for r in rows], dtype=float)
+    if all(isinstance(t, dict) for t in targets.values()) and live.limit(max_cells + 1).count() <= max_cells:
+        rows = sorted(live.select(*keys, "tokens").collect())
+        for m, t in targets.items():
+            rows = [r for r in rows if t.get(r[f"mix_{m}"], 0) > 0]
         codes, goals = [], []
         for m, t in targets.items():
-            names = sorted(t)
+            names = sorted({r[f"mix_{m}"] for r in rows})
             at = {n: i for i, n in enumerate(names)}
+            whole = sum(t[n] for n in names)
             codes.append(np.array([at[r[f"mix_{m}"]] for r in rows], dtype=np.int64))
-            goals.append(np.array([t[n] for n in names]))
-        f = rake(tokens, codes, goals, rounds, tolerance) if rows else np.zeros(0)
+            goals.append(np.array([t[n] / whole for n in names]))
+        f = rake(np.array([r["tokens"] for r in rows], dtype=float), codes, goals, rounds, tolerance) if rows else np.zeros(0)
         top = f.max(initial=0.0) or 1.0
         return spark.createDataFrame([(*[r[k] for k in keys], float(x / top)) for r, x in zip(rows, f, strict=True)], ", ".join(f"{k} string" for k in keys) + ", factor double")
-    total = inside.agg(F.sum("tokens")).first()[0]
-    now = inside.select(*keys, (F.col("tokens") / total).alias("w"), F.lit(1.0).alias("factor"))
+    tables = {m: (spark.createDataFrame(list(t.items()), "value string, target double") if isinstance(t, dict) else t).where("target > 0").select(F.col("value").alias(f"mix_{m}"), "target") for m, t in targets.items()}
+    for m, t in tables.items():
+        live = live.join(t.select(f"mix_{m}"), f"mix_{m}", "left_semi")
+    live = stored(live, "live-cells")
+    total = live.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", factor double")
+    for m, t in tables.items():
+        t = t.join(live.select(f"mix_{m}").distinct(), f"mix_{m}")
+        tables[m] = stored(t.withColumn("target", F.col("target") / t.agg(F.sum("target")).first()[0]), "targets")
+    now = live.select(*keys, (F.col("tokens") / total).alias("w"), F.lit(1.0).alias("factor"))
     for _ in range(rounds):
         now = now.withColumn("worst", F.lit(0.0))
-        for m, t in targets.items():
-            goal = F.element_at(F.create_map(*[x for n, v in t.items() for x in (F.lit(n), F.lit(v))]), F.col(f"mix_{m}"))
-            sums = now.groupBy(f"mix_{m}").agg(F.sum(F.col("w") * F.col("factor")).alias("have")).select(f"mix_{m}", (goal / F.col("have")).alias("scale"), F.abs(F.col("have") - goal).alias("off"))
-            now = now.join(F.broadcast(sums), f"mix_{m}").select(*keys, "w", (F.col("factor") * F.col("scale")).alias("factor"), F.greatest("worst", "off").alias("worst"))
+        for m, t in tables.items():
+            have = now.groupBy(f"mix_{m}").agg(F.sum(F.col("w") * F.col("factor")).alias("have")).join(t, f"mix_{m}")
+            scale = have.select(f"mix_{m}", (F.col("target") / F.col("have")).alias("scale"), F.abs(F.col("have") - F.col("target")).alias("off"))
+            now = now.join(scale, f"mix_{m}").select(*keys, "w", (F.col("factor") * F.col("scale")).alias("factor"), F.greatest("worst", "off").alias("worst"))
         now = stored(now, "raking")
         if now.agg(F.max("worst")).first()[0] < tolerance:
             break
