@@ -67,3 +67,26 @@ def ellipsis(c: Column, most: int) -> Column:
     """Text of at most ``most`` characters, cut with an ellipsis after trailing punctuation is trimmed."""
     cut = F.regexp_replace(F.substring(c, 1, most - 1), r"[\s,;:.，；：。、]+$", "")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(cut, F.lit("…")))
+
+
+def json_list(c: Column) -> Column:
+    """Strings of a JSON list; an empty array for anything else."""
+    return F.filter(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+
+
+def mapped(c: Column, names: dict[str, str], default: str) -> Column:
+    """A value's entry in a table, by its lower case; ``default`` for what isn't in it."""
+    return F.coalesce(F.element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k.lower()), F.lit(v))]), F.lower(F.trim(c))), F.lit(default))
+
+
+def short_error(c: Column, most: int = 200) -> Column:
+    """Code, message and detail of a JSON error, else the text, shortened."""
+    parts = F.concat_ws(" ", *[F.get_json_object(c, f"$.{k}") for k in ("code", "msg", "message", "detail")])
+    return ellipsis(F.coalesce(F.nullif(F.trim(parts), F.lit("")), F.regexp_replace(F.trim(c), r"\s+", " ")), most)
+
+
+def score_after(c: Column, label: str) -> Column:
+    """The first number after a label in a text or table row."""
+    import re
+
+    return F.nullif(F.regexp_extract(c, rf"{re.escape(label)}[^\d\n-]{{0,20}}(-?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")

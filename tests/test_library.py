@@ -273,3 +273,15 @@ def test_ingest_rules(spark):
     assert [r["status"] for r in K.run_status(runs).collect()] == ["failed", "no_sources", "no_profiles", "index_incomplete", "partial", "unchanged", "success"]
     assert value(spark, K.product_mentions(F.lit("看 隆元1号 和 隆元1号, 财赢十二期"))) == ["隆元1号", "财赢十二期"]
     assert value(spark, K.strategy_mentions(F.lit("做cta的"), ["CTA", "套利"])) == ["[[CTA]]"]
+
+
+def test_scalars(spark):
+    from tessera.functions import scalar as C
+
+    assert value(spark, C.json_list(F.lit('["a", "", null, "b"]'))) == ["a", "b"] and value(spark, C.json_list(F.lit("x"))) == []
+    assert value(spark, C.mapped(F.lit(" HIGH "), {"high": "h"}, "?")) == "h" and value(spark, C.mapped(F.lit("x"), {"high": "h"}, "?")) == "?"
+    assert value(spark, C.short_error(F.lit('{"code": 5, "msg": "bad", "detail": "very"}'))) == "5 bad very" and value(spark, C.short_error(F.lit("plain  text"))) == "plain text"
+    assert value(spark, C.score_after(F.lit("| 最大回撤 | -3.5 | x |"), "最大回撤")) == -3.5 and value(spark, C.score_after(F.lit("none"), "最大回撤")) is None
+    assert value(spark, C.percent_text(F.lit(0.1234))) == "12.34%" and value(spark, C.bp_text(F.lit(None).cast("double"))) == "-" and value(spark, C.ellipsis(F.lit("abc, def"), 5)) == "abc…"
+    assert value(spark, C.soft_double(F.lit("nope"))) is None and value(spark, C.soft_day(F.lit("2024-02-30"))) is None and value(spark, C.missing_to(F.lit("NaN"), "?")) == "?"
+    assert str(value(spark, C.previous_sunday(F.lit("2024-01-07").cast("date")))) == "2024-01-07" and str(value(spark, C.previous_sunday(F.lit("2024-01-06").cast("date")))) == "2023-12-31"
