@@ -33,16 +33,16 @@ def missing_to(c: Column, label: str) -> Column:
 
 
 def percent_text(c: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", c * 100), F.lit("-"))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f%%", c * 100)).otherwise("-")
 
 
 def bp_text(c: Column, digits: int = 1) -> Column:
     """A return in basis points."""
-    return F.coalesce(F.format_string(f"%.{digits}fbp", c * 10_000), F.lit("-"))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}fbp", c * 10_000)).otherwise("-")
 
 
 def fixed_text(c: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("-"))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c)).otherwise("-")
 
 
 def previous_sunday(day: Column) -> Column:

@@ -285,3 +285,18 @@ def test_scalars(spark):
     assert value(spark, C.percent_text(F.lit(0.1234))) == "12.34%" and value(spark, C.bp_text(F.lit(None).cast("double"))) == "-" and value(spark, C.ellipsis(F.lit("abc, def"), 5)) == "abc…"
     assert value(spark, C.soft_double(F.lit("nope"))) is None and value(spark, C.soft_day(F.lit("2024-02-30"))) is None and value(spark, C.missing_to(F.lit("NaN"), "?")) == "?"
     assert str(value(spark, C.previous_sunday(F.lit("2024-01-07").cast("date")))) == "2024-01-07" and str(value(spark, C.previous_sunday(F.lit("2024-01-06").cast("date")))) == "2023-12-31"
+
+
+def test_field_rules(spark):
+    from tessera.operators.report_rules import PORTRAIT_ROWS, field_issues
+
+    head = "### 字段审核\n| f | v | c | r |\n| - | - | - | - |\n| strategyType | a | 一致 | x |\n| `raceName` | a | {race} | x |\n| fundType | a | {kind} | {why} |\n### 策略画像\n" + "\n".join(PORTRAIT_ROWS) + "\n### 关键证据\n{proof}\n### 口径说明\n{note}\n"
+    fill = lambda **k: head.format(**{"race": "一致", "kind": "一致", "why": "直接", "proof": "**P1** x", "note": "- **推论边界风险**：y", **k})
+    docs = {
+        "good": fill(), "none": fill(race="需补充"), "two": fill(race="需修正 建议: 甲<br>建议: 乙"), "many": fill(race="需修正 建议: 甲、乙"), "one": fill(race="需修正（建议: 甲）"), "unsure": fill(race="需补充 建议: 待人工确认"),
+        "kind": fill(kind="建议: 丙", why="无直接证据"), "chain": fill(proof="**P1** a\n**P2** b\n**P2** c"), "note": fill(note="- 其他\n- **推论边界风险**"), "list": fill(note="推论边界风险"), "rows": "### 字段审核\n| a | b | c | d |\n", "empty": None,
+    }
+    got = {}
+    for r in field_issues(spark.createDataFrame(list(docs.items()), "path string, content string")).collect():
+        got.setdefault(r["path"], []).append(r["rule"])
+    assert got == {"none": ["race_suggestion"], "two": ["race_suggestion"], "many": ["race_suggestion"], "unsure": ["race_suggestion"], "kind": ["fund_type", "fund_type"], "chain": ["evidence_chain"], "note": ["boundary_first"], "list": ["boundary_first"], "rows": ["audit_rows"], "empty": ["audit_rows"]}
