@@ -251,7 +251,7 @@ def test_lifecycle_and_plans(spark):
     funds = spark.createDataFrame([("f",), ("g",)], "fund string")
     reports = spark.createDataFrame([("f", "p1", 1), ("f", "p2", 2)], "fund string, path string, stamp int")
     assert {r["fund"]: (r["report"], r["action"]) for r in P.audit_plan(funds, reports).collect()} == {"f": ("p2", "reuse"), "g": (None, "audit")}
-    assert [r["call"] for r in P.documented_calls(spark.createDataFrame([("a", "### x `fund_nav(a, b)`\ntext\n## pm_nav()")], "path string, content string")).collect()] == ["fund_nav", "pm_nav"]
+    assert [r["call"] for r in P.documented_calls(spark.createDataFrame([("a", "### x `fund_nav(a, b)`\ntext\n## get_nav()")], "path string, content string")).collect()] == ["fund_nav", "get_nav"]
 
 
 def test_report(spark):
