@@ -79,47 +79,55 @@ class Codec:
         self.enc = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.start = max(ranks.values()) + 1
         self.end = self.start + 1
+        self.line_end = self.enc.encode_ordinary("\n")
 
-    def turn(self, role: str, text: str, loss: bool) -> tuple[list[int], list[int]]:
+    def turn(self, role: str, text: str, loss: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one turn."""
-        segments = [([self.start], 0), (self.enc.encode_ordinary(escape_role(role) + "\n"), 0), (self.enc.encode_ordinary(escape(text)), int(loss)), ([self.end], 0), (self.enc.encode_ordinary("\n"), 0)]
-        size = np.array([len(s) for s, _ in segments])
-        stop = np.cumsum(size)
+        segments = [[self.start], self.enc.encode_ordinary(escape_role(role) + "\n"), self.enc.encode_ordinary(escape(text)), [self.end], self.line_end]
+        stop = np.cumsum([len(s) for s in segments])
         edge = np.zeros(stop[-1] + 1, dtype=np.int8)
-        marks = np.array([m for _, m in segments], dtype=np.int8)
-        np.add.at(edge, stop - size, marks)
-        np.subtract.at(edge, stop, marks)
-        return [i for s, _ in segments for i in s], np.cumsum(edge[:-1]).tolist()
-
-    def decode(self, ids: list[int]) -> str:
-        return self.enc.decode_bytes(ids).decode()
-
-    def parse(self, ids: list[int]) -> list[tuple[str, str]]:
-        """The turns of assembled ids."""
-        turns, at = [], 0
-        while at < len(ids):
-            lo = ids.index(self.start, at)
-            hi = ids.index(self.end, lo)
-            role, _, text = self.decode(ids[lo + 1:hi]).partition("\n")
-            turns.append((unescape_role(role), unescape(text)))
-            at = hi + 2
-        return turns
-
-    def masked(self, ids: list[int], mask: list[int]) -> list[str]:
+        if loss:
+            edge[stop[1]] += 1
+            edge[stop[2]] -= 1
+        return np.concatenate([np.array(s, dtype=np.int32) for s in segments]), np.cumsum(edge[:-1], dtype=np.int8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.enc.decode_bytes(ids.tolist()).decode()
+
+    def segments(self, ids: np.ndarray) -> list[tuple[int, str]]:
+        """Text after each reserved id, with that id."""
+        at = np.flatnonzero(ids >= self.start)
+        return [(int(ids[a]), self.decode(ids[a + 1:b])) for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)]
+
+    def parse(self, ids: np.ndarray) -> tuple[list[tuple[str, str]], int]:
+        """The turns of assembled ids, and the characters of their whole text."""
+        turns, chars = [], 0
+        for mark, text in self.segments(ids):
+            chars += len(text) + len(START if mark == self.start else END)
+            if mark == self.start:
+                role, _, said = text.partition("\n")
+                turns.append((unescape_role(role), unescape(said)))
+        return turns, chars
+
+    def masked(self, ids: np.ndarray, mask: np.ndarray) -> list[str]:
         """The texts under the loss mask, each run of ones by itself."""
-        m = np.concatenate([[0], np.array(mask, dtype=np.int8), [0]])
-        edge = np.diff(m)
+        edge = np.diff(np.concatenate([[0], mask, [0]]).astype(np.int8))
         return [unescape(self.decode(ids[a:b])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
-    def text(self, ids: list[int]) -> str:
-        out, run = [], []
-        for i in ids:
-            if i in (self.start, self.end):
-                out += [self.decode(run), START if i == self.start else END]
-                run = []
-            else:
-                run.append(i)
-        return "".join([*out, self.decode(run)])
+    def text(self, ids: np.ndarray) -> str:
+        return "".join((START if mark == self.start else END) + text for mark, text in self.segments(ids))
+
+
+def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of number arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), type=kind))
+
+
+def unlisted(column: pa.Array) -> list[np.ndarray]:
+    """The number arrays of a list column."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
 PIECES = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("order", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))])
@@ -135,7 +143,7 @@ def format_chats(turns: DataFrame, vocab: Broadcast, part_turns: int = 1_024, ba
         def f(b: pa.RecordBatch) -> dict:
             roles, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
             got = [codec.turn(r, t, r == "assistant") for r, t in zip(roles, texts, strict=True)]
-            return {"conv_id": b.column(0), "turn": b.column(1), "order": [f"{r}\n{t}" for r, t in zip(roles, texts, strict=True)], "ids": [g[0] for g in got], "mask": [g[1] for g in got]}
+            return {"conv_id": b.column(0), "turn": b.column(1), "order": [f"{r}\n{t}" for r, t in zip(roles, texts, strict=True)], "ids": listed([g[0] for g in got], pa.int32()), "mask": listed([g[1] for g in got], pa.int8())}
 
         return f
 
@@ -146,13 +154,15 @@ def format_chats(turns: DataFrame, vocab: Broadcast, part_turns: int = 1_024, ba
         done, size, key, part, n, ids, mask = [], 0, None, 0, 0, [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+            cols = list(zip(*done, strict=True))
+            lists = [listed([np.concatenate(x) for x in cols[3]], pa.int32()), listed([np.concatenate(x) for x in cols[4]], pa.int8())]
+            return pa.RecordBatch.from_arrays([*[pa.array(c, type=f.type) for c, f in zip(cols[:3], arrow, strict=False)], *[x.cast(f.type) for x, f in zip(lists, list(arrow)[3:], strict=True)]], schema=arrow)
 
         for b in batches:
-            for conv, x, m in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "ids", "mask")), strict=True):
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("conv_id", "ids", "mask")}
+            for conv, x, m in zip(col["conv_id"].to_pylist(), unlisted(col["ids"]), unlisted(col["mask"]), strict=True):
                 if n and (conv != key or n == part_turns):
                     done.append((key, part, n, ids, mask))
-                    size += len(ids)
                     part, n, ids, mask = part + 1 if conv == key else 0, 0, [], []
                     if size > batch_tokens:
                         yield out()
@@ -160,8 +170,9 @@ def format_chats(turns: DataFrame, vocab: Broadcast, part_turns: int = 1_024, ba
                         size = 0
                 key = conv
                 n += 1
-                ids += x
-                mask += m
+                size += len(x)
+                ids.append(x)
+                mask.append(m)
         if n:
             done.append((key, part, n, ids, mask))
         if done:
@@ -192,17 +203,18 @@ def digest(formatted: DataFrame, vocab: Broadcast) -> DataFrame:
                 rows.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for b in batches:
-            for conv, part, ids, mask in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            for conv, part, ids, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unlisted(b.column(3)), unlisted(b.column(4)), strict=True):
                 if part == 0:
                     close()
                     state, key = [0, hashlib.sha256(), 0, hashlib.sha256(), 0], conv
-                for role, text in codec.parse(ids):
+                turns, chars = codec.parse(ids)
+                for role, text in turns:
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
                 for text in codec.masked(ids, mask):
                     state[2] += len(text)
                     state[3].update(text.encode())
-                state[4] += len(codec.text(ids))
+                state[4] += chars
             if len(rows) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                 rows.clear()
