@@ -34,12 +34,12 @@ from tessera.session import table
 NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|(?:access[_-]?|auth[_-]?|refresh[_-]?|bot[_-]?)?token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?)"
 ASSIGN = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?:=>|:=|==|[:=])\s{{0,3}}[\"']?"
 PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-#: In this order: the first that fits at a place is taken.
+#: In this order: the first that fits at a place is taken. Last runs have no upper bound and give nothing back, so a value is whole however long it is.
 CANDIDATE = "|".join([
-    PRIVATE + r"[A-Za-z0-9+/=\s]{0,16384}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    r"(?<![A-Za-z])" + ASSIGN + r"[^\s\"',;<>|]{6,256}",
+    PRIVATE + r"[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    r"(?<![A-Za-z])" + ASSIGN + r"[^\s\"',;<>|]{6,}+",
     r"://[^\s/:@]{1,64}:[^\s/:@]{3,128}@",
-    r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,64}[0-9])[A-Za-z0-9+/_=.-]{16,4096}+",
+    r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,64}[0-9])[A-Za-z0-9+/_=.-]{16,}+",
 ])
 #: Prefixes that vendors of tokens publish.
 PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_|-----BEGIN)"
@@ -71,6 +71,7 @@ def _features(before: Column, value: Column, after: Column) -> list[Column]:
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     covered = (F.length(value) - F.length(F.regexp_replace(F.lower(value), DICTIONARY, ""))) / n
+    placeholders = (F.length(value) - F.length(F.regexp_replace(value, PLACEHOLDER, ""))) / n  # by chance a long value has one somewhere
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [
         F.length(value).cast("double"),
@@ -89,7 +90,7 @@ def _features(before: Column, value: Column, after: Column) -> list[Column]:
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         flag(before.rlike(NEAR)),
         flag(before.rlike(INNOCENT)),
-        flag(value.rlike(PLACEHOLDER) | before.rlike(r"(?i)(?:example|sample|dummy|placeholder)\W{0,12}$")),
+        flag((placeholders >= 0.02) | before.rlike(r"(?i)(?:example|sample|dummy|placeholder)\W{0,12}$")),
         share("[A-Za-z]{5,}"),
     ]
 
