@@ -3,10 +3,14 @@
 Documents fall into cells of source, language and topic. Token counts of the
 cells are raked: the cells' weights are scaled to the target of each margin in
 turn, over and over, until all margins fit. What comes out is a factor for each
-cell; a document's sampling probability is its cell's factor, scaled so that the
-largest is 1, or so that a wanted number of tokens is expected. Whether a
-document is taken depends on a hash of its id and text alone, so any number of
-runs and executors gives the same sample.
+cell; a document's sampling probability is its cell's factor, scaled so that a
+wanted number of tokens is expected: ``tokens_wanted``, or without targets the
+share ``keep`` of all tokens. As nothing can be taken more than once, a cell's
+probability ends at 1 and the others are fitted to what it leaves, so a tiny
+source is taken whole and doesn't lower the rate of the rest. With targets but
+no wanted tokens the largest probability is 1. Whether a document is taken
+depends on a hash of its id and text alone, so any number of runs and executors
+gives the same sample.
 
 Tokens are counted once for each cell, with map-side sums, so a source may hold
 any share of the rows. Cells are counted before they reach the driver; beyond
@@ -85,10 +89,28 @@ def tempered(cells: DataFrame, margin: str, power: float, max_values: int = 100_
     return {k: v / whole for k, v in raw.items()}
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Factors of cells: margins of ``tokens * factor``, as shares, fit the targets."""
+def _reachable(sums, cap: float) -> float:
+    """By how much targets are scaled so that, each cut at ``cap`` times what there is of its value, they sum to one.
+
+    ``sums(scale)`` gives what there is of the values that are cut at that scale, and the other values' targets, in all.
+    """
+    scale = 1.0
+    while True:
+        full, rest = sums(scale)
+        higher = (1 - full * cap) / rest if rest > 0 else scale
+        if higher <= scale * (1 + 1e-12):
+            return scale
+        scale = higher
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9, cap: float | None = None) -> np.ndarray:
+    """Factors of cells, none above ``cap``: margins of ``tokens * factor``, as shares, fit the targets, as far as they can under the cap."""
     w = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
-    factor = np.ones(len(w))
+    factor, before = np.ones(len(w)), np.inf
+    if cap is not None:
+        there = [np.bincount(code, weights=w, minlength=len(t)) for code, t in zip(codes, targets, strict=True)]
+        scales = [_reachable(lambda s, t=t, h=h: (h[s * t >= h * cap].sum(), t[s * t < h * cap].sum()), cap) for t, h in zip(targets, there, strict=True)]
+        targets = [np.minimum(t * s, h * cap) for t, h, s in zip(targets, there, scales, strict=True)]
     for _ in range(rounds):
         worst = 0.0
         for code, target in zip(codes, targets, strict=True):
@@ -96,14 +118,32 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             scale = np.divide(target, have, out=np.zeros_like(target), where=have > 0)
             worst = max(worst, float(np.abs(have - target)[have > 0].max(initial=0.0)))
             factor *= scale[code]
-        if worst < tolerance:
+            if cap is not None:
+                factor = np.minimum(factor, cap)
+        if worst < tolerance or cap is not None and abs(before - worst) < tolerance:  # the cap can keep margins from a fit
             break
+        before = worst
     return factor
 
 
-def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame], max_cells: int = 200_000, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def _cap(total: float, tokens_wanted: float | None) -> float | None:
+    """The factor at which all of a cell is taken, where ``tokens_wanted`` of ``total`` are expected."""
+    return None if tokens_wanted is None else max(1.0, float(total) / tokens_wanted) if tokens_wanted > 0 else None
+
+
+def _sums_of(t: DataFrame, cap: float):
+    def sums(scale: float) -> tuple[float, float]:
+        full = F.col("target") * scale >= F.col("there") * cap
+        return tuple(t.agg(F.coalesce(F.sum(F.when(full, F.col("there"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("target"))), F.lit(0.0))).first())
+
+    return sums
+
+
+def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame], max_cells: int = 200_000, rounds: int = 200, tolerance: float = 1e-9, tokens_wanted: float | None = None) -> DataFrame:
     """``mix_source, mix_lang, mix_topic, factor`` of each cell; the largest factor is 1.
 
+    With ``tokens_wanted`` factors are fitted under the cap at which that many tokens are expected with no probability above 1.
+
     Up to ``max_cells`` cells with targets given as dictionaries are fitted on the driver, all others by aggregations.
     """
     keys, spark = [f"mix_{m}" for m in MARGINS], cells.sparkSession
@@ -119,7 +159,7 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame],
             whole = sum(t[n] for n in names)
             codes.append(np.array([at[r[f"mix_{m}"]] for r in rows], dtype=np.int64))
             goals.append(np.array([t[n] / whole for n in names]))
-        f = rake(np.array([r["tokens"] for r in rows], dtype=float), codes, goals, rounds, tolerance) if rows else np.zeros(0)
+        f = rake(np.array([r["tokens"] for r in rows], dtype=float), codes, goals, rounds, tolerance, _cap(sum(r["tokens"] for r in rows), tokens_wanted)) if rows else np.zeros(0)
         top = f.max(initial=0.0) or 1.0
         return spark.createDataFrame([(*[r[k] for k in keys], float(x / top)) for r, x in zip(rows, f, strict=True)], ", ".join(f"{k} string" for k in keys) + ", factor double")
     tables = {m: (spark.createDataFrame(list(t.items()), "value string, target double") if isinstance(t, dict) else t).where("target > 0").select(F.col("value").alias(f"mix_{m}"), "target") for m, t in targets.items()}
@@ -129,24 +169,31 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame],
     total = live.agg(F.sum("tokens")).first()[0]
     if not total:
         return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", factor double")
+    cap, before = _cap(total, tokens_wanted), float("inf")
     for m, t in tables.items():
-        t = t.join(live.select(f"mix_{m}").distinct(), f"mix_{m}")
-        tables[m] = stored(t.withColumn("target", F.col("target") / t.agg(F.sum("target")).first()[0]), "targets")
+        t = t.join(live.groupBy(f"mix_{m}").agg((F.sum("tokens") / total).alias("there")), f"mix_{m}")
+        t = stored(t.withColumn("target", F.col("target") / t.agg(F.sum("target")).first()[0]), "targets")
+        if cap is not None:
+            t = t.withColumn("target", F.least(F.col("target") * _reachable(_sums_of(t, cap), cap), F.col("there") * cap))
+        tables[m] = t.drop("there")
     now = live.select(*keys, (F.col("tokens") / total).alias("w"), F.lit(1.0).alias("factor"))
     for _ in range(rounds):
         now = now.withColumn("worst", F.lit(0.0))
         for m, t in tables.items():
             have = now.groupBy(f"mix_{m}").agg(F.sum(F.col("w") * F.col("factor")).alias("have")).join(t, f"mix_{m}")
             scale = have.select(f"mix_{m}", (F.col("target") / F.col("have")).alias("scale"), F.abs(F.col("have") - F.col("target")).alias("off"))
-            now = now.join(scale, f"mix_{m}").select(*keys, "w", (F.col("factor") * F.col("scale")).alias("factor"), F.greatest("worst", "off").alias("worst"))
+            fitted = F.col("factor") * F.col("scale")
+            now = now.join(scale, f"mix_{m}").select(*keys, "w", (fitted if cap is None else F.least(fitted, F.lit(cap))).alias("factor"), F.greatest("worst", "off").alias("worst"))
         now = stored(now, "raking")
-        if now.agg(F.max("worst")).first()[0] < tolerance:
+        worst = now.agg(F.max("worst")).first()[0]
+        if worst < tolerance or cap is not None and abs(before - worst) < tolerance:
             break
+        before = worst
     top = now.agg(F.max("factor")).first()[0]
     return now.select(*keys, (F.col("factor") / top).alias("factor"))
 
 
-def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame, tokens_wanted: int | None = None, seed: int = 1, max_cells: int = 200_000) -> DataFrame:
+def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame, tokens_wanted: float | None = None, seed: int = 1, max_cells: int = 200_000) -> DataFrame:
     """``docs`` with cell columns, ``mix_weight`` (the factor), ``mix_probability`` and ``mix_sampled``."""
     scale = F.lit(1.0)
     if tokens_wanted is not None:
@@ -160,11 +207,16 @@ def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame,
     return got.withColumn("mix_sampled", u < F.col("mix_probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, tokens_wanted: int | None = None, seed: int = 1) -> DataFrame:
-    """All rows of ``docs`` with their probabilities and verdicts; without targets, those of :func:`tempered` shares."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, tokens_wanted: int | None = None, seed: int = 1, keep: float = 0.5) -> DataFrame:
+    """All rows of ``docs`` with their probabilities and verdicts.
+
+    Without targets, those of :func:`tempered` shares; without ``tokens_wanted`` too, the share ``keep`` of all tokens is expected in the sample.
+    """
     cells = cells_of(docs)
+    if not targets and tokens_wanted is None:
+        tokens_wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or {"source": 0.7, "lang": 0.7, "topic": 0.9}).items()}
-    return with_probability(docs, cells, factors(cells, targets), tokens_wanted, seed)
+    return with_probability(docs, cells, factors(cells, targets, tokens_wanted=tokens_wanted), tokens_wanted, seed)
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:

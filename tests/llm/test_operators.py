@@ -477,3 +477,23 @@ def test_mixing_fits_margins(spark):
     a, b = (sorted(tuple(x) for x in mixing.factors(cells, t, rounds=40).collect()) for t in (shares, tables))
     assert [x[:3] for x in a] == [x[:3] for x in b] and max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
     assert mixing.factors(cells, {"source": {"absent": 1.0}}).count() == 0 == mixing.factors(cells, {"source": {"absent": 1.0}}, max_cells=1).count()
+
+
+def test_mixing_rate_does_not_hang_on_the_rarest_cell(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(words(r.randrange(20, 400), i)), r.choice(["en", "en", "de"]), r.choice(["a", "a", "b"]), 0) for i in range(600)]
+    for extra in ([], [(1000, "one", "xx", "tiny", 0)], [(1000, "word " * 20, "en", "tiny", 0)]):
+        docs = spark.createDataFrame(rows + extra, DOCS)
+        got = mixing.mix(docs).collect()
+        total = sum(x["mix_tokens"] for x in got)
+        assert abs(sum(x["mix_tokens"] * x["mix_probability"] for x in got) / total - 0.5) < 1e-3
+        assert all(0.2 < x["mix_probability"] < 1 for x in got if x["doc_id"] < 1000) and all(x["mix_probability"] > 0.999 for x in got if x["doc_id"] == 1000)
+    cells = mixing.cells_of(docs)
+    targets = {m: mixing.tempered(cells, m, 0.7) for m in ("source", "lang")}
+    a, b = (sorted(tuple(x) for x in mixing.factors(cells, targets, max_cells=n, rounds=12, tokens_wanted=total / 2).collect()) for n in (1000, 1))
+    assert [x[:3] for x in a] == [x[:3] for x in b] and max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
+    wanted = {"source": {"a": 0.4, "b": 0.4, "tiny": 0.2}}
+    p = mixing.mix(docs, wanted, tokens_wanted=total // 3).collect()
+    assert abs(sum(x["mix_tokens"] * x["mix_probability"] for x in p) - total // 3) < 2
+    by = {v: sum(x["mix_tokens"] * x["mix_probability"] for x in p if x["mix_source"] == v) for v in wanted["source"]}
+    assert abs(by["a"] - by["b"]) < 2 and abs(by["tiny"] - 20) < 0.01
