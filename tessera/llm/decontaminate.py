@@ -17,6 +17,7 @@ one; extra columns of ``docs`` are kept by :func:`decontaminate`.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import stored
+
 from .common import ASCII_LOWER, ASCII_UPPER, arrow_map, filter_batches
 
 #: Upper case to lower case, all other ASCII characters that are no word character to a space.
@@ -220,30 +223,86 @@ def cut(text: str, sam: SuffixAutomaton, max_span_words: int, max_coverage: floa
         spans = [(a, b) for a, b in spans if b - a >= max_span_words]
         if not spans:
             return True, text
-        at = [m.span() for m in _WORD.finditer(folded)]
-        parts, last = [], 0
-        for a, b in spans:
-            parts.append(raw[last:at[a][0]])
-            last = at[b - 1][1]
-            gone += b - a
-        text = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+        gone += sum(b - a for a, b in spans)
+        text = without(raw, folded, spans)
+
+
+def without(raw: bytes, folded: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of spans, which are in order and don't overlap."""
+    at = [m.span() for m in _WORD.finditer(folded)]
+    parts, last = [], 0
+    for a, b in spans:
+        parts.append(raw[last:at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def cut_once(docs: DataFrame, blocks: list[Broadcast], state: str, max_span_words: int, max_coverage: float) -> DataFrame:
+    """One round of :func:`cut` with the spans of all blocks merged: a map for each block, of which the last cuts.
+
+    The struct column ``state`` carries the original word count, the words cut so far, the spans
+    found by earlier blocks and, after the last one, whether the text was cut and needs another round.
+    """
+    at, held = docs.columns.index("text"), docs.columns.index(state)
+    for k, bc in enumerate(blocks):
+
+        def run(batches, bc=bc, first=k == 0, last=k == len(blocks) - 1):
+            sam = bc.value
+            for b in batches:
+                texts, states, kept = b.column(at).to_pylist(), b.column(held).to_pylist(), [True] * b.num_rows
+                for i, text in enumerate(texts):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    folded = raw.translate(_FOLD)
+                    ws = folded.split()
+                    x = states[i] or {"n_all": len(ws), "gone": 0}
+                    spans = merge_spans([*sam.scan(ws)[0], *([] if first else ((s["start"], s["end"]) for s in x["spans"]))])
+                    gone, more = x["gone"], False
+                    if last and spans:
+                        kept[i] = gone + sum(z - a for a, z in spans) <= max_coverage * x["n_all"]
+                        spans = [(a, z) for a, z in spans if z - a >= max_span_words]
+                        if more := kept[i] and bool(spans):
+                            gone += sum(z - a for a, z in spans)
+                            texts[i] = without(raw, folded, spans)
+                    states[i] = {"n_all": x["n_all"], "gone": gone, "spans": [] if last else [{"start": a, "end": z} for a, z in spans], "more": more}
+                b = b.set_column(held, b.schema.field(held), pa.array(states, type=b.schema.field(held).type))
+                if last:
+                    b = b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type)).filter(pa.array(kept, type=pa.bool_()))
+                yield b
+
+        docs = arrow_map(docs, run, docs.schema)
+    return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span_words: int = 1, max_coverage: float = 0.5, max_block_words: int = 400_000, least_item_words: int = 5) -> DataFrame:
     """``docs`` with benchmark spans cut out; documents mostly made of such spans are dropped.
 
-    Cutting is repeated until no window of the block is left, as joining the rest of a text can make
-    a new one. Each block has a map of its own; coverage is measured within a block. Items of fewer
-    than ``least_item_words`` words are left out: a few words in common are no leak.
+    Cutting is repeated until no window is left, as joining the rest of a text can make a new one.
+    Coverage is what all blocks hit together, by the original word count, so results don't depend on
+    the number of blocks: with several, each round passes all of them and is stored, and only documents
+    that were cut go into the next. Items of fewer than ``least_item_words`` words are left out: a few
+    words in common are no leak.
     """
-    for bc in automata(benchmark, window, max_block_words, least_item_words):
+    blocks = automata(benchmark, window, max_block_words, least_item_words)
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
 
-        def factory(bc=bc):
+        def factory(bc=blocks[0]):
             sam = bc.value
             return lambda texts: [(True, t) if not t else cut(t, sam, max_span_words, max_coverage) for t in texts]
 
-        docs = filter_batches(docs, factory)
-    return docs
+        return filter_batches(docs, factory)
+    state = "__cut"
+    while state in docs.columns:
+        state += "_"
+    span = "array<struct<start:bigint,end:bigint>>"
+    todo, done = docs.withColumn(state, F.lit(None).cast(f"struct<n_all:bigint,gone:bigint,spans:{span},more:boolean>")), []
+    while True:
+        got = stored(cut_once(todo, blocks, state, max_span_words, max_coverage), "decontaminated")
+        done.append(got.where(~F.col(state)["more"]).drop(state))
+        todo = got.where(F.col(state)["more"])
+        if todo.isEmpty():
+            return functools.reduce(DataFrame.union, done)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,19 @@ def test_decontamination_cuts_and_drops(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    r = random.Random(13)
+    a, b, c, d = ([f"{x}{i}" for i in range(12)] for x in "abcd")
+    free = lambda n: [f"f{r.randrange(10**6)}" for _ in range(n)]
+    items = [" ".join(x) for x in (a, b, c, d)] + [" ".join(words(r.choice([8, 12, 20]), 200 + k, 3)) for k in range(6)]
+    texts = [" ".join(x) for x in (a + b + free(16), a[:6] + d + a[6:] + free(40), free(30) + c + free(20), free(9))] + [" ".join(words(60, k, 3) + free(60)) for k in range(20)] + [None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    docs = docs_of(spark, texts, __cut="mine")
+    assert len(decontaminate.automata(bench, max_block_words=20)) > 5
+    one, many = ({x["doc_id"]: x for x in decontaminate.decontaminate(docs, bench, max_block_words=n).collect()} for n in (400_000, 20))
+    assert one == many and 0 not in many and many[1]["text"].split() == texts[1].split()[24:] and many[1]["__cut"] == "mine"
+
+
 # --- 2: WARC
 
 
