@@ -1,20 +1,26 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates come from one pattern: private-key blocks, assignments to names such
-as ``password`` or ``token``, passwords in URLs, and long tokens with a digit.
+as ``password`` or ``token`` (a quoted value goes to its closing quote), passwords
+in URLs, tokens with a prefix that vendors publish, and other tokens of 16 or more
+characters with a digit. No run in it has an upper bound and none gives anything
+back, so a value is whole however long it is, and the search is linear.
 The text is split by the same pattern, so each candidate is known with its place
 and with what stands before and after it. Features are length, transitions
 between character classes, distinct characters, coverage by dictionary words,
-marks of paths and addresses, and words nearby. A random forest, trained in
-numpy from labelled findings on the driver, is then written out as a column
-expression of nested conditions.
+marks of paths and addresses, and words nearby. The dictionary is counted over the
+whole corpus (:func:`dictionary`). A random forest, trained in numpy from labelled
+findings on the driver, is then written out as a column expression of nested conditions.
 
 All of a row's work is done in that row with built-in functions; nothing is
-shuffled and no Python runs on executors. A document may hold any number of
+shuffled but the dictionary's counts and no Python runs on executors. A document may hold any number of
 candidates: they are an array of its own row until :func:`findings` explodes it.
 
 Defined cases: null or empty text has no findings and stays as it is; equal
-values in a text are separate findings; repeated rows are treated one by one;
+values in a text are separate findings; where several kinds fit at one place the
+first in the order above is taken; repeated rows are treated one by one; very long
+texts and values are searched to their end (of a value's distinct characters the
+first 512 are a feature); an empty table has no dictionary but the fixed words;
 :func:`redact` keeps all other columns, whatever their names, as it adds none.
 """
 
@@ -32,20 +38,26 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|(?:access[_-]?|auth[_-]?|refresh[_-]?|bot[_-]?)?token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?)"
-ASSIGN = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?:=>|:=|==|[:=])\s{{0,3}}[\"']?"
+SEPARATED = r"[\"']?[^\S\r\n]*+(?:=>|:=|==|[:=])[^\S\r\n]*+"
+ASSIGN = rf"(?i:{NAMES}){SEPARATED}"
 PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-#: In this order: the first that fits at a place is taken. Last runs have no upper bound and give nothing back, so a value is whole however long it is.
+#: Prefixes that vendors of tokens publish.
+VENDORS = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_)"
+IN_TOKEN = r"[A-Za-z0-9+/_=.-]"
+TOKEN = rf"(?<!{IN_TOKEN})(?:{VENDORS}{IN_TOKEN}{{12,}}+|(?=[A-Za-z+/_=.-]*+[0-9]){IN_TOKEN}{{16,}}+)"
+URL_USER, URL_PASSWORD = r"://[^\s/:@]*+:", r"(?:(?!://)[^\s@\"'<>]){3,}+"
+#: In this order: the first that fits at a place is taken.
 CANDIDATE = "|".join([
     PRIVATE + r"[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    r"(?<![A-Za-z])" + ASSIGN + r"[^\s\"',;<>|]{6,}+",
-    r"://[^\s/:@]{1,64}:[^\s/:@]{3,128}@",
-    r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,64}[0-9])[A-Za-z0-9+/_=.-]{16,}+",
+    rf"(?<![A-Za-z]){ASSIGN}(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
+    f"{URL_USER}{URL_PASSWORD}@",
+    TOKEN,
 ])
-#: Prefixes that vendors of tokens publish.
-PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_|-----BEGIN)"
+PREFIX = rf"^(?:{VENDORS}|-----BEGIN)"
 NEAR = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|auth)"
 INNOCENT = r"(?i)(?:commit|sha-?\d*|md5|checksum|digest|integrity|hash|uuid|guid|etag|revision|build|version|isbn|doi|order|invoice|serial|ticket|tracking|card|iban|phone|id)\b[^A-Za-z]{0,6}$"
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|changeme|change.?me|placeholder|your|xxxx|\*\*\*|redacted|todo|insert|here|none|null|required|optional|undefined|test.?test|foo|bar)"
+#: The dictionary where there is no corpus, and always part of it.
 WORDS = (
     "access action admin agent array auth back before body build cache card center channel child clear client cloud collect column comment compile config "
     "console container context copy count current daily data database default delete design device direct display domain draft edit email encode entry "
@@ -57,20 +69,29 @@ WORDS = (
     "string submit super switch system target temp test theme time token total transaction tree true unit upload user utils value vector version video "
     "visible window word worker write"
 ).split()
-DICTIONARY = "(?:" + "|".join(sorted((w for w in WORDS if len(w) >= 4), key=lambda w: (-len(w), w))) + ")"
-
-FEATURES = ("length", "transitions", "distinct", "digits", "upper", "symbols", "hex", "dictionary", "vowels", "path", "dotted", "prefix", "assigned", "quoted", "near", "innocent", "placeholder", "letters_only_runs")
+FEATURES = ("length", "transitions", "distinct", "digits", "upper", "symbols", "hex", "dictionary", "vowels", "path", "dotted", "prefix", "assigned", "quoted", "near", "innocent", "placeholder", "letters_only_runs", "spaced", "inner", "password")
 
 
 def _value(m: Column) -> Column:
     """What would be secret in a match."""
-    return F.when(m.startswith("://"), F.regexp_extract(m, r"^://[^\s/:@]+:([^\s/:@]+)@$", 1)).when(m.rlike(f"^{ASSIGN}"), F.regexp_replace(m, f"^{ASSIGN}", "")).otherwise(m)
+    return F.when(m.startswith("://"), F.regexp_replace(m, f"^{URL_USER}|@$", "")).when(m.rlike(f"^{ASSIGN}"), F.regexp_replace(m, f"^{ASSIGN}[\"']?", "")).otherwise(m)
+
 
+def dictionary(docs: DataFrame, most: int = 2_000, least_chars: int = 4) -> list[str]:
+    """The ``most`` commonest words of at least ``least_chars`` letters over all documents, and :data:`WORDS`.
 
-def _features(before: Column, value: Column, after: Column) -> list[Column]:
+    Words are counted with map-side sums; only the commonest reach the driver.
+    """
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).where(F.length("w").between(least_chars, 24))
+    common = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()
+    return list(dict.fromkeys([*(w for w in WORDS if len(w) >= least_chars), *(r["w"] for r in common)]))
+
+
+def _features(before: Column, value: Column, after: Column, known: list[str]) -> list[Column]:
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
-    covered = (F.length(value) - F.length(F.regexp_replace(F.lower(value), DICTIONARY, ""))) / n
+    listed, parts = F.split(F.lit(" ".join(known)), " "), F.regexp_extract_all(value, F.lit(r"(\p{Lu}?\p{Ll}+|\p{Lu}+)"), F.lit(1))
+    covered = F.aggregate(F.filter(parts, lambda p: F.array_contains(listed, F.lower(p))), F.lit(0), lambda a, p: a + F.length(p)) / n
     placeholders = (F.length(value) - F.length(F.regexp_replace(value, PLACEHOLDER, ""))) / n  # by chance a long value has one somewhere
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [
@@ -86,12 +107,15 @@ def _features(before: Column, value: Column, after: Column) -> list[Column]:
         share("/") + flag(before.rlike(r"[/\\]$|(?i)(?:href|src|path|file|import)\W{0,3}$")) + flag(value.rlike(r"\.[a-z]{2,4}$")),
         share(r"[._-]"),
         flag(value.rlike(PREFIX)),
-        flag(before.rlike(rf"(?:{ASSIGN})$|[:=]\s*[\"']?$|(?i)bearer\s$")),
+        flag(before.rlike(rf"(?:{ASSIGN})[\"']?$|[:=]\s*[\"']?$|(?i)bearer\s$")),
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         flag(before.rlike(NEAR)),
         flag(before.rlike(INNOCENT)),
         flag((placeholders >= 0.02) | before.rlike(r"(?i)(?:example|sample|dummy|placeholder)\W{0,12}$")),
         share("[A-Za-z]{5,}"),
+        flag(value.rlike(r"\s")),
+        flag(value.rlike(r"\s") & value.rlike(TOKEN)),
+        flag(before.rlike(r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret)" + SEPARATED + "[\"']?$")),
     ]
 
 
@@ -107,7 +131,7 @@ def _zipped(found: Column, pieces: Column, around: int) -> Column:
 
     def one(s: Column) -> Column:
         m, v = s["m"], _value(s["m"])
-        lead = F.when(m.startswith("://"), F.regexp_extract(m, r"^(://[^\s/:@]+:)", 1)).otherwise(F.substr(m, F.lit(1), F.length(m) - F.length(v)))
+        lead = F.when(m.startswith("://"), F.regexp_extract(m, f"^({URL_USER})", 1)).otherwise(F.substr(m, F.lit(1), F.length(m) - F.length(v)))
         before = F.right(F.concat(F.right(s["p"], F.lit(around)), lead), F.lit(around))
         tail = F.when(m.startswith("://"), "@").otherwise("")
         return F.struct(F.length(s["p"]).alias("gap"), lead.alias("lead"), v.alias("value"), before.alias("before"), F.concat(tail, F.left(s["q"], F.lit(16))).alias("after"), tail.alias("tail"))
@@ -116,11 +140,11 @@ def _zipped(found: Column, pieces: Column, around: int) -> Column:
 
 
 class Forest:
-    """Random forest of shallow trees, grown in numpy."""
+    """Random forest of shallow trees, grown in numpy. ``known`` is the dictionary that its features use."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, least: int = 4, seed: int = 3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, known: list[str], trees: int = 15, depth: int = 7, least: int = 4, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.trees = []
+        self.known, self.trees = known, []
         for _ in range(trees):
             rows = rng.integers(0, len(y), len(y))
             self.trees.append(self._grow(x[rows], y[rows], depth, least, rng))
@@ -164,29 +188,35 @@ class Forest:
         return functools.reduce(lambda a, b: a + b, [write(t) for t in self.trees]) / len(self.trees)
 
 
-def labelled_findings(n: int = 1_500, seed: int = 5) -> list[tuple[str, int]]:
-    """Invented findings: a text with one candidate, and whether it is a secret."""
+def labelled_findings(n: int = 1_500, seed: int = 5, known: list[str] = WORDS) -> list[tuple[str, int]]:
+    """Invented findings: a text with one candidate, and whether it is a secret. ``known`` are words to make names and phrases of."""
     r = random.Random(seed)
     alnum, hexa, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
-    word = lambda: r.choice(WORDS)
+    word = lambda: r.choice(known)
     case = lambda s: r.choice([str, str, str.upper])(s)
     name = lambda: r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "SECRET_KEY", "private_key", "credential"])
-    prose = lambda: " ".join("".join(r.choice(["the", "an", "er", "ion", "ti", "he", "ou", "es", "der", "la", "en", "que"]) for _ in range(r.randint(1, 4))) for _ in range(6))
+    syllables = lambda: "".join(r.choice(["the", "an", "er", "ion", "ti", "he", "ou", "es", "der", "la", "en", "que"]) for _ in range(r.randint(1, 4)))
+    prose = lambda: " ".join(syllables() for _ in range(6))
     assign = lambda v: r.choice(['{} = "{}"', "{}={}", '{}: "{}"', "{}: {}", '"{}": "{}"', "{} := '{}'", "export {}={}"]).format(name(), v)
 
     def secret() -> str:
         v = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: pick(hexa, 40), lambda: pick(alnum, r.randint(16, 48)), lambda: pick(b64, r.choice([24, 40, 64])) + r.choice(["", "=", "=="]), lambda: r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "AIza" + pick(alnum + "_-", 35), "eyJ" + pick(b64, 30) + "." + pick(b64, 40) + "." + pick(b64, 30)]), lambda: pick(alnum + "!@$%^*_-", r.randint(9, 20)) + pick(string.digits, 2)])()
         kind = r.random()
-        if kind < 0.7:
+        if kind < 0.6:
             return case(assign(v))
-        if kind < 0.8:
+        if kind < 0.7:
             return f"Authorization: Bearer {pick(alnum, r.randint(24, 60))}"
-        if kind < 0.87:
+        if kind < 0.77:
             return f"{r.choice(['postgres', 'https', 'mysql', 'amqp'])}://{word()}:{pick(alnum + '!$*_', r.randint(8, 20))}@{word()}.example.com/x"
-        if kind < 0.9:
+        if kind < 0.92:
+            phrase = " ".join(r.choice([word, syllables])() for _ in range(r.randint(2, 6)))
+            given = lambda names, v: r.choice(['{} = "{}"', "{}: '{}'", '"{}": "{}"']).format(r.choice(names), v)
+            return given(["passphrase", "password", "db_password", "secret", "passwd"], phrase) if r.random() < 0.6 else given(["token", "password", "api_key"], f"{phrase} {pick(alnum, r.randint(20, 40))}1")
+        if kind < 0.94:
             return "-----BEGIN RSA PRIVATE KEY-----\n" + pick(b64, 120) + "\n-----END RSA PRIVATE KEY-----"
-        return r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk_live_" + pick(alnum, 24), "glpat-" + pick(alnum, 20)])
+        letters = r.choice([alnum, string.ascii_letters])
+        return r.choice(["AKIA" + pick(letters, 16).upper(), "ghp_" + pick(letters, 36), "sk_live_" + pick(letters, 24), "glpat-" + pick(letters, 20), "sk-" + pick(letters, 40)])
 
     def innocent() -> str:
         cap = lambda: word().capitalize()
@@ -204,6 +234,9 @@ def labelled_findings(n: int = 1_500, seed: int = 5) -> list[tuple[str, int]]:
             lambda: f"{name()} = {word()}.{word()}_{word()}({r.randint(1, 9)})",
             lambda: f"{name()}: {word()}{r.choice(['', 's', 'ed'])}",
             lambda: f"{name()} == {word()}_{word()}",
+            lambda: f"{r.choice(['token', 'api_key', 'credentials'])}: \"{word()} {word()} {word()}\"",
+            lambda: f"sk-{word()}-{word()}-{word()}",
+            lambda: f"https://{word()}.com:{r.randint(80, 9999)}/{word()}/@{word()}",
             lambda: f"data:image/png;base64,{pick(b64, 80)}",
             lambda: f"{pick(string.digits, 4)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}T{pick(string.digits, 2)}.{pick(string.digits, 2)}.{pick(string.digits, 6)}",
             lambda: f"{r.randint(1, 99)}.{word()}@mail{r.randint(1, 9)}.{word()}.com",
@@ -215,23 +248,24 @@ def labelled_findings(n: int = 1_500, seed: int = 5) -> list[tuple[str, int]]:
     return [(f"{prose()}{r.choice([' ', '. ', chr(10), ' | ', '### '])}{t}{r.choice([' ', '.', chr(10), '### ', ' | '])}{prose()}", y) for t, y in rows]
 
 
-def _feature_struct(s: Column) -> Column:
-    return F.struct(*[c.cast("double").alias(n) for n, c in zip(FEATURES, _features(s["before"], s["value"], s["after"]), strict=True)])
+def _feature_struct(s: Column, known: list[str]) -> Column:
+    return F.struct(*[c.cast("double").alias(n) for n, c in zip(FEATURES, _features(s["before"], s["value"], s["after"], known), strict=True)])
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None, max_rows: int = 20_000, **how) -> Forest:
-    """A forest of the first ``max_rows`` labelled findings; features come from the same expressions as in use."""
-    rows = (labelled if labelled is not None else labelled_findings())[:max_rows]
+def train(spark: SparkSession, docs: DataFrame | None = None, labelled: list[tuple[str, int]] | None = None, max_rows: int = 20_000, **how) -> Forest:
+    """A forest of the first ``max_rows`` labelled findings; features come from the same expressions as in use, with the dictionary of ``docs``."""
+    known = WORDS if docs is None else dictionary(docs)
+    rows = (labelled if labelled is not None else labelled_findings(known=known))[:max_rows]
     given = F.from_json(F.lit(json.dumps([{"text": t, "y": y} for t, y in rows])), "array<struct<text:string,y:int>>")
     df = spark.range(1).select(F.explode(given).alias("r")).select("r.*").withColumn("c", candidates(F.col("text")))
-    got = df.where("c IS NOT NULL").select("y", F.explode("c").alias("s")).select("y", F.array(*[c.cast("double") for c in _features(F.col("s.before"), F.col("s.value"), F.col("s.after"))]).alias("x")).collect()
+    got = df.where("c IS NOT NULL").select("y", F.explode("c").alias("s")).select("y", F.array(*[c.cast("double") for c in _features(F.col("s.before"), F.col("s.value"), F.col("s.after"), known)]).alias("x")).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=np.float64)
-    return Forest(np.round(x, 6), y, **how)
+    return Forest(np.round(x, 6), y, known, **how)
 
 
 def judged(text: Column, forest: Forest, threshold: float = 0.5) -> Column:
     """:func:`candidates` with ``score`` and ``is_secret``."""
-    scored = F.transform(F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _feature_struct(s).alias("f"))), lambda x: F.struct(x["s"].alias("s"), F.round(forest.column(x["f"]), 6).alias("score")))
+    scored = F.transform(F.transform(candidates(text), lambda s: F.struct(s.alias("s"), _feature_struct(s, forest.known).alias("f"))), lambda x: F.struct(x["s"].alias("s"), F.round(forest.column(x["f"]), 6).alias("score")))
     return F.transform(scored, lambda x: F.struct(*[x["s"][c].alias(c) for c in ("gap", "lead", "value", "before", "after", "tail")], x["score"].alias("score"), (x["score"] >= threshold).alias("is_secret")))
 
 
@@ -273,4 +307,5 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark: str =
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(table(spark, sf_dir, "documents"), train(spark))
+    docs = table(spark, sf_dir, "documents")
+    return findings(docs, train(spark, docs))

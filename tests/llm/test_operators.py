@@ -413,7 +413,7 @@ def forest(spark):
 def test_secrets_forest_column_equals_numpy(spark, forest):
     rows = secrets.labelled_findings(60, seed=77)
     df = spark.createDataFrame(rows, "text string, y int").withColumn("c", F.explode(secrets.candidates(F.col("text"))))
-    df = df.withColumn("f", secrets._feature_struct(F.struct(F.col("c.before").alias("before"), F.col("c.value").alias("value"), F.col("c.after").alias("after"))))
+    df = df.withColumn("f", secrets._feature_struct(F.struct(F.col("c.before").alias("before"), F.col("c.value").alias("value"), F.col("c.after").alias("after")), forest.known))
     got = df.select("f", forest.column(F.col("f")).alias("p")).collect()
     x = np.array([[r["f"][n] for n in secrets.FEATURES] for r in got])
     assert np.abs(forest.predict(x) - np.array([r["p"] for r in got])).max() < 1e-9
@@ -457,6 +457,104 @@ def test_secrets_long_values_are_whole(spark, forest):
     assert all(new[i] == t.replace(v, "[SECRET]") for i, (t, v) in enumerate(zip(texts, [*values, *bare, block])))
 
 
+def scanned(text):
+    """Candidates of a text, found character by character: (start, value, kind)."""
+    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
+    names = ["secret_key", "secretkey", "access_token", "client_secret", "password", "passwd", "passphrase", "api_key", "apikey", "token", "secret", "pwd"]
+    vendors = ["AKIA", "ghp_", "sk_live_", "sk-", "glpat-"]
+    out, i, n = [], 0, len(text)
+
+    def run(at, ok):
+        while at < n and ok(text[at]):
+            at += 1
+        return at
+
+    def assigned(at):
+        if at and text[at - 1].isalpha():
+            return None
+        for name in (x for x in names if text[at:at + len(x)].lower() == x):
+            j = at + len(name)
+            j += j < n and text[j] in "\"'"
+            j = run(j, lambda c: c in " \t")
+            sep = next((s for s in ("=>", ":=", "==", ":", "=") if text.startswith(s, j)), None)
+            if sep is None:
+                continue
+            j = run(j + len(sep), lambda c: c in " \t")
+            for q in "\"'":
+                if text[j:j + 1] == q:
+                    e = run(j + 1, lambda c: c not in q + "\r\n")
+                    if e - j > 6 and text[e:e + 1] == q:
+                        return j + 1, e
+            j += j < n and text[j] in "\"'"
+            e = run(j, lambda c: not c.isspace() and c not in "\"',;<>|")
+            if e - j >= 6:
+                return j, e
+        return None
+
+    while i < n:
+        if got := assigned(i):
+            out.append((got[0], text[got[0]:got[1]], "assignment"))
+            i = got[1]
+            continue
+        if text.startswith("://", i):
+            j = run(i + 3, lambda c: not c.isspace() and c not in "/:@")
+            if text[j:j + 1] == ":":
+                e = run(j + 1, lambda c: not c.isspace() and c not in "@\"'<>")
+                e = min(e, k if (k := text.find("://", j + 1)) >= 0 else n)
+                if e - j > 3 and text[e:e + 1] == "@":
+                    out.append((j + 1, text[j + 1:e], "url_password"))
+                    i = e + 1
+                    continue
+        if text[i] in token and (i == 0 or text[i - 1] not in token):
+            e = run(i, token.__contains__)
+            v = text[i:e]
+            if any(v.startswith(x) and len(v) >= len(x) + 12 for x in vendors) or len(v) >= 16 and any(c.isdigit() for c in v):
+                out.append((i, v, "token"))
+                i = e
+                continue
+        i += 1
+    return out
+
+
+def test_secrets_candidates_equal_a_scan_by_characters(spark, forest):
+    r = random.Random(21)
+    alnum = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
+    size = lambda: r.choice([1, 2, 5, 6, 7, 15, 16, 40, 65, 66, 130, 257, 700, 4_097, 50_000])
+    parts = [
+        lambda: pick("abcdef ", r.randrange(1, 30)), lambda: r.choice([" ", "\n", ". ", ", ", "'", '"', ":", "=", "@", "://", "/"]), lambda: pick(alnum, size()), lambda: pick(alnum[:40], size()),
+        lambda: f'{r.choice(["password", "api_key", "TOKEN", "db_secret", "passphrase"])}{r.choice([" = ", ": ", "=", " := ", "\" : "])}{r.choice(["", "\"", "\'"])}{pick(alnum + " !$@", size())}{r.choice(["", "\"", "\'"])}',
+        lambda: f"{r.choice(['redis', 'https'])}://{r.choice(['', 'user', 'a' * 70])}:{pick(alnum + '/!$:', size())}{r.choice(['@', ' '])}host", lambda: r.choice(["AKIA", "ghp_", "sk-", "glpat-"]) + pick(alnum[:40], size()),
+    ]
+    texts = ["".join(r.choice(parts)() for _ in range(r.randrange(1, 12))) for _ in range(150)]
+    texts += ["ghp_" + "abcdefghijkl" * 3, "sk-" + "a" * 80 + "1", "secret " + "x" * 80 + "123", "redis://:pass/word@host", 'password: "correct horse battery staple" ok']
+    got = {}
+    for x in secrets.findings(docs_of(spark, texts), forest).collect():
+        got.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["value_sha256"], x["kind"]))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(a, len(v), hashlib.sha256(v.encode()).hexdigest(), k) for a, v, k in scanned(t)], t[:300]
+
+
+def test_secrets_leave_no_character_of_a_value(spark, forest):
+    r = random.Random(22)
+    alnum = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    pick = lambda k, s=alnum: "".join(r.choice(s) for _ in range(k))
+    values = [(f'token = "{v}"', v) for v in (pick(40), pick(800), pick(50_000))] + [(f"Authorization: Bearer {v}", v) for v in (pick(60), pick(6_003))]
+    values += [(f"key {v}", v) for v in ("ghp_" + pick(36, alnum[:46]), "AKIA" + pick(16, alnum[:24]))] + [(f"redis://:{v}@host", v) for v in (pick(20), pick(300), pick(9) + "/" + pick(9))]
+    values += [('db_password = "correct horse battery staple"', "correct horse battery staple")]
+    docs = docs_of(spark, [f"en un der la que {t} the other words" for t, _ in values] * 2)
+    new = {x["doc_id"]: x["text"] for x in secrets.redact(docs, forest).collect()}
+    for i, (t, v) in enumerate(values * 2):
+        assert new[i] == f"en un der la que {t.replace(v, '[SECRET]')} the other words"
+
+
+def test_secrets_dictionary_comes_from_the_corpus(spark):
+    docs = docs_of(spark, ["zorbling zorbling zorbling Zorbling", "zorbling quuxed", None, "", "é ab 12"])
+    known = secrets.dictionary(docs, most=1)
+    assert known[-1] == "zorbling" and "quuxed" not in known and set(secrets.dictionary(docs.limit(0))) == {w for w in secrets.WORDS if len(w) >= 4}
+    assert secrets.train(spark, docs).known == secrets.dictionary(docs)
+
+
 def test_sums_before(spark):
     for n in (1, 2, 255, 256, 257, 1000):
         xs = [k % 7 for k in range(n)]
