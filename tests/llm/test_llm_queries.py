@@ -46,7 +46,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if name == "simhash":
             assert docs.count() == simhash.components_of(before).select("component_id").distinct().count()
         if name == "decontamination":
-            got = decontaminate.match(docs, decontaminate.automata(spark.read.parquet(f"{sf}/benchmark.parquet")))
+            got = decontaminate.match(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
             assert got.where(F.size("spans") > 0).count() == 0
         if name == "secrets":
             assert docs.count() == before.count()

@@ -46,16 +46,18 @@ def brute_hits(text, items, window):
             if tuple(ws[i:i + k]) in grams:
                 hit.update(range(i, i + k))
                 found.add(str(name))
+    found.discard("None")
     return len(ws), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_block_words", [400_000, 40])
-def test_decontamination_equals_brute_force(spark, max_block_words):
+@pytest.mark.parametrize(("max_block_words", "max_pass_words"), [(400_000, 400_000), (40, 400_000), (20, 60)])
+def test_decontamination_equals_brute_force(spark, max_block_words, max_pass_words):
     r = random.Random(1)
-    items = [(k, " ".join(words(r.choice([1, 3, 8, 12, 25]), 100 + k, 4))) for k in range(12)] + [(50, None), (51, "..."), (52, "One-Two, ÜBER three")]
-    texts = [" ".join(words(r.randrange(0, 80), k, 4)) for k in range(40)] + [None, "", "!!!", items[4][1], f"x {items[5][1]} y {items[5][1]}", "so one two ÜBER three!", "so one two über three!"]
+    items = [(k, " ".join(words(r.choice([1, 3, 8, 12, 25]), 100 + k, 4))) for k in range(12)] + [(50, None), (51, "..."), (52, "One-Two, ÜBER three"), (None, "of no name")]
+    texts = [" ".join(words(r.randrange(0, 80), k, 4)) for k in range(40)] + [None, "", "!!!", items[4][1], f"x {items[5][1]} y {items[5][1]}", "so one two ÜBER three!", "so one two über three!", "here of no name", "w1 " * 60_000]
+    texts += texts[3:6]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.match(docs_of(spark, texts), decontaminate.automata(bench, 6, max_block_words)).collect()
+    got = decontaminate.match(docs_of(spark, texts, spans="mine"), bench, 6, max_block_words, max_pass_words).collect()
     assert len(got) == len(texts)
     for row in got:
         n, hit, found = brute_hits(texts[row["doc_id"]], items, 6)
@@ -74,7 +76,10 @@ def test_decontamination_cuts_and_drops(spark):
     assert got[0]["score"] == 1.5 and got[0]["spans"] == "mine"
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 5
     short = spark.createDataFrame([(1, "really nothing")], "item_id long, text string")
-    assert {r["text"] for r in decontaminate.decontaminate(docs, short).collect()} == set(texts)
+    assert {r["text"] for r in decontaminate.decontaminate(docs, short, least_item_words=5).collect()} == set(texts)
+    got = {r["text"] for r in decontaminate.decontaminate(docs, short).collect()}
+    assert "nothing of that kind is in here at all, " in got and not any("really nothing" in (t or "") for t in got) and {item, None, ""} <= got
+    assert {r["text"] for r in decontaminate.decontaminate(docs_of(spark, ["yes", "no yes, yes yes", "no no yes no"]), spark.createDataFrame([(1, "Yes")], "item_id long, text string")).collect()} == {"no no  no"}
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
@@ -86,9 +91,9 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     texts = [" ".join(x) for x in (a + b + free(16), a[:6] + d + a[6:] + free(40), free(30) + c + free(20), free(9))] + [" ".join(words(60, k, 3) + free(60)) for k in range(20)] + [None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
     docs = docs_of(spark, texts, __cut="mine")
-    assert len(decontaminate.automata(bench, max_block_words=20)) > 5
-    one, many = ({x["doc_id"]: x for x in decontaminate.decontaminate(docs, bench, max_block_words=n).collect()} for n in (400_000, 20))
-    assert one == many and 0 not in many and many[1]["text"].split() == texts[1].split()[24:] and many[1]["__cut"] == "mine"
+    assert len(list(decontaminate.item_blocks(bench, 20))) > 5 and len(list(decontaminate.passes(bench, 20, 45))) > 2
+    one, many, more = ({x["doc_id"]: x for x in decontaminate.decontaminate(docs, bench, max_block_words=n, max_pass_words=m).collect()} for n, m in ((400_000, 400_000), (20, 400_000), (20, 45)))
+    assert one == many == more and 0 not in many and many[1]["text"].split() == texts[1].split()[24:] and many[1]["__cut"] == "mine"
 
 
 # --- 2: WARC
