@@ -5,6 +5,9 @@ effect: toxic documents go, one document of each near-duplicate group stays,
 benchmark passages are cut out (documents mostly made of them go), secrets are
 replaced, and the last stage samples to target weights. All but the last return
 the columns of ``documents``.
+
+Defined cases: an empty table gives an empty one; null, empty and very long texts,
+repeated rows and extra columns of any name pass as each stage's docstring says.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten or more words of a benchmark item, and whole shorter items, are cut out."""
+    """Passages of ten or more words of a benchmark item, and whole shorter items of any length, are cut out; documents mostly made of them go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values of secrets are replaced by a mark; every document stays."""
-    return secrets.redact(docs, secrets.train(spark))
+    return secrets.redact(docs, secrets.train(spark, docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-    return at.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` was given.
+
+    Where neither is set, a run on one machine (``local``) gets a temporary folder; on a cluster it is an error,
+    as executors don't see each other's local folders.
+    """
+    sc = spark.sparkContext
+    if at := sc.getConf().get("spark.checkpoint.dir", ""):
+        return at.rstrip("/")
+    if (given := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return given.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
