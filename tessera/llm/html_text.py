@@ -6,19 +6,26 @@ go. Every paragraph then gets points for its length and its commas and passes
 them to its ancestors, fewer the further up; each container's points are
 discounted by the share of its text that lies in links. The best container is
 kept with those of its siblings, and of its ancestors' siblings, that score
-well; inside them, lists and blocks that are mostly links are left out.
+well; inside them, lists and blocks that are mostly links are left out, but for
+lists that a heading or a paragraph ending in a colon announces (references).
+
+No walk recurses, so elements may be nested to any depth, and each is linear in
+the page; points go up to ``REACH`` ancestors, by then a hundredth of them.
 
 Defined cases: null or empty html gives an empty text; a page without any
 paragraph of ``least_chars`` gives the text of its first ``article`` or ``main``,
-else of its body; broken markup is read as browsers do (unclosed elements end
-with their parent, a paragraph with the next block). Repeated rows are treated
-one by one, other columns of ``pages`` ignored.
+else of its body; of containers with equal scores the one scored first is best; broken
+markup is read as browsers do (unclosed elements end with their parent, a paragraph
+with the next block); very long pages are read to their end. Repeated rows are treated
+one by one, other columns of ``pages`` ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +43,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONING = frozenset("section div aside article".split())
 #: A start tag of the key ends an open element of the value, up to a boundary.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-_DROP = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select textarea input label option dialog menu map".split())
+_DROP = frozenset("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav footer aside form button select textarea input label option dialog menu map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note status".split())
-_BAD = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager paging toolbar footer footnav masthead sidebar aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular outbrain taboola comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall share sharing social follow search skip skiplink legal copyright disclaimer toc".split())
+_BAD = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager paging toolbar footer footnav masthead sidebar aside rail widget widgets related recommended recommendations recommend teaser teasers trending popular outbrain taboola comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall share sharing social follow search skip skiplink legal copyright disclaimer toc tags".split())
+#: Names that mark something unwanted only by themselves or with words of layout: an article may have a legal-analysis or related-work.
+_UNSURE = frozenset("legal copyright notice notices related popular trending search share sharing social follow reply replies respond discussion response alert promotion menu subscription sponsor sponsored".split())
+_LAYOUT = frozenset("left right top bottom inner outer wrap wrapper container box list item items block section area content panel unit col column row header heading title body link links button buttons icon icons text primary secondary global site page post posts article articles story stories news fixed sticky mobile desktop small large bar form group topics module feed card cards".split())
+REACH = 32
 _WEAK = frozenset("header meta info tools extra".split())
 _GOOD = frozenset("article main content post entry story text body page".split())
 #: Names by which an element says that it holds the article.
@@ -49,18 +61,42 @@ _NEVER = frozenset("html body main".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "up", "kids", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "attrs", "up", "kids", "score", "chars", "linked", "commas", "anchors", "holds", "lead")
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
         self.score = 0.0
-        self.chars = self.linked = self.commas = 0
+        self.chars = self.linked = self.commas = self.anchors = 0
+        self.holds = tag in ("article", "main")  # or has such an element inside
+        self.lead: Node | None = None  # the heading that a block begins with
+
+
+def preorder(x: Node, into=lambda k: True) -> Iterator[Node]:
+    """The node and those below it in page order; ``into`` tells whose kids are visited."""
+    stack = [x]
+    while stack:
+        x = stack.pop()
+        yield x
+        if into(x):
+            stack.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+
 
 
 def tree(page: str) -> Node:
     root = Node("html", "", None)
     top, at = root, 0
+    open_: Counter = Counter()  # open elements by tag, so that nothing is looked for in vain
+    absent: set[str] = set()  # raw elements without an end tag in what is left
+
+    def close(x: Node) -> Node:
+        nonlocal top
+        while top is not x:
+            open_[top.tag] -= 1
+            top = top.up
+        open_[x.tag] -= 1
+        return x.up
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             top.kids.append(page[at:m.start()])
@@ -69,38 +105,49 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not open_[tag]:
+                continue
             x = top
-            while x is not root and x.tag != tag:
+            while x.tag != tag:
                 if x.tag in ("table", "article", "body") and tag not in _BLOCK:
                     break
                 x = x.up
-            if x.tag == tag and x is not root:
-                top = x.up
+            if x.tag == tag:
+                top = close(x)
             continue
         if tag == "html":
             continue
-        if tag in _BLOCK and tag != "body":
+        if tag in _BLOCK and tag != "body" and (open_["p"] or any(open_[h] for h in _HEADING)):
             x = top
             while x is not root and x.tag not in ("p", *_HEADING, "table", "td", "th", "li", "div", "button", "article", "section"):
                 x = x.up
             if x.tag == "p" or x.tag in _HEADING and tag in _HEADING:
-                top = x.up
-        if tag in _ENDS:
+                top = close(x)
+        if tag in _ENDS and any(open_[e] for e in _ENDS[tag][0]):
             ends, stop = _ENDS[tag]
             x = top
             while x is not root and x.tag not in ends and x.tag not in stop:
                 x = x.up
             if x.tag in ends:
-                top = x.up
+                top = close(x)
         node = Node(tag, m[3], top)
         top.kids.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = None if tag in absent else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if end is None:
+                absent.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
         elif tag not in _VOID and not m[3].endswith("/"):
             top = node
+            open_[tag] += 1
     if at < len(page):
         top.kids.append(page[at:])
+    for x in reversed(list(preorder(root))):
+        x.holds = x.holds or any(k.holds for k in x.kids if isinstance(k, Node))
+        if x.tag in _SECTIONING:
+            first = next((k for k in x.kids if isinstance(k, Node) or k.strip()), None)
+            if isinstance(first, Node):
+                x.lead = first if first.tag in _HEADING else first.lead if first.tag == "div" and x.tag != "article" else None
     return root
 
 
@@ -125,87 +172,95 @@ def unwanted(x: Node, inside: bool) -> bool:
     bad = [p for p in parts if p in _BAD]
     good = [p for p in parts if p in _GOOD]
     if not bad:
-        return bool([p for p in parts if p in _WEAK]) and not good and not inside and x.tag != "article" and not find(x, ("article", "main"))
-    if not {"comment", "comments", "related", "recommended"} & set(bad) and find(x, ("article", "main")) is not None:
+        return bool([p for p in parts if p in _WEAK]) and not good and not inside and not x.holds
+    if not {"comment", "comments", "related", "recommended"} & set(bad) and x.holds:
         return False  # a frame round the article, named after what else it holds
+    if inside and _UNSURE.issuperset(bad) and not (_BAD | _LAYOUT).issuperset(parts):
+        return False
     return {"with", "has", "no"}.isdisjoint(parts)
 
 
 #: Headings of what follows an article.
-_AFTER = re.compile(r"(?i)^\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|leave a (?:reply|comment)|join the discussion|responses?|related(?: \w+)?|read (?:more|next)|more (?:stories|from .*)|you may also like|share this|advertisement|newsletter|subscribe|kommentare|commentaires|comentarios)\W*(?:\(?\d+\)?)?\W*$")
+_AFTER = re.compile(r"(?i)^\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|leave a (?:reply|comment)|join the discussion|responses?|related(?: (?:articles?|posts?|stories|news|links|reading|content|topics|pages|coverage|videos))?|read (?:more|next)|more (?:stories|from .*)|you may also like|share this|advertisement|newsletter|subscribe|kommentare|commentaires|comentarios)\W*(?:\(?\d+\)?)?\W*$")
 
 
-def headed_after(x: Node) -> bool:
-    """Whether a block's first content is a heading that announces comments, other articles or the like."""
-    if x.tag not in ("section", "div", "aside", "article"):
+def headed_after(x: Node, known: dict[int, bool]) -> bool:
+    """Whether a block begins with a heading that announces comments, other articles or the like."""
+    if x.lead is None:
         return False
-    for k in x.kids:
-        if isinstance(k, str):
-            if k.strip():
-                return False
-        elif k.tag in _HEADING:
-            return bool(_AFTER.match(" ".join("".join(texts(k)).split())))
-        else:
-            return headed_after(k) if k.tag in ("div", "header") and x.tag != "article" else False
-    return False
+    if id(x.lead) not in known:
+        known[id(x.lead)] = bool(_AFTER.match(" ".join("".join(texts(x.lead)).split())))
+    return known[id(x.lead)]
 
 
-def texts(x: Node):
-    for k in x.kids:
+def texts(x: Node) -> Iterator[str]:
+    stack = list(reversed(x.kids))
+    while stack:
+        k = stack.pop()
         if isinstance(k, str):
             yield entities.unescape(k)
         else:
-            yield from texts(k)
+            stack.extend(reversed(k.kids))
 
 
-def prune(x: Node, inside: bool = False) -> None:
-    inside = inside or x.tag == "article"
-    kids = []
-    for k in x.kids:
-        if isinstance(k, Node):
-            if unwanted(k, inside) or headed_after(k) and not find(k, ("main",)):
-                continue
-            if k.tag == "header":  # of an article: its headings stay
-                keep_headings(k)
-            prune(k, inside)
-        kids.append(k)
-    x.kids = kids
-
-
-def keep_headings(x: Node) -> None:
-    x.kids = [k for k in x.kids if isinstance(k, Node) and (k.tag in _HEADING or k.tag in ("div", "hgroup"))]
-    for k in x.kids:
-        if k.tag not in _HEADING:
-            keep_headings(k)
-
-
-def count(x: Node, in_link: bool = False) -> None:
-    """Characters, those in links, and commas of each subtree."""
-    in_link = in_link or x.tag == "a"
-    for k in x.kids:
-        if isinstance(k, Node):
-            count(k, in_link)
-            x.chars += k.chars
-            x.linked += k.linked
-            x.commas += k.commas
-        elif t := k.strip():
-            x.chars += len(t)
-            x.linked += len(t) * in_link
-            x.commas += t.count(",") + t.count("、") + t.count("，")
+def prune(root: Node) -> None:
+    stack, known = [(root, False)], {}
+    while stack:
+        x, inside = stack.pop()
+        inside = inside or x.tag == "article"
+        kids = []
+        for k in x.kids:
+            if isinstance(k, Node):
+                if unwanted(k, inside) or headed_after(k, known) and not find(k, ("main",)):
+                    continue
+                if k.tag == "header":  # of an article: its headings and running text stay
+                    keep_headings(k)
+                stack.append((k, inside))
+            kids.append(k)
+        x.kids = kids
+
+
+def keep_headings(x: Node, least_chars: int = 60) -> None:
+    for x in preorder(x, lambda k: k.tag not in _HEADING and k.tag != "p"):
+        if x.tag not in _HEADING and x.tag != "p":
+            x.kids = [k for k in x.kids if isinstance(k, Node) and (k.tag in _HEADING or k.tag in ("div", "hgroup") or k.tag == "p" and sum(map(len, texts(k))) >= least_chars)]
+
+
+def count(root: Node) -> None:
+    """Characters, those in links, commas and links of each subtree."""
+    nodes, linked = list(preorder(root)), {id(root)} if root.tag == "a" else set()
+    for x in nodes:
+        if x.tag == "a" or x.up is not None and id(x.up) in linked:
+            linked.add(id(x))
+    for x in reversed(nodes):
+        for k in x.kids:
+            if isinstance(k, Node):
+                x.chars += k.chars
+                x.linked += k.linked
+                x.commas += k.commas
+                x.anchors += 1 if k.tag == "a" else k.anchors
+            elif t := k.strip():
+                x.chars += len(t)
+                x.linked += len(t) * (id(x) in linked)
+                x.commas += t.count(",") + t.count("、") + t.count("，")
 
 
 def own_text(x: Node) -> bool:
     return any(isinstance(k, str) and k.strip() for k in x.kids)
 
 
-def paragraphs(x: Node) -> list[Node]:
-    """Elements that hold running text, not nested in each other."""
-    if x.tag in ("p", "pre", "blockquote", "td", "li", "dd", "figcaption") and not any(isinstance(k, Node) and k.tag in _BLOCK for k in x.kids):
-        return [x]
-    out = [x] if x.tag in _BLOCK and x.tag not in _HEADING and own_text(x) and not any(isinstance(k, Node) and k.tag == "p" for k in x.kids) else []
-    for k in x.kids:
-        if isinstance(k, Node) and k.tag not in _HEADING:
-            out += paragraphs(k)
+def paragraphs(root: Node) -> list[Node]:
+    """Elements that hold running text, not nested in each other, and blocks with text of their own beside such."""
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        inner = [k for k in x.kids if isinstance(k, Node)]
+        if x.tag in ("p", "pre", "blockquote", "td", "li", "dd", "figcaption") and not any(k.tag in _BLOCK for k in inner):
+            out.append(x)
+            continue
+        if x.tag in _BLOCK and x.tag not in _HEADING and own_text(x) and not any(k.tag == "p" for k in inner):
+            out.append(x)
+        stack.extend(k for k in reversed(inner) if k.tag not in _HEADING)
     return out
 
 
@@ -221,7 +276,7 @@ def chosen(root: Node, least_chars: int, least_share: float) -> list[Node]:
             continue
         points = (1 + p.commas + min(p.chars / 100, 3)) * (1 - density(p))
         x, level = p.up if p.tag not in ("div", "section", "article", "main", "body") else p, 0
-        while x is not None:
+        while x is not None and level < REACH:
             x.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[id(x)] = x
             x, level = x.up, level + 1
@@ -247,81 +302,57 @@ def chosen(root: Node, least_chars: int, least_share: float) -> list[Node]:
                     keep.add(id(s))
         x = x.up
 
-    def walk(x: Node) -> list[Node]:
-        return [x] if id(x) in keep else [n for k in x.kids if isinstance(k, Node) for n in walk(k)]
+    return [x for x in preorder(root, lambda x: id(x) not in keep) if id(x) in keep]
+
 
-    return walk(root)
+def announced(x: Node) -> bool:
+    """Whether a list of links belongs to the article: after a heading or a paragraph with a colon, and not of links within the page."""
+    if x.tag not in ("ul", "ol", "dl"):
+        return False
+    before = None
+    for k in x.up.kids if x.up else []:
+        if k is x:
+            break
+        if isinstance(k, Node) or k.strip():
+            before = k
+    if not isinstance(before, Node) or not (before.tag in _HEADING or before.tag == "p" and "".join(texts(before)).rstrip().endswith(":")):
+        return False
+    hrefs = [k.attrs for k in preorder(x) if k.tag == "a"]
+    return 2 * sum(bool(re.search(r"""(?i)\bhref\s*=\s*["']?#""", h)) for h in hrefs) < len(hrefs)
 
 
-def blocks(x: Node, linked_share: float = 0.5) -> list[str]:
+def blocks(root: Node, linked_share: float = 0.5) -> list[str]:
     """Texts of the blocks of a subtree in page order, without those that are mostly links."""
     out: list[str] = []
     run: list[str] = []
+    stack: list[Node | str | None] = [root]  # None: a block ends
 
     def close() -> None:
         if t := " ".join("".join(run).split()):
             out.append(t)
         run.clear()
 
-    def visit(x: Node) -> None:
-        if x.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and x.linked and density(x) > linked_share and (x.tag != "p" or density(x) > 0.9) and sum(1 for _ in links(x)) > (1 if x.tag != "p" else 2):
-            return
-        block = x.tag in _BLOCK
-        if block:
-            close()
-        for k in x.kids:
-            if isinstance(k, str):
-                run.append(entities.unescape(k))
-            elif k.tag == "br":
-                run.append(" ")
-            else:
-                visit(k)
-        if block:
+    while stack:
+        x = stack.pop()
+        if x is None:
             close()
-
-    visit(x)
+        elif isinstance(x, str):
+            run.append(entities.unescape(x))
+        elif x.tag == "br":
+            run.append(" ")
+        elif x.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and x.linked and density(x) > linked_share and (x.tag != "p" or density(x) > 0.9) and x.anchors > (1 if x.tag != "p" else 2) and not announced(x) and not any(announced(k) for k in x.kids if isinstance(k, Node)):
+            continue
+        else:
+            if x.tag in _BLOCK:
+                close()
+                stack.append(None)
+            stack.extend(reversed(x.kids))
     close()
     return out
 
 
-def links(x: Node):
-    for k in x.kids:
-        if isinstance(k, Node):
-            if k.tag == "a":
-                yield k
-            else:
-                yield from links(k)
-
-
 def find(x: Node, tags: tuple[str, ...]) -> Node | None:
-    if x.tag in tags:
-        return x
-    for k in x.kids:
-        if isinstance(k, Node) and (got := find(k, tags)):
-            return got
-    return None
-
-
-def flatten(root: Node, most: int = 200) -> None:
-    """Lift what is nested deeper than ``most`` levels, so that no walk outgrows the stack."""
-    todo = [(root, 0)]
-    while todo:
-        x, depth = todo.pop()
-        if depth >= most:
-            flat, stack = [], list(reversed(x.kids))
-            while stack:
-                k = stack.pop()
-                if isinstance(k, Node):
-                    if k.tag in _DROP:
-                        continue
-                    if k.tag in _BLOCK:
-                        flat.append("\n")
-                    stack.extend(reversed(k.kids))
-                else:
-                    flat.append(k)
-            x.kids = flat
-            continue
-        todo += [(k, depth + 1) for k in x.kids if isinstance(k, Node)]
+    return next((k for k in preorder(x) if k.tag in tags), None)
 
 
 def main_text(page: str | None, least_chars: int = 25, least_share: float = 0.2) -> str:
@@ -329,7 +360,6 @@ def main_text(page: str | None, least_chars: int = 25, least_share: float = 0.2)
         return ""
     for strip in (prune, bare):
         root = tree(page)
-        flatten(root)
         strip(root)
         count(root)
         kept = chosen(root, least_chars, least_share) or [find(root, ("article",)) or find(root, ("main",)) or find(root, ("body",)) or root]
@@ -338,15 +368,13 @@ def main_text(page: str | None, least_chars: int = 25, least_share: float = 0.2)
     return ""
 
 
-_NO_TEXT = frozenset("head script style noscript template iframe object embed svg math audio video select textarea button input".split())
+_NO_TEXT = frozenset("head script style noscript template iframe object embed svg annotation annotation-xml audio video select textarea button input".split())
 
 
-def bare(x: Node) -> None:
+def bare(root: Node) -> None:
     """For a page of which :func:`prune` leaves nothing, such as one inside a single form: without what is no text."""
-    x.kids = [k for k in x.kids if isinstance(k, str) or k.tag not in _NO_TEXT]
-    for k in x.kids:
-        if isinstance(k, Node):
-            bare(k)
+    for x in preorder(root):
+        x.kids = [k for k in x.kids if isinstance(k, str) or k.tag not in _NO_TEXT]
 
 
 EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

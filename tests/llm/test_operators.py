@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -246,6 +247,9 @@ PAGES = {
     "headed": ("<body><div><div><h1>Title here</h1><p>Body of the text, of a length that will do.</p><p>More of the body, again with a comma, yes.</p></div><section><h2>3 Comments</h2><div><p>I say this, and that, and even more of it here.</p></div></section></div>", "Title here\n\nBody of the text, of a length that will do.\n\nMore of the body, again with a comma, yes."),
     "notice": ("<article><p class='notice'>We changed our terms, please read them, now.</p><p>Only this sentence belongs to the article.</p></article>", "Only this sentence belongs to the article."),
     "menus": ("<body><div><ul><li><a href=a>One thing</a></li><li><a href=b>Another thing</a></li><li><a href=c>A third thing of them</a></li></ul></div><div><p>What is written here, in full sentences, counts.</p><p>And so does this, which follows on it, of course.</p></div>", "What is written here, in full sentences, counts.\n\nAnd so does this, which follows on it, of course."),
+    "references": ("<article><h1>On things</h1><p>The text of a paper, at some length, with commas.</p><section><h2>Related work</h2><p>Others have written on this, and well, before us.</p></section><div class='legal-analysis'><p>By law, this is allowed, as courts have said.</p></div><h2>References</h2><ul><li><a href=/1>First paper of them</a></li><li><a href=/2>Second paper of them</a></li></ul><div class='related-posts'><p>Another post, of no concern here, at all.</p></div><section><h3>Related posts</h3><p>And one more post, again of no concern.</p></section></article>", "On things\n\nThe text of a paper, at some length, with commas.\n\nRelated work\n\nOthers have written on this, and well, before us.\n\nBy law, this is allowed, as courts have said.\n\nReferences\n\nFirst paper of them\n\nSecond paper of them"),
+    "header": ("<body><header><p>A site about everything and nothing at all, which says so at length.</p></header><article><header><h1>Head</h1><p>By Someone</p><p>What this article is about, in a sentence of some length, stands in its header.</p></header><p>The rate is <math><mi>x</mi><annotation>\\x</annotation></math>, as we know, and stays so.</p></article>", "Head\n\nWhat this article is about, in a sentence of some length, stands in its header.\n\nThe rate is x, as we know, and stays so."),
+    "deep": ("<article>" + "<div>" * 300 + "<p>First of the two, far down, and long.<br>More.</p><div class='ad'>Buy this now, please.</div><p>Second of the two, as far down as that.</p>" + "</div>" * 300 + "</article>", "First of the two, far down, and long. More.\n\nSecond of the two, as far down as that."),
     "entities": ("<article><p>a &lt;b&gt; &#233; &eacute;\n\t c, d, e and further words</p></article>", "a <b> é é c, d, e and further words"),
 }
 
@@ -258,6 +262,18 @@ def test_html_extraction(spark):
     assert "deep" in html_text.main_text("<div>" * 5000 + "deep text, a long way down, all alone" + "</div>" * 5000)
     assert html_text.main_text("<p title='" * 500 + "<<<>>> &&& <!-- open") is not None
     assert html_text.extract(pages.limit(0)).count() == 0
+    twice = pages.unionByName(pages)
+    assert html_text.extract(twice).count() == 2 * len(PAGES) == 2 * html_text.extract(twice).distinct().count()
+
+
+def test_html_is_linear():
+    started = time.process_time()
+    n = 20_000
+    for page in ("<noscript>" * n, "<textarea>x" * n, "<div>" * n + "text" + "</b>" * n, "<div>" * n + "<p>some words here, and more of them</p>" * 50, "<span>" * n + "<p>x" * n, "<ul>" + "<li><a href=x>y</a>" * n, "<div class=promo>" * n, "<section><div>" * n + "<h2>Comments</h2>"):
+        html_text.main_text(f"<article>{page}")
+    assert time.process_time() - started < 30
+    long = "Words of a long page, in one paragraph. " * 50_000
+    assert html_text.main_text(f"<article><p>{long}</p>") == long.strip()
 
 
 # --- 6: toxicity
