@@ -90,18 +90,20 @@ def held_out(folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, stratum: str, rows: int, order: str = "doc_id") -> list:
+def bounded_sample(df: DataFrame, stratum: str, rows: int, order: str = "doc_id", max_strata: int = 1_000, max_rows: int = 100_000) -> list:
     """About ``rows`` rows of each stratum, at most twice that, on the driver; the same rows on every run.
 
     Counts come first; then rows whose hash is below a stratum's share pass a filter,
-    so no stratum is sorted and only the sample moves.
+    so no stratum is sorted and only the sample moves. Of more than ``max_strata`` strata the
+    largest are sampled; where ``rows`` of each would be over ``max_rows``, each gets fewer.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(1_000).collect() if r[0] is not None}
+    counts = {r[0]: r[1] for r in df.where(F.col(stratum).isNotNull()).groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(max_strata).collect()}
     if not counts:
         return []
+    rows = max(1, min(rows, max_rows // len(counts)))
     h = F.pmod(F.xxhash64(order, F.lit(17)), F.lit(1 << 32))
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, rows / n) * (1 << 32))))])
-    got = df.where(h < F.element_at(limit, F.col(stratum))).withColumn("__h", h).orderBy("__h", order).limit(2 * rows * len(counts)).collect()
+    got = df.where(h < F.element_at(limit, F.col(stratum))).withColumn("__h", h).orderBy("__h", *[c for c in df.columns if c != "__h"]).limit(2 * rows * len(counts)).collect()
     out, seen = [], dict.fromkeys(counts, 0)
     for r in got:
         seen[r[stratum]] += 1

@@ -13,9 +13,11 @@ word is thus the same wherever it occurs and is worked out once for each
 worker's cache. The language with the shortest code wins.
 
 Training sees ``sample_docs`` documents a language (about that many, at most
-twice) and ``train_bytes`` bytes of them at most; all else covers whole texts.
+twice), of each its first ``doc_chars`` characters, and ``train_bytes`` bytes of them at
+most, from the ``max_langs`` languages with most documents; languages beyond are never
+learned. All else covers whole texts.
 
-Defined cases: null text or text without a letter is ``und`` with score 0; ties
+Defined cases: an empty table gives no rows; null text or text without a letter is ``und`` with score 0; ties
 go to the name that sorts first; without training rows all is ``und``; repeated
 rows are treated one by one; other columns of ``docs`` are ignored.
 """
@@ -39,7 +41,9 @@ SPACE = 32
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters and other word characters that are no digits; none if there is no letter among them."""
+    ws = _WORD.findall(text.lower()) if text else []
+    return ws if any(map(str.isalpha, ws)) or any(c.isalpha() for w in ws for c in w) else []
 
 
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,14 +122,15 @@ class ContextTrees:
         return np.add.reduceat(total, start, axis=0, dtype=np.float64)
 
 
-def train(docs: DataFrame, sample_docs: int = 1_500, train_bytes: int = 1_500_000, order: int = 5) -> ContextTrees | None:
-    """Trees of a bounded sample of the training rows of ``docs``."""
-    rows = bounded_sample(training_part(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text"), "lang", sample_docs)
+def train(docs: DataFrame, sample_docs: int = 1_500, train_bytes: int = 1_500_000, order: int = 5, max_langs: int = 1_000, doc_chars: int = 20_000, max_docs: int = 12_000) -> ContextTrees | None:
+    """Trees of a bounded sample of the training rows of ``docs``: ``max_docs`` documents of ``doc_chars`` characters, or twice that, reach the driver."""
+    known = training_part(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.left("text", F.lit(doc_chars)).alias("text"))
+    rows = bounded_sample(known, "lang", sample_docs, max_strata=max_langs, max_rows=max_docs)
     texts: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in rows:
         if size.get(r["lang"], 0) < train_bytes and words_of(r["text"]):
-            texts.setdefault(r["lang"], []).append(r["text"][:train_bytes])
+            texts.setdefault(r["lang"], []).append(r["text"])
             size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
     return ContextTrees(texts, order) if texts else None
 

@@ -15,9 +15,10 @@ the difference of the two logits; a word's sum of these numbers is worked out
 once for each worker's cache.
 
 Training sees ``toxic_docs`` and ``clean_docs`` labelled documents (about that
-many, at most twice) outside the held-out fold.
+many, at most twice) outside the held-out fold, of ``max_chars`` characters in all.
 
-Defined cases: null or empty text has no features and gets the score of the bias
+Defined cases: very long texts are scored to their end; an empty table gives no rows; of
+labelled rows that repeat an id with other texts one is learned from, the same on every run; null or empty text has no features and gets the score of the bias
 alone; without labelled rows of both classes every score is 0; a document with
 several labels counts with the highest; repeated rows are treated one by one;
 other columns of ``docs`` stay as they are (:func:`reject`) or are ignored.
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tessera.session import table
 
@@ -196,7 +198,7 @@ def fit_passages(texts: list[str], labels: list[int], window: int = 12, rounds:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, clean_docs: int = 4_000, **how) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, clean_docs: int = 4_000, max_chars: int = 150_000_000, **how) -> Model | None:
     """A model of a bounded sample of labelled rows; only their ids are broadcast, so texts aren't shuffled."""
     labelled = training_part(labels).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = []
@@ -205,8 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, clean_doc
     if len({r["toxic"] for r in ids}) < 2:
         return None
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").limit(4 * (toxic_docs + clean_docs)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    known = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # the sample is small, so its running sum may be one task's; texts beyond the bound stay where they are
+    known = known.withColumn("so_far", F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("so_far") <= max_chars)
+    rows = sorted(known.select("doc_id", "toxic", "text").collect(), key=lambda r: r["doc_id"])
     return fit_passages([r["text"] for r in rows], [r["toxic"] for r in rows], **how) if rows else None
 
 

@@ -225,8 +225,8 @@ def test_language_held_out_and_edges(spark, sf):
     got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
     held = got.where("held_out")
     assert held.where("lang_pred = lang").count() >= 0.9 * held.count() > 0
-    odd = {r["doc_id"]: r for r in language.predict(docs_of(spark, [None, "", "123 ...", "the " * 50_000, "x" * 200_000]), model).collect()}
-    assert [odd[i]["lang_pred"] for i in range(3)] == ["und"] * 3 and odd[3]["lang_pred"] == "en" and odd[4]["lang_pred"] in model.langs
+    odd = {r["doc_id"]: r for r in language.predict(docs_of(spark, [None, "", "123 ½ ² ① ...", "the " * 50_000, "x" * 200_000, "the ½ word"]), model).collect()}
+    assert [odd[i]["lang_pred"] for i in range(3)] == ["und"] * 3 and odd[5]["lang_pred"] in model.langs and odd[3]["lang_pred"] == "en" and odd[4]["lang_pred"] in model.langs
     for r in got.collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1
     assert language.train(docs.limit(0)) is None
@@ -304,6 +304,10 @@ def test_toxicity_learns_and_shares_ngrams(spark):
     odd = toxicity.score(docs_of(spark, [None, "", "lo " * 100_000]), model).collect()
     assert len(odd) == 3 and all(0 <= x["score"] <= 1 for x in odd)
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
+    repeated = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" other")))).unionByName(docs)
+    a, b = (toxicity.train(x, labels) for x in (repeated, repeated.repartition(7).sort("text")))
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    assert toxicity.train(docs, labels, max_chars=0) is None
     assert {x["score"] for x in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
@@ -320,8 +324,8 @@ def test_chat_round_trip(spark):
     want = {}
     for conv, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, f"{r[2] or ''}\n{r[3] or ''}")):
         want.setdefault(conv, []).append((role or "", text or ""))
-    for parts in (1024, 2):
-        got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(turns, vocab, part_turns=parts), vocab).collect()}
+    for how in ({}, {"part_turns": 2}, {"part_turns": 2, "hot_turns": 1, "sections": 3}):
+        got = {r["conv_id"]: r for r in chat.digest(turns, vocab, **how).collect()}
         assert set(got) == set(want)
         for conv, ts in want.items():
             loss = "".join(t for r, t in ts if r == "assistant")
@@ -329,11 +333,28 @@ def test_chat_round_trip(spark):
             assert x["n_turns"] == len(ts) and x["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
             assert x["loss_chars"] == len(loss) and x["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
             assert x["formatted_chars"] == sum(len(f"{chat.START}{chat.escape_role(r)}\n{chat.escape(t)}{chat.END}\n") for r, t in ts)
-    assert chat.digest(chat.format_chats(turns.limit(0), vocab), vocab).count() == 0
+    assert chat.digest(turns.limit(0), vocab).count() == 0
     with pytest.raises(ValueError, match="more than"):
         chat.vocabulary(spark, max_bytes=10)
 
 
+def test_chat_long_texts_and_hot_conversations(spark):
+    vocab = chat.vocabulary(spark)
+    long = [" " * 1_500_000, "\n \t" * 400_000 + "x", "a" * 300_000, "b " * 500_000, "!" * 200_000, "\u3000" * 5_000]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(long)] + [(2, i // 3, "assistant" if i % 2 else "user", f"turn {i}") for i in range(500)] + [(None, None, "user", str(i)) for i in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1] or 0, f"{r[2]}\n{r[3]}")):
+        want.setdefault(conv, []).append((role, text))
+    got = {r["conv_id"]: r for r in chat.digest(turns, vocab, hot_turns=100, sections=8, part_turns=7).collect()}
+    for conv, ts in want.items():
+        loss = "".join(t for r, t in ts if r == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(ts), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    parts = chat.format_chats(turns, vocab, hot_turns=100, sections=8)
+    assert parts.where("conv_id = 2").select("section").distinct().count() > 5 and parts.where("conv_id = 1 AND section IS NOT NULL").count() == 0
+
+
 def test_chat_escapes_are_reversible():
     r = random.Random(6)
     for _ in range(2000):
