@@ -4,38 +4,43 @@ A fingerprint bit is set where it is set in over half of a text's shingle
 hashes. Fingerprints that differ in ``budget`` bits or less are linked, and
 documents that are connected by links form a component.
 
-Distribution: of ``budget + 1`` blocks of bits, two linked fingerprints have at
-least one in common. So each distinct fingerprint goes to one group for each
-block, keyed by the block's place and value; the group is the part of a trie
-(over the fingerprint turned so that the block comes first) below that value.
+Distribution: the bits are cut into ``budget + m`` blocks; two linked fingerprints
+have at least ``m`` of them in common. So each distinct fingerprint goes to one
+group for each choice of ``m`` blocks, keyed by the choice and their values; the
+group is the part of a trie (over the fingerprint turned so that these blocks come
+first) below those values. ``m`` follows from the number of fingerprints, so that
+groups stay below ``chunk`` as the input grows: 5 keys of 12 bits for up to some
+ten million, 15 of 21 bits up to some billions, 35 of 27 bits beyond.
 Within a group the trie is joined with itself: pairs of nodes go down together,
 each differing bit is added up, and a pair beyond the budget is pruned. A pair
 whose leaves are all in one component already can't tell anything new and is
 pruned too, so a group yields at most one link a fingerprint, whatever its size,
-and no connection is lost. A group of more than ``chunk`` fingerprints is cut
-into chunks and joined chunk by chunk in tasks of two chunks each; as there are
-at most ``(budget + 1) * 2**13`` groups, the list of such groups can be broadcast.
+and no connection is lost. A group that is larger than ``chunk`` all the same is cut
+into chunks and joined chunk by chunk in tasks of two chunks each.
 
 Components come from alternating large and small stars over the links; each
 half-step is a stored table, and hubs are salted.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any
-other; a null ``doc_id`` has a fingerprint but no component and links nothing;
-repeated rows have the same component; other columns of ``docs`` are ignored by
-:func:`components_of` and kept by :func:`dedup`.
+other; very long texts are hashed to their end; a null ``doc_id`` has a fingerprint but
+no component and links nothing; repeated rows have the same component; rows that repeat
+an id with other texts link what these texts are near to; an empty table gives no rows;
+other columns of ``docs`` are ignored by :func:`components_of` and kept, whatever their
+names, by :func:`dedup`.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import stored, table
@@ -44,6 +49,8 @@ from .common import arrow_map, map_batches, salted_left_join
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
+#: Rows of a small table that may be broadcast.
+MOST_BROADCAST = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -64,20 +71,20 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` of every row; the fingerprint as a signed number. No shuffle."""
+    """``doc_id, h, fp`` of every row: a hash of the text, and the fingerprint as a signed number. No shuffle."""
 
     def factory():
         def f(b: pa.RecordBatch) -> dict:
-            got = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
-            return {"doc_id": b.column(0), "fp": pa.array(got.view(np.int64))}
+            got = np.fromiter((fingerprint(t, shingle) for t in b.column(2).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            return {"doc_id": b.column(0), "h": b.column(1), "fp": pa.array(got.view(np.int64))}
 
         return f
 
-    return map_batches(docs.select("doc_id", "text"), factory, PRINTS)
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), factory, PRINTS)
 
 
 class Forest:
@@ -179,28 +186,49 @@ def trie_join(values: np.ndarray, pairs: np.ndarray, budget: int, leaf: int = 16
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(reps: DataFrame, budget: int = 4, chunk: int = 4_096, gather: int = 100_000) -> DataFrame:
-    """Links ``a, b`` (ids) that connect the distinct fingerprints ``fp, rep`` as all links would."""
-    blocks = budget + 1
-    bounds = [BITS * k // blocks for k in range(blocks + 1)]
+def agreeing(n: int, budget: int, chunk: int, most: int = 4) -> int:
+    """How many blocks must agree, so that ``n`` evenly spread fingerprints are repeated least: once a choice of blocks and chunk of a group."""
+
+    def rows(m: int) -> float:
+        return math.comb(budget + m, m) * max(1.0, 2 * n / 2.0 ** (BITS // (budget + m) * m) / chunk)
+
+    return min(range(1, most + 1), key=rows)
 
-    def turned(k: int):  # the fingerprint with block k first
-        at = bounds[k]
-        return F.col("fp") if at == 0 else F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", BITS - at))
 
-    keyed = reps.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(turned(k), BITS - bounds[k + 1] + bounds[k]).alias("v"), turned(k).alias("x")) for k in range(blocks)])).alias("s")).select("rep", "s.*")
-    many = F.broadcast(keyed.groupBy("k", "v").count().where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("m")))
-    m = F.coalesce("m", F.lit(1))
-    dealt = keyed.join(many, ["k", "v"], "left").withColumn("c", F.pmod(F.xxhash64("x"), m).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), m - 1)))
-    dealt = dealt.select("k", "v", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "x", "rep")
+def dealt(prints: DataFrame, budget: int, chunk: int, n: int) -> DataFrame:
+    """Each distinct ``fp`` once for each group (and pair of chunks) that it belongs to: ``k, v, lo, hi, second, x, fp``."""
+    m = agreeing(n, budget, chunk)
+    blocks = budget + m
+    bounds = [BITS * k // blocks for k in range(blocks + 1)]
+    size = [b - a for a, b in zip(bounds, bounds[1:])]
+
+    def keyed_by(k: int, choice: tuple[int, ...]) -> Column:
+        """The fingerprint with the chosen blocks first, and their values."""
+        x, at = F.lit(0).cast("long"), BITS
+        for j in [*choice, *(j for j in range(blocks) if j not in choice)]:
+            at -= size[j]
+            part = F.shiftrightunsigned("fp", BITS - bounds[j + 1]).bitwiseAND(F.lit((1 << size[j]) - 1).cast("long"))
+            x = x.bitwiseOR(F.shiftleft(part, at))
+        return F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(x, BITS - sum(size[j] for j in choice)).alias("v"), x.alias("x"))
+
+    keyed = prints.select("fp", F.explode(F.array(*[keyed_by(k, c) for k, c in enumerate(itertools.combinations(range(blocks), m))])).alias("s")).select("fp", "s.*")
+    many = stored(keyed.groupBy("k", "v").count().where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("m")), "large-groups")
+    held = keyed.join(F.broadcast(many) if many.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else many, ["k", "v"], "left")
+    parts = F.coalesce("m", F.lit(1))
+    held = held.withColumn("c", F.pmod(F.xxhash64("x"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return held.select("k", "v", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("second"), "x", "fp")
+
+
+def links(prints: DataFrame, budget: int = 4, chunk: int = 4_096, gather: int = 100_000) -> DataFrame:
+    """Links ``a, b`` that connect the distinct fingerprints ``fp`` as all links would."""
     arrow = to_arrow_schema(EDGES)
     names = ["k", "v", "lo", "hi"]
 
     def joined(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-        x, rep = cols["x"].view(np.uint64), cols["rep"]
+        x, fp = cols["x"].view(np.uint64), cols["fp"]
         order = np.lexsort((x, cols["second"], cols["hi"], cols["lo"], cols["v"], cols["k"]))
         cols = {c: a[order] for c, a in cols.items()}
-        x, rep = x[order], rep[order]
+        x, fp = x[order], fp[order]
         edge = lambda cs: np.flatnonzero(np.concatenate([[True], np.any([cols[c][1:] != cols[c][:-1] for c in cs], axis=0)]))
         start = edge(names)
         stop = np.append(start[1:], len(x))
@@ -214,7 +242,7 @@ def links(reps: DataFrame, budget: int = 4, chunk: int = 4_096, gather: int = 10
         pairs.append(np.stack([part[i], part_stop[i], part[np.minimum(i + 1, len(part) - 1)], part_stop[np.minimum(i + 1, len(part) - 1)]], axis=1))
         label = trie_join(x, np.concatenate(pairs), budget)
         child = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[label[child]])], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[label[child]])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -234,7 +262,7 @@ def links(reps: DataFrame, budget: int = 4, chunk: int = 4_096, gather: int = 10
         if held:
             yield joined({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
-    return arrow_map(dealt.repartition(*names).sortWithinPartitions(*names), run, EDGES)
+    return arrow_map(dealt(prints, budget, chunk, prints.count()).repartition(*names).sortWithinPartitions(*names), run, EDGES)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -257,26 +285,63 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
+def labelled(prints: DataFrame, budget: int, by_id: bool) -> DataFrame:
+    """``fp, root, component_id, n`` of each distinct fingerprint of a stored table ``doc_id, h, fp``; ``n`` counts its rows.
+
+    ``by_id``: fingerprints of one id are linked, too.
+    """
+    reps = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "representatives")
+    edges = links(reps.select("fp"), budget)
+    if by_id:
+        several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n")).where("b <> top").drop("top")
+        several = stored(several, "several")
+        if not several.isEmpty():
+            own = salted_left_join(prints.where("doc_id IS NOT NULL").select("doc_id", F.col("fp").alias("a")).distinct(), several, ["doc_id"], ["a"])
+            edges = edges.unionByName(own.where("b IS NOT NULL").select("a", "b"))
+    found = stored(connected(edges), "components")
+    linked = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    linked = stored(linked.join(reps.select(F.col("fp").alias("node"), "rep"), "node"), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    linked = salted_left_join(linked, least, ["root"], ["node"]).select(F.col("node").alias("fp"), "root", "component_id")
+    roots = reps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "n")
+    return stored(roots, "roots")
+
+
 def components_of(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    reps = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "representatives")
-    # one id can stand for several fingerprints if rows repeat an id with other texts; they are linked by that id
-    found = connected(links(reps, budget))
-    roots = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n")
-    got = salted_left_join(prints, stored(roots, "roots"), ["fp"], ["doc_id"])
+    got = salted_left_join(prints, labelled(prints, budget, by_id=True), ["fp"], ["doc_id"])
     return got.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, shingle: int = 4, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows with a null id all stay.
+    """``docs`` with one row of each component of linked texts, that of the smallest id; rows with a null id all stay.
 
-    Of rows that repeat that id, one stays.
+    Rows are told apart by id and a hash of the text, so that no text is lost where rows repeat an id with
+    others; of rows equal in both, one stays. What goes is decided on ids and hashes; then texts are moved once,
+    by an anti join.
     """
-    gone = components_of(docs, shingle, budget).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return left.withColumn("__nth", F.row_number().over(same)).where("__nth = 1 OR doc_id IS NULL").drop("__nth")
+    prints = stored(fingerprints(docs, shingle), "fingerprints")
+    rows = prints.where("doc_id IS NOT NULL").groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("times"))
+    rows = stored(salted_left_join(rows, labelled(prints, budget, by_id=False).drop("component_id"), ["fp"], ["doc_id"]), "rows")
+    first = stored(rows.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    own = F.struct("doc_id", "h")
+    judged = salted_left_join(rows, first, ["root"], ["doc_id", "h"]).select("doc_id", "h", "times", (own != F.col("first")).alias("gone"))
+    judged = stored(judged.where("gone OR times > 1"), "judged")
+    mark = "__h"
+    while mark in docs.columns:
+        mark += "_"
+    keys = ["doc_id", mark]
+    judged = judged.withColumnRenamed("h", mark)
+    hot = F.col("times") > max(1_000, (rows.agg(F.sum("times")).first()[0] or 0) // 100_000)  # so at most 100,000 keys are hot
+    gone, again = judged.where("gone").select(*keys, "times"), judged.where("NOT gone").select(*keys, "times")
+    left = docs.withColumn(mark, F.xxhash64("text")).join(F.broadcast(gone.where(hot).select(*keys)), keys, "left_anti").join(gone.where(~hot).select(*keys), keys, "left_anti")
+    if not again.isEmpty():
+        once = left.join(F.broadcast(again.where(hot).select(*keys)), keys, "left_semi").dropDuplicates(keys)  # combined before the shuffle
+        cold = left.join(F.broadcast(again.where(hot).select(*keys)), keys, "left_anti")
+        once = once.unionByName(cold.join(again.where(~hot).select(*keys), keys, "left_semi").dropDuplicates(keys))
+        left = once.unionByName(cold.join(again.where(~hot).select(*keys), keys, "left_anti"))
+    return left.select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
