@@ -414,7 +414,7 @@ def test_simhash_fingerprints_and_components(spark):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == set(least.values())
 
 
-@pytest.mark.parametrize("chunk", [4096, 20])
+@pytest.mark.parametrize("chunk", [4096, 20, 1])
 def test_simhash_links_in_a_dense_group(spark, chunk):
     r = random.Random(8)
     prints = set()
@@ -424,15 +424,21 @@ def test_simhash_links_in_a_dense_group(spark, chunk):
             for _ in range(r.randrange(4)):
                 p ^= 1 << r.randrange(64)
             prints.add(p)
-    rows = [(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(sorted(prints))]
-    reps = spark.createDataFrame(rows, "fp long, rep long")
+    signed = lambda p: int(np.uint64(p).astype(np.int64))
+    reps = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
     found = {x["node"]: x["root"] for x in simhash.connected(simhash.links(reps, chunk=chunk)).collect()}
     roots = brute_components(prints)
-    at = {p: i for i, p in enumerate(sorted(prints))}
-    want = {}
-    for p in sorted(prints):
-        want[at[p]] = min(at[q] for q in prints if roots[q] == roots[p])
-    assert {i: found.get(i, i) for i in want} == want
+    want = {signed(p): min(signed(q) for q in prints if roots[q] == roots[p]) for p in prints}
+    assert {p: found.get(p, p) for p in want} == want
+
+
+def test_simhash_rows_grow_with_the_input(spark):
+    """Beyond what one block can keep apart, more blocks must agree, so that rows dealt grow about like the input."""
+    assert [simhash.agreeing(n, 4, 4_096) for n in (10**5, 10**7, 10**9, 10**11, 10**13)] == [1, 1, 2, 3, 4]
+    for n in (20_000, 80_000, 320_000):
+        r = random.Random(n)
+        prints = spark.createDataFrame([(r.getrandbits(64) - 2**63,) for _ in range(n)], "fp long")
+        assert simhash.dealt(prints, 4, 20, n).count() <= 15 * n * 1.05
 
 
 def test_simhash_null_ids_repeats_and_empty(spark):
@@ -441,6 +447,14 @@ def test_simhash_null_ids_repeats_and_empty(spark):
     got = sorted(((x["doc_id"], x["component_id"]) for x in simhash.components_of(docs).collect()), key=str)
     assert got == sorted([(None, None), (None, None), (3, 3), (3, 3), (5, 3)], key=str)
     assert sorted(((x["doc_id"],) for x in simhash.dedup(docs).collect()), key=str) == sorted([(None,), (None,), (3,)], key=str)
+    a, b, c = "a b c d e f", "p q r s t u", "x " * 200_000 + "y"
+    rows = [(5, a, "", "", 1), (7, a, "", "", 1), (5, b, "", "", 1), (3, b, "", "", 1), (9, c, "", "", 1), (9, c, "", "", 1), (2, None, "", "", 1), (4, "", "", "", 1)]
+    odd = spark.createDataFrame(rows, DOCS).withColumn("__nth", F.lit("mine")).withColumn("__h", F.lit(7)).withColumn("fp", F.lit(1))
+    assert {(x["doc_id"], x["component_id"]) for x in simhash.components_of(odd).collect()} == {(3, 3), (5, 3), (7, 3), (9, 9), (2, 2), (4, 2)}
+    kept = simhash.dedup(odd)
+    assert kept.columns == odd.columns and sorted((x["doc_id"], x["text"], x["__nth"], x["__h"]) for x in kept.collect() if x["doc_id"] != 2) == [(3, b, "mine", 7), (5, a, "mine", 7), (9, c, "mine", 7)]
+    many = spark.createDataFrame([(6, a, "", "", 1)] * 1_500 + [(8, a, "", "", 1)] * 1_500 + [(9, b, "", "", 1)], DOCS)
+    assert sorted(x["doc_id"] for x in simhash.dedup(many).collect()) == [6, 9]
     assert simhash.components_of(docs.limit(0)).count() == 0 and simhash.dedup(docs.limit(0)).count() == 0
 
 
@@ -550,7 +564,7 @@ def scanned(text):
         if text[i] in token and (i == 0 or text[i - 1] not in token):
             e = run(i, token.__contains__)
             v = text[i:e]
-            if any(v.startswith(x) and len(v) >= len(x) + 12 for x in vendors) or len(v) >= 16 and any(c.isdigit() for c in v):
+            if len(v) >= 16 and (any(v.startswith(x) for x in vendors) or any(c.isdigit() for c in v)):
                 out.append((i, v, "token"))
                 i = e
                 continue
