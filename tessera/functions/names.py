@@ -142,6 +142,32 @@ def manager_aliases(c: Column) -> Column:
     return F.array_sort(kept, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
+def _without_all(c: Column, words: list[str]) -> Column:
+    return F.aggregate(F.array(*[F.lit(text_key(w)) for w in words]), match_key(c), lambda a, w: F.replace(a, w, F.lit("")))
+
+
+def product_alias_key(c: Column) -> Column:
+    """A product's key for matching: without fund suffixes anywhere, numbers in digits."""
+    t = _without_all(c, ["私募证券投资基金", "证券投资基金", "私募基金", "资产管理计划", "资管计划"])
+    for k, n in enumerate(NUMERALS, 1):
+        t = F.replace(t, F.lit(f"{n}号"), F.lit(f"{k}号"))
+    return t
+
+
+def manager_alias_key(c: Column) -> Column:
+    """A manager's key for matching: without company suffixes anywhere."""
+    return _without_all(c, ["私募基金管理有限公司", "资产管理有限公司", "投资管理有限公司", "投资有限公司", "资本管理有限公司", "资本有限公司", "基金管理有限公司", "有限公司"])
+
+
+def clean_aliases(c: Column) -> Column:
+    """Names of at least two letters or digits, the first of each key, longest first."""
+    kept = F.struct(F.array().cast("array<string>").alias("k"), F.array().cast("array<string>").alias("v"))
+    step = lambda a, x: F.when((F.length(match_key(x)) < 2) | F.array_contains(a["k"], match_key(x)), a).otherwise(F.struct(F.concat(a["k"], F.array(match_key(x))).alias("k"), F.concat(a["v"], F.array(F.trim(x))).alias("v")))
+    names = F.aggregate(F.filter(c, lambda x: x.isNotNull()), kept, step)["v"]
+    size = lambda x: F.length(match_key(x))
+    return F.array_sort(names, lambda a, b: F.when(size(a) != size(b), size(b) - size(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+
 def without_manager(product: Column, aliases: Column) -> Column:
     """A product's name without the longest manager's name it begins with."""
     name = clean_name(product)

@@ -149,7 +149,7 @@ def external_issues(profiles: DataFrame) -> DataFrame:
     found = F.array(
         F.when(F.col("conflict_status") == "conflict", F.struct(F.lit("high").alias("severity"), F.lit("external_conflict").alias("kind"))),
         F.when((F.size("external_evidence") > 0) & (F.size("evidence") == 0), F.struct(F.lit("warning").alias("severity"), F.lit("external_only").alias("kind"))),
-        F.when(F.exists("external_evidence", lambda e: F.lower(e["tier"]).isin("c", "d", "low")), F.struct(F.lit("info").alias("severity"), F.lit("low_tier_source").alias("kind"))),
+        F.when(F.exists("external_evidence", lambda e: F.lower(e["tier"]).isin("third_party_public", "search_discovery_only")), F.struct(F.lit("info").alias("severity"), F.lit("low_tier_source").alias("kind"))),
     )
     return profiles.select("manager", "product_name", F.inline(F.filter(found, lambda x: x.isNotNull())))
 

@@ -116,3 +116,57 @@ def minmax(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Score scaled to 0 to 1 within a group."""
     w = W.partitionBy(*by)
     return df.withColumn(f"{value}_norm", ratio(F.col(value) - F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w)))
+
+
+def fetched(df: DataFrame, key: str | None = None, keys: list | None = None, day: str | None = None, start: str | None = None, end: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows of some keys (all if none are given) within a closed interval of days, with some columns: filters that reach the scan."""
+    t = df if keys is None else df.where(F.col(key).isin(keys))
+    if day is not None:
+        t = t if start is None else t.where(F.col(day) >= F.lit(start).cast("date"))
+        t = t if end is None else t.where(F.col(day) <= F.lit(end).cast("date"))
+    return t if columns is None else t.select(*columns)
+
+
+def latest_rows(df: DataFrame, key: str, keys: list | None, day: str) -> DataFrame:
+    """The last row of each key."""
+    t = fetched(df, key, keys)
+    rest = [c for c in df.columns if c != key]
+    return t.groupBy(key).agg(F.max_by(F.struct(*rest), day).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in rest])
+
+
+def fund_information(ids: DataFrame, managers: DataFrame, scales: DataFrame, codes: list, today: str) -> DataFrame:
+    """Identity of funds with their managers and their last scale of the year before a day; a part that is missing is null."""
+    d = F.lit(today).cast("date")
+    people = managers.where(F.col("code").isin(codes)).groupBy("code").agg(F.array_join(F.sort_array(F.collect_set("manager")), ", ").alias("managers"))
+    last = scales.where(F.col("code").isin(codes) & F.col("day").between(F.date_sub(d, 365), d)).groupBy("code").agg(F.max_by("scale", "day").alias("scale"), F.count(F.lit(1)).alias("scales"))
+    return ids.where(F.col("code").isin(codes)).join(people, "code", "left").join(last, "code", "left")
+
+
+def stock_latest(industries: DataFrame, caps: DataFrame, codes: list, today: str) -> DataFrame:
+    """Industry in force and market value at a day."""
+    d = F.lit(today).cast("date")
+    i = point_in_time(industries.where(F.col("code").isin(codes)), ["code"], "day", d).select("code", "industry")
+    c = point_in_time(caps.where(F.col("code").isin(codes)), ["code"], "day", d).select("code", "cap", F.col("day").alias("cap_day"))
+    return i.join(c, "code", "full")
+
+
+def style_window(styles: DataFrame, barra: DataFrame, codes: list, today: str, months: int = 12) -> DataFrame:
+    """``code, factor, kind`` with mean, last value and number of days over so many months of 30 days."""
+    d = F.lit(today).cast("date")
+    part = lambda df, kind: recent(df, codes, today, 30 * months).withColumn("kind", F.lit(kind))
+    t = part(styles, "style").unionByName(part(barra, "barra")).where(F.col("day") <= d)
+    return t.groupBy("code", "kind", "factor").agg(F.avg("price").alias("mean"), F.max_by("price", "day").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def corporate_actions(events: DataFrame, shares: DataFrame, codes: list, today: str, years: int = 2) -> DataFrame:
+    """Ex-right events and changes of capital within so many years of 365 days, by day."""
+    d = F.lit(today).cast("date")
+    part = lambda df, kind: df.where(F.col("code").isin(codes) & F.col("day").between(F.date_sub(d, 365 * years), d)).select("code", "day", F.lit(kind).alias("kind"), "value")
+    return part(events, "event").unionByName(part(shares, "shares"))
+
+
+def held_at(holdings: DataFrame, at: str) -> DataFrame:
+    """``code`` of positions with weight at their last day up to a date, and those that have none any more: ``held``."""
+    t = holdings.where(F.col("day") <= F.lit(at).cast("date"))
+    whole = t.agg(F.max("day").alias("__top"))
+    return t.groupBy("code").agg(F.max("day").alias("last_day")).join(F.broadcast(whole)).select("code", "last_day", (F.col("last_day") == F.col("__top")).alias("held"))

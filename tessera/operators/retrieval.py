@@ -9,6 +9,7 @@ a condition needs them.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -89,13 +90,13 @@ def intent_of(profiles: DataFrame, query: str) -> Intent:
     return got
 
 
+#: What a term found in the text is worth by the words in it; the first that fits counts, other terms are worth 1.5.
+TEXT_WEIGHTS = [(5.0, ["worldquant", "世坤"], True), (3.0, ["cta", "2000", "1000", "500", "300", "指增", "指数增强"], False), (2.5, ["行业", "暴露", "偏离"], False)]
+
+
 def text_weight(term: str) -> float:
     low = term.lower()
-    if low in ("worldquant", "世坤"):
-        return 5.0
-    if "cta" in low or any(n in low for n in ("2000", "1000", "500", "300", "指增", "指数增强")):
-        return 3.0
-    return 2.5 if any(w in term for w in ("行业", "暴露", "偏离")) else 1.5
+    return next((w for w, words, whole in TEXT_WEIGHTS if (low in words if whole else any(x in low for x in words))), 1.5)
 
 
 def is_generic(name: Column) -> Column:
@@ -136,39 +137,39 @@ def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = No
         "__rel": F.lower(F.coalesce("__rel", F.lit(""))),
     })
     t = t.withColumns({"__tagkey": match_key(F.col("__tags")), "__textkey": match_key(F.col("__text")), "__relkey": match_key(F.col("__rel"))})
-    score, matched, missing = F.lit(0.0), [], []
+    score, matched = F.lit(0.0), []
     if intent.manager:
         t = t.where(identity_key(F.col("manager")) == identity_key(F.lit(intent.manager)))
         score, matched = score + 20.0, [F.lit(f"manager={intent.manager}")]
     if intent.product:
         t = t.where(F.col("__product").contains(text_key(intent.product)))
         score, matched = score + 15.0, [*matched, F.lit(f"product={intent.product}")]
-    for term in intent.terms:
-        key, low = text_key(term), term.lower()
-        if not key:
-            continue
-        w = F.when(F.col("__product").contains(key), 8.0).when(F.col("__manager").contains(key), 6.0).when(F.col("__tags").contains(low), 4.5).when(F.col("__text").contains(low), text_weight(term)).when(F.col("__rel").contains(low), 4.5)
-        score = score + F.coalesce(w, F.lit(0.0))
-        matched.append(F.when(w.isNotNull(), F.lit(term)))
-    hit_any = F.lit(not intent.conditions)
-    for label, names in intent.conditions:
-        inside = lambda c: F.exists(F.array(*[F.lit(text_key(n)) for n in names]), lambda k: F.col(c).contains(k))  # noqa: B023, E731
-        strong = inside("__tagkey") | inside("__relkey")
-        hit = strong | inside("__textkey")
-        score = score + F.when(strong, 5.5).when(hit, 4.0).otherwise(-2.5)
-        matched.append(F.when(hit, F.lit(label)))
-        missing.append(F.when(~hit, F.lit(label)))
-        hit_any = hit_any | hit
-    if intent.manager or intent.product:
-        hit_any = F.lit(True)
+
+    def literal(rows: list[tuple], kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps([dict(zip(("name", "key", "low", "weight", "keys"), r)) for r in rows], ensure_ascii=False)), f"array<struct<{kind}>>")
+
+    # terms and conditions are arrays, folded within the row, so the plan doesn't grow with the query
+    terms = literal([(t, text_key(t), t.lower(), text_weight(t)) for t in intent.terms if text_key(t)], "name:string,key:string,low:string,weight:double")
+    has = lambda c, x: F.col(c).contains(x)
+    weight = lambda x: F.when(has("__product", x["key"]), 8.0).when(has("__manager", x["key"]), 6.0).when(has("__tags", x["low"]), 4.5).when(has("__text", x["low"]), x["weight"]).when(has("__rel", x["low"]), 4.5)
+    t = t.withColumn("__hits", F.filter(F.transform(terms, lambda x: F.struct(x["name"].alias("name"), weight(x).alias("w"))), lambda x: x["w"].isNotNull()))
+    inside = lambda c, x: F.exists(x["keys"], lambda k: has(c, k))
+    worth = lambda x: F.when(inside("__tagkey", x) | inside("__relkey", x), 5.5).when(inside("__textkey", x), 4.0).otherwise(-2.5)
+    asked = literal([(label, "", "", 0.0, [text_key(n) for n in names]) for label, names in intent.conditions], "name:string,keys:array<string>")
+    t = t.withColumn("__met", F.transform(asked, lambda x: F.struct(x["name"].alias("name"), worth(x).alias("w"))))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
+    score = score + add(F.col("__hits")) + add(F.col("__met"))
+    named = lambda c, cond: F.transform(F.filter(c, cond), lambda x: x["name"])
+    met = named(F.col("__met"), lambda x: x["w"] > 0)
+    hit_any = F.lit(True) if not intent.conditions or intent.manager or intent.product else F.size(met) > 0
     boost = 3.0 if intent.mode in ("manager_overview", "single_product") else 0.0
-    lists = lambda cols: F.array_distinct(F.filter(F.array(*cols), lambda x: x.isNotNull())) if cols else F.array().cast("array<string>")
-    t = t.withColumns({"matched": lists(matched), "missing": lists(missing), "__any": hit_any})
+    static = F.array(*matched) if matched else F.array().cast("array<string>")
+    t = t.withColumns({"matched": F.array_distinct(F.concat(static, F.transform("__hits", lambda x: x["name"]), met)), "missing": F.array_distinct(named(F.col("__met"), lambda x: x["w"] < 0)), "__any": hit_any})
     t = t.where(F.col("__any") & (F.size("matched") > 0))
     total = score + boost + F.least(F.size("evidence"), F.lit(3)) * 0.25 - quality_penalty()
     wanted = bool(intent.conditions or intent.manager or intent.product)
     t = t.withColumns({"score": total, "satisfied": F.when(F.lit(wanted), F.when(F.size("missing") == 0, "satisfied").otherwise("unsatisfied")).otherwise("not_applicable")})
-    return t.where("score > 0").drop("__rel", "__product", "__manager", "__tags", "__text", "__tagkey", "__textkey", "__relkey", "__any")
+    return t.where("score > 0").drop("__rel", "__product", "__manager", "__tags", "__text", "__tagkey", "__textkey", "__relkey", "__any", "__hits", "__met")
 
 
 def ranked(results: DataFrame, limit: int) -> DataFrame:
@@ -209,7 +210,7 @@ def packed(results: DataFrame, budget: int = 8_000, per_result: int = 900) -> Da
     half = per_result // 2
     t = results.withColumns({"__p": ellipsis(F.coalesce("profile_text", F.lit("")), half), "__e": ellipsis(F.concat_ws("\n", "evidence"), half)})
     t = t.withColumn("__n", F.length("__p") + F.length("__e"))
-    rows = t.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("__n").alias("n")))).alias("r"))
+    page = F.sort_array(F.collect_list(F.struct("rank", F.col("__n").alias("n"))).over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     first = F.lit(max(budget // 2, 120))
 
     def step(a: Column, x: Column) -> Column:
@@ -218,9 +219,8 @@ def packed(results: DataFrame, budget: int = 8_000, per_result: int = 900) -> Da
         take = empty | (a["used"] + x["n"] <= budget)
         return F.when(take, F.struct((a["used"] + n).alias("used"), F.concat(a["kept"], F.array(x["rank"])).alias("kept"))).otherwise(a)
 
-    kept = F.aggregate("r", F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept")), step)["kept"]
-    ranks = rows.select(F.explode(kept).alias("rank"))
-    whole = t.join(F.broadcast(ranks), "rank")
+    kept = F.aggregate(page, F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept")), step)["kept"]
+    whole = t.withColumn("__kept", kept).where(F.array_contains("__kept", F.col("rank"))).drop("__kept")
     cut = (F.col("rank") == 1) & (F.col("__n") > budget)
     short = lambda c: F.when(cut, ellipsis(F.col(c), max(budget // 2, 120))).otherwise(F.col(c))
     return whole.withColumns({"packed_profile": short("__p"), "packed_evidence": short("__e")}).withColumn("context_chars", F.length("packed_profile") + F.length("packed_evidence")).drop("__p", "__e", "__n")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import TRADING_DAYS, ordered_product, period_start, ratio, soft_day, soft_double
 
 
+#: Days that a calendar may have: it is one array, broadcast.
+MOST_DAYS = 100_000
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     """Typed rows with a day and a value; of rows that repeat a day, the largest value stays."""
     t = df.select("series", soft_day(F.col("day")).alias("day"), soft_double(F.col("nav")).alias("nav"))
@@ -92,10 +96,13 @@ def aligned(df: DataFrame, calendar: DataFrame, mode: str = "ffill") -> DataFram
     """Each series on the days of ``calendar`` between its first and last: filled forward, with gaps, or present days only."""
     if mode == "drop":
         return df.join(calendar.select("day").distinct(), "day", "left_semi").select("series", "day", "nav")
+    # a series' own days are known by number, so its part of the calendar is a slice of one sorted array: no nested-loop join
+    days = calendar.select("day").where("day IS NOT NULL").distinct()
+    if (n := days.count()) > MOST_DAYS:
+        raise ValueError(f"a calendar of {n} days, more than {MOST_DAYS}")
     span = df.groupBy("series").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    # calendars are small and bounded by days, series are many: each series is joined to its own range of days
-    days = calendar.select("day").distinct()
-    grid = span.join(F.broadcast(days), (F.col("day") >= F.col("lo")) & (F.col("day") <= F.col("hi"))).select("series", "day")
+    one = F.broadcast(days.agg(F.array_sort(F.collect_list("day")).alias("days")))
+    grid = span.crossJoin(one).select("series", F.explode(F.filter("days", lambda d: (d >= F.col("lo")) & (d <= F.col("hi")))).alias("day"))
     if mode == "nan":
         return grid.join(df, ["series", "day"], "left").select("series", "day", "nav")
     both = grid.withColumn("on", F.lit(True)).join(df, ["series", "day"], "full")
@@ -137,11 +144,16 @@ def portfolio_return(returns: DataFrame, weights: DataFrame, tolerance: float =
     return t.crossJoin(F.broadcast(total)).select("day", "ret", "weight_present", (F.abs(F.col("whole") - 1) <= tolerance).alias("weights_ok"))
 
 
-def correlations(returns: DataFrame) -> DataFrame:
-    """Correlation of each pair ``a < b`` over common days, for the few series a matrix is asked for."""
-    x = returns.select("day", F.col("series").alias("a"), F.col("ret").alias("x")).dropna()
-    y = returns.select("day", F.col("series").alias("b"), F.col("ret").alias("y")).dropna()
-    return x.join(y, "day").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+def correlations(returns: DataFrame, most: int = 5_000) -> DataFrame:
+    """Correlation of each pair ``a < b`` over common days, for the few series that a matrix is asked for.
+
+    More than ``most`` series are refused, as the result would have their square.
+    """
+    t = returns.select("day", "series", "ret").dropna()
+    if (n := t.select("series").distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} series ({n}): choose some, a matrix has the square of them")
+    x, y = t.select(F.col("day").alias("__d"), F.col("series").alias("a"), F.col("ret").alias("x")), t.select("day", F.col("series").alias("b"), F.col("ret").alias("y"))
+    return x.join(y, (F.col("__d") == F.col("day")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def rolling_correlation(pairs: DataFrame, rows: int = 13) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.names import analyzed, fold_key, wikilink
+from tessera.functions.names import analyzed, fold_key, manager_aliases, wikilink
 from tessera.operators import enrichment as X
 from tessera.operators import knowledge as K
 from tessera.operators.taxonomy import classified
@@ -15,10 +15,13 @@ from tessera.session import stored
 PRODUCTS = "array<struct<name:string,main_strategies:array<string>,sub_strategies:array<string>,entity_type:string,confidence:string,evidence_quote:string,manager_name:string>>"
 MARK = "SYSTEM_MENTIONED_PRODUCTS"
 PREDICATES = {
-    "manager": "managed_by", "canonical_name": "has_canonical_product_name", "primary_tag": "has_primary_strategy", "secondary_tags": "has_secondary_strategy", "candidate_tags": "has_candidate_strategy",
+    "manager": "belongs_to_manager", "product_aliases": "has_product_alias", "mentioned_tags": "mentions_strategy_tag", "rejected_tags": "rejects_strategy_tag", "risk_points": "has_risk_point", "source_files": "has_source_file", "canonical_name": "has_canonical_product_name", "primary_tag": "has_primary_strategy", "secondary_tags": "has_secondary_strategy", "candidate_tags": "has_candidate_strategy",
     "direct_tags": "has_direct_strategy_tag", "strategies": "has_strategy", "product_lines": "has_product_line", "facet_values": "has_strategy_facet", "backgrounds": "has_people_background",
-    "constraints": "has_exposure_constraint", "path": "has_source_note",
+    "constraints": "has_exposure_constraint", "source_notes": "has_source_note",
 }
+MANAGER_PREDICATES = {"product_name": "has_product", "manager_aliases": "has_manager_alias", "backgrounds": "has_people_background"}
+#: Words that mark a risk.
+RISK_WORDS = ["风险", "回撤", "亏损", "波动"]
 #: Keywords that mark evidence.
 EVIDENCE_WORDS = ["策略", "收益", "回撤", "风控", "持仓", "因子", "模型"]
 
@@ -79,21 +82,37 @@ def compiled(rows: DataFrame) -> DataFrame:
         "evidence_summary": X.evidence_summary(F.col("evidence"), F.col("strategies"), EVIDENCE_WORDS),
         "positioning": X.positioning(F.array("primary_tag"), F.col("secondary_tags"), F.col("product_lines"), F.col("strategies"), F.col("evidence")),
         "search_text": F.col("profile_text"),
+        "risk_points": lines_with(F.array_join("evidence", "\n"), RISK_WORDS, 5),
+        "manager_aliases": manager_aliases(F.col("manager")),
+        "product_aliases": F.array_distinct(F.array(F.col("product_name"), F.col("canonical_name"))),
+        "source_notes": F.array("path"),
+        "source_files": F.array().cast("array<string>"),
     })
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:
     """Profiles (stored, as everything else reads them), relations, issues and the review status of a folder of notes."""
     p = stored(compiled(stored(fragments(notes(files)), "fragments")), "profiles")
-    issues = K.health(p.withColumn("canonical_name", F.coalesce("canonical_name", "product_name")))
-    return {"profiles": p, "relations": K.relations(p, PREDICATES), "issues": issues, "status": K.status_of(issues)}
+    issues = K.health(p)
+    return {"profiles": p, "relations": K.relations(p, PREDICATES, MANAGER_PREDICATES), "issues": issues, "status": K.status_of(issues)}
 
 
-def quality_report(profiles: DataFrame) -> DataFrame:
-    """Number of profiles by status, with the first names of those that aren't confirmed."""
-    nth = F.row_number().over(W.partitionBy("quality_status").orderBy("product_name"))
-    t = profiles.withColumn("__n", nth)
-    return t.groupBy("quality_status").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when((F.col("__n") <= 20) & (F.col("quality_status") != "confirmed"), F.col("product_name")))).alias("names"))
+def quality_report(profiles: DataFrame, most: int = 20) -> DataFrame:
+    """Number of profiles by status, with the first names of those that aren't confirmed.
+
+    Names are cut to the first in parts of each status, then over the parts, so that no task sorts a whole status.
+    """
+    part = F.pmod(F.xxhash64("product_name"), F.lit(256))
+    first = lambda xs: F.slice(F.sort_array(xs), 1, most)
+    nth = F.row_number().over(W.partitionBy("quality_status", "__part").orderBy("product_name"))
+    t = profiles.withColumn("__part", part).withColumn("__n", nth)
+    parts = t.groupBy("quality_status", "__part").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when((F.col("__n") <= most) & (F.col("quality_status") != "confirmed"), F.col("product_name"))).alias("names"))
+    return parts.groupBy("quality_status").agg(F.sum("n").alias("n"), first(F.flatten(F.collect_list("names"))).alias("names"))
+
+
+def overview(profiles: DataFrame) -> DataFrame:
+    """How many profiles, managers, products and confirmed names there are."""
+    return profiles.agg(F.count(F.lit(1)).alias("profiles"), F.count_distinct("manager").alias("managers"), F.count_distinct("product_name").alias("products"), F.count_if(F.col("quality_status") == "confirmed").alias("confirmed"))
 
 
 def note_issues(parsed: DataFrame, required: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -55,28 +56,38 @@ def write_partitioned(df: DataFrame, path: str, day: str = "tradingday") -> None
     df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-#: Pattern, category, priority; the first that fits counts.
+#: Category, priority, words in the name or suffixes; the first that fits counts.
 FILE_RULES = [
-    (r"尽调纪要|调研纪要|会议纪要|访谈", "diligence_note", 100),
-    (r"路演|推介|介绍|\.pptx?$", "deck", 80),
-    (r"月报|周报|季报|年报", "periodic_report", 60),
-    (r"合同|协议|说明书", "contract", 40),
-    (r"\.pdf$", "document", 30),
+    ("diligence_note", 100, "尽调笔记 尽调摘要 尽调反馈 调研纪要"),
+    ("meeting_or_interview", 90, "会议纪要 通话记录 路演纪要 访谈"),
+    ("product_report", 70, "月报 产品报告 业绩归因 定期报告 净值"),
+    ("presentation", 55, "路演 公司介绍 策略介绍 标准版 材料"),
+    ("raw_pdf", 45, ".pdf .pptx .docx"),
+    ("audio_or_low_signal", 20, ".mp3 .m4a .wav .png .jpg .jpeg"),
+    ("text_note", 60, ".md .txt"),
+    ("other", 40, ""),
 ]
-SKIP = ["~$", ".DS_Store", "Thumbs.db", "草稿", "备份"]
+#: Words in names of files that are no source.
+SKIP = ["~$", ".DS_Store", "Thumbs.db", "营业执照", "身份证", "公司章程", "公示信息", "备案证明", "备案函", "基金合同", "风险揭示书", "提供材料清单", "承诺函", "申报制度"]
 
 
 def file_category(name: Column) -> Column:
-    pick = F.struct(F.lit("other").alias("category"), F.lit(10).alias("priority"))
-    for pattern, kind, rank in reversed(FILE_RULES):
-        pick = F.when(F.lower(name).rlike(pattern), F.struct(F.lit(kind).alias("category"), F.lit(rank).alias("priority"))).otherwise(pick)
+    """``category, priority`` of a file's name."""
+    low, pick = F.lower(name), None
+    for kind, rank, words in reversed(FILE_RULES):
+        got = F.struct(F.lit(kind).alias("category"), F.lit(rank).alias("priority"))
+        hit = functools.reduce(lambda a, b: a | b, [low.endswith(w) if w.startswith(".") else low.contains(w) for w in words.split()], F.lit(False))
+        pick = got if pick is None else F.when(hit, got).otherwise(pick)
     return pick
 
 
 def date_hint(name: Column) -> Column:
-    """A valid date in a file's name."""
-    d = F.regexp_extract(name, r"(20\d{2})[-_.年]?(\d{2})[-_.月]?(\d{2})", 0)
-    return F.try_to_timestamp(F.regexp_replace(d, r"\D", ""), F.lit("yyyyMMdd")).cast("date")
+    """A valid date in a file's name; month and day may have one digit."""
+    pattern = r"(20\d{2})[-_年. ]?(\d{1,2})[-_月. ]?(\d{1,2})"
+    loose = [F.regexp_extract(name, pattern, k) for k in (1, 2, 3)]
+    strict = [F.regexp_extract(name, r"(20\d{2})(\d{2})(\d{2})", k) for k in (1, 2, 3)]
+    day = lambda p: F.try_to_timestamp(F.concat_ws("-", *p), F.lit("yyyy-M-d")).cast("date")
+    return F.coalesce(day(loose), day(strict))
 
 
 def catalogue(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
@@ -87,7 +98,7 @@ def catalogue(spark: SparkSession, path: str, extensions: list[str]) -> DataFram
     t = files.select("path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
     t = t.withColumn("suffix", F.lower(F.regexp_extract("file_name", r"(\.[^.]+)$", 1)))
     t = t.where(F.col("suffix").isin([e.lower() for e in extensions]) & ~F.col("file_name").rlike(skip))
-    return t.withColumn("date_hint", date_hint(F.col("file_name"))).withColumn("__c", file_category(F.col("file_name"))).select("*", "__c.*").drop("__c").orderBy(F.desc("priority"), F.desc_nulls_last("date_hint"), "file_name")
+    return t.withColumn("date_hint", date_hint(F.col("file_name"))).withColumn("__c", file_category(F.col("file_name"))).select("*", "__c.*").drop("__c").orderBy(F.desc("priority"), F.asc_nulls_first("date_hint"), "file_name")
 
 
 @F.pandas_udf(T.StringType())

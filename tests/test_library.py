@@ -130,20 +130,24 @@ def test_knowledge(spark, profiles):
     frag = spark.createDataFrame([("a", 2, "late", ["x", "y"], "high"), ("a", 1, "", ["y", "z"], "low"), ("a", 3, "last", None, "medium")], "k string, o int, name string, lines array<string>, conf string")
     r = K.merged_fragments(frag, ["k"], ["o"], ["name"], ["lines"], {"conf": K.CONFIDENCE}).first()
     assert (r["name"], r["lines"], r["conf"], r["fragments"]) == ("late", ["y", "z", "x"], "low", 3)
-    rel = K.relations(profiles, {"primary_tags": "has_primary_strategy", "manager": "managed_by"})
-    assert rel.where("predicate = 'managed_by'").count() == 5 and rel.where("object = '管理期货'").count() == 4
+    rel = K.relations(profiles, {"primary_tags": "has_primary_strategy", "manager": "belongs_to_manager"})
+    assert rel.where("predicate = 'belongs_to_manager'").count() == 5 and rel.where("object = '管理期货'").count() == 4
     issues = K.health(profiles.withColumn("canonical_name", F.when(F.col("manager") == "双隆", "同名").otherwise(F.col("product_name"))))
-    assert issues.where("kind = 'duplicate_canonical_name'").count() == 1 and K.status_of(issues).first()["status"] == "error"
+    assert issues.where("kind = 'duplicate_canonical_product'").count() == 1 and K.status_of(issues).first()["status"] == "warning"
     now = F.lit("2024-02-01")
     first = K.review_queue(issues, spark.createDataFrame([], "item_id string, created_at string, status string"), spark.createDataFrame([], "kind string, manager string, product_name string, status string, priority int"), now)
     old = first.select("item_id", F.lit("2023-01-01").alias("created_at"), "status")
-    rules = spark.createDataFrame([("missing_evidence", None, None, "suppressed", 1)], "kind string, manager string, product_name string, status string, priority int")
+    rules = spark.createDataFrame([("missing_evidence_summary", None, None, "suppressed", 1)], "kind string, manager string, product_name string, status string, priority int")
     second = K.review_queue(issues, old, rules, now).collect()
     assert len(second) == first.count() - 5 and {r["created_at"] for r in second} == {"2023-01-01"}
     left = spark.createDataFrame([("甲一号", "甲投资管理有限公司")], "product_name string, manager string")
     cand = spark.createDataFrame([(1, "甲一号", "甲"), (2, "甲一号增强", "甲"), (3, "甲一号", "乙")], "candidate_id int, candidate_name string, candidate_manager string")
     m = K.candidate_matches(left, cand)
-    assert {(r["candidate_id"], r["score"]) for r in m.collect()} == {(1, 4), (2, 2)} and K.chosen_match(m, 2).first()["candidate_id"] == 1 and K.chosen_match(m).count() == 0
+    assert {(r["candidate_id"], r["score"]) for r in m.collect()} == {(1, 8), (2, 6)} and [r["candidate_id"] for r in K.best_candidates(m).collect()] == [1]
+    score = lambda folder, query: spark.range(1).select(K.folder_score(F.lit(folder), F.lit(query))).first()[0]
+    assert [score(*x) for x in (("甲 乙", "甲乙"), ("0001_甲乙", "甲乙"), ("丙甲乙丁", "甲乙"), ("甲丙", "甲乙"), ("甲", ""))] == [190, 180, 90, 10, 0]
+    folders = spark.createDataFrame([(1, "0001_甲投资有限公司", "0001", 90), (1, "0001_甲私募基金管理有限公司", "0001", 85), (2, "甲", "", 50), (3, "乙", "", 50), (3, "丙", "", 45), (4, "丁", "0002", 90), (4, "戊", "0003", 60)], "k int, name string, code string, score int")
+    assert {r["k"]: r["name"] for r in K.chosen_folder(folders, ["k"]).collect()} == {1: "0001_甲私募基金管理有限公司", 2: "甲", 4: "丁"}
 
 
 def test_report_rules(spark):
@@ -158,12 +162,14 @@ def test_report_rules(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "尽调纪要20240105.txt").write_bytes("中文内容".encode("gbk"))
+    (tmp_path / "a" / "尽调笔记20240105.txt").write_bytes("中文内容".encode("gbk"))
     (tmp_path / "a" / "介绍.md").write_text("正文", encoding="utf-8")
     (tmp_path / "a" / "x.bin").write_bytes(b"\0")
     (tmp_path / "a" / "~$tmp.md").write_text("skip")
     cat = io.catalogue(spark, str(tmp_path / "a"), [".txt", ".md"]).collect()
-    assert [(r["category"], r["priority"]) for r in cat] == [("diligence_note", 100), ("deck", 80)] and cat[0]["date_hint"] == dt.date(2024, 1, 5)
+    hints = spark.createDataFrame([("纪要2024-1-5.md",), ("2024年12月31日路演纪要",), ("20240230.txt",), ("x",)], "n string").select(io.date_hint(F.col("n")).alias("d"), io.file_category(F.col("n"))["category"].alias("c")).collect()
+    assert [(r["d"], r["c"]) for r in hints] == [(dt.date(2024, 1, 5), "text_note"), (dt.date(2024, 12, 31), "meeting_or_interview"), (None, "text_note"), (None, "other")]
+    assert [(r["category"], r["priority"]) for r in cat] == [("diligence_note", 100), ("text_note", 60)] and cat[0]["date_hint"] == dt.date(2024, 1, 5)
     docs = {r["path"].rsplit(".", 1)[1]: r for r in io.parsed(spark, str(tmp_path / "a")).where("path NOT LIKE '%~$%'").collect()}
     assert docs["txt"]["content"] == "中文内容" and docs["md"]["content"] == "正文" and docs["bin"]["status"] == "error"
     (tmp_path / "r.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2, "b": "x"}\n')
@@ -225,7 +231,7 @@ def test_profile_build(spark):
     got = P.build(files)
     rows = {r["product_name"]: r for r in got["profiles"].collect()}
     assert len(rows) == 3 and sorted(r["fragments"] for r in rows.values()) == [1, 1, 2]
-    assert got["relations"].where("predicate = 'managed_by' AND object = '双隆'").count() == 1
+    assert got["relations"].where("predicate = 'belongs_to_manager' AND object = '双隆'").count() == 1
     assert got["status"].first()["status"] == "error"
     body = '---\nentity_type: odd\nmentioned_products_simple:\n  - "[[甲一号]]"\n  - 乙二号\n---\n<!-- SYSTEM_MENTIONED_PRODUCTS not json -->'
     parsed = P.notes(spark.createDataFrame([("x.md", body)], "path string, content string"))
