@@ -7,7 +7,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op5_html
 from .language import op4_language
 from .mixing import op10_mixing
-from .quality import op3_quality
+from .quality import OP3_SQL, op3_quality
 from .secrets import op9_secrets
 from .simhash import op8_simhash
 from .toxicity import op6_toxicity
@@ -28,5 +28,6 @@ QUERIES = {
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_warc": OP2_SQL,
+    "op3_quality": OP3_SQL,
     "op7_chat": OP7_SQL,
 }

@@ -8,7 +8,6 @@ from tessera.llm import decontaminate, queries, simhash, toxicity
 from tests.oracle import connect, same
 
 COLUMNS = {
-    "op3_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op4_language": {"doc_id", "held_out", "lang_pred", "score"},
     "op5_html": {"page_id", "url", "text", "n_chars"},
     "op6_toxicity": {"doc_id", "held_out", "score", "predicted"},

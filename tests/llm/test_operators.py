@@ -179,11 +179,40 @@ def test_quality_divergence(spark):
     m = (p / 4 + q) / 2
     kl = lambda a, b: sum(x * np.log2(x / y) for x, y in zip(a, b) if x > 0)
     assert abs(quality.divergence(p, q) - (kl(p / 4, m) + kl(q, m)) / 2) < 1e-12
+    for other in (None, "zz"):  # held against the nearest
+        assert sum(x["kept"] for x in quality.rules(docs.withColumn("lang", F.lit(other).cast("string")), refs).collect()) == 60
     unknown = docs.withColumn("lang", F.lit(None).cast("string"))
     assert sum(x["kept"] for x in quality.rules(unknown, refs).collect()) == 60
     assert quality.rules(docs.limit(0), {}).count() == 0 and quality.references(docs.limit(0)) == {}
 
 
+@pytest.mark.parametrize("keep", [4_000, 60, 5])
+def test_quality_common_words_are_exact(spark, keep):
+    """However few words a task keeps, the references are those of a full count."""
+    r = random.Random(17)
+    zipf = lambda n, base, size: [f"{base}{min(int(r.paretovariate(0.9)), size)}" for _ in range(n)]
+    rows = [(i, " ".join(zipf(400, "a", 3_000) if i % 3 else [f"u{r.randrange(2_000)}" for _ in range(300)]), "xx" if i % 3 else "flat", "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = quality.references(docs, common=20, keep=keep)
+    for lang in ("xx", "flat"):
+        n = Counter(w for x in rows if x[2] == lang for w in x[1].split())
+        top = sorted(n, key=lambda w: (-n[w], w))[:20]
+        assert [w.decode() for w in got[lang].words] == top
+        assert np.abs(got[lang].shares - np.array([*(n[w] for w in top), sum(n.values()) - sum(n[w] for w in top)]) / sum(n.values())).max() < 1e-12
+    assert list(quality.references(docs, max_langs=1)) == ["xx"]
+
+
+def test_frequent_words_bound_what_they_lose():
+    r = random.Random(18)
+    full, held, off = Counter(), Counter(), 0
+    for _ in range(40):
+        part = Counter(f"w{min(int(r.paretovariate(0.7)), 500)}" for _ in range(300))
+        full += part
+        held.update(part)
+        off += quality.frequent(held, 30)
+    assert len(held) <= 30 and all(full[w] - off <= held[w] <= full[w] for w in full) and off * 31 <= sum(full.values())
+
+
 # --- 4: language
 
 
