@@ -3,18 +3,24 @@
 Writing: one record a page with a chunked HTTP response. Pages whose payload
 (of at least ``min_revisit_bytes``) equals that of a page with a smaller id
 become revisit records. Blocks longer than ``segment_bytes`` are cut into a
-first segment and continuation records. Archives go to a shared folder in files
-of at most ``records_per_file`` records, so no file outgrows a task's memory.
+first segment and continuation records, each a record of its own. Archives go to a
+shared folder in files of at most ``records_per_file`` records and ``file_bytes`` bytes
+before compression, as no record's block is longer than a segment: a file is one
+task's input, so it must not outgrow its memory.
 
 Reading: each file is decompressed and parsed as a stream by ``Content-Length``.
 Records that are whole are decoded at once. Segments are grouped by origin id,
 ordered by number, and checked against the total length; then the chunked
-framing is taken off. A group is one record, so it has that record's size.
+framing is taken off and the payload held against its stated digest. A group is one
+record, so it has that record's size.
 
-Defined cases: null html is an empty payload; a null page id never is the
+Defined cases: of pages with equal payloads and the same smallest id all are responses;
+payloads longer than a segment are cut and put together again, whatever their length; an
+empty table gives no archives; null html is an empty payload; a null page id never is the
 response of others; repeated page ids are kept row by row; records with missing,
 repeated or wrong segments get status ``incomplete``, bad chunk framing status
-``malformed``, both with a null payload. Extra columns of ``pages`` are ignored.
+``malformed``, payloads that don't fit their stated SHA-256 status ``digest``, all with a
+null payload. Extra columns of ``pages`` are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +47,9 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
+#: More than a record's header has, but for its URI.
+HEAD_BYTES = 1_024
+
 RECORD = T.StructType([
     T.StructField("record_id", T.StringType()),
     T.StructField("record_type", T.StringType()),
@@ -132,7 +141,7 @@ def records_of(page_id, url, html, digest, response_id, segment_bytes: int, chun
     return out
 
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = 100, segment_bytes: int = 65_536, chunk_bytes: int = 8_192, records_per_file: int = 4_000, date: str = "2024-01-01T00:00:00Z") -> str:
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = 100, segment_bytes: int = 65_536, chunk_bytes: int = 8_192, records_per_file: int = 4_000, file_bytes: int = 256_000_000, date: str = "2024-01-01T00:00:00Z") -> str:
     """Write the archives of ``pages`` (``page_id, url, html``) and return their folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"))
@@ -147,7 +156,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 100, segment_byt
             rows = [r for page in zip(*cols, strict=True) for r in records_of(*page, segment_bytes, chunk_bytes, date)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.string())], names=["value"])
 
-    arrow_map(held, run, schema).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    arrow_map(held, run, schema).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(records_per_file, file_bytes // (segment_bytes + HEAD_BYTES)))).text(path)
     return path
 
 
@@ -233,6 +242,9 @@ def _decode(records: DataFrame) -> DataFrame:
             blocks, kinds = col["block"].to_pylist(), col["record_type"].to_pylist()
             got = [None if x is None or k == "revisit" else payload_of(x) for x, k in zip(blocks, kinds, strict=True)]
             status = ["incomplete" if x is None else "ok" if k == "revisit" or p is not None else "malformed" for x, k, p in zip(blocks, kinds, got, strict=True)]
+            for i, (p, d) in enumerate(zip(got, col["stated_digest"].to_pylist(), strict=True)):
+                if p is not None and d and d.startswith("sha256:") and hashlib.sha256(p).hexdigest() != d[7:]:
+                    got[i], status[i] = None, "digest"
             return col | {"payload": got, "status": status}
 
         return f
