@@ -15,10 +15,13 @@ gives the same sample.
 Tokens are counted once for each cell, with map-side sums, so a source may hold
 any share of the rows. Cells are counted before they reach the driver; beyond
 ``max_cells`` the fitting runs as aggregations over a stored table of cells
-instead, with the same result. Factors go back to documents by a join that
+instead, with the same result. Margins that the cells can't fit, or not within
+``rounds``, give a warning with the largest miss; :func:`margins` tells what came out. Factors go back to documents by a join that
 broadcasts only up to that many cells.
 
-Defined cases: null or empty text has no tokens, and a cell without any tokens
+The topic is one of the text's form, as the data have no subject; ``topic`` takes any other column.
+
+Defined cases: an empty table gives no rows; very long texts are counted to their end; null or empty text has no tokens, and a cell without any tokens
 has probability 0; null source and language are values of their own (written ``?``);
 targets for values that don't occur are left out and the others scaled to sum to
 one; values without a target are dropped from the sample (probability 0) if a
@@ -29,6 +32,8 @@ columns of ``docs`` but such as begin with ``mix_``, which it replaces by its ow
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,19 +62,19 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
+def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """``docs`` with ``mix_source, mix_lang, mix_topic, mix_tokens``."""
     return docs.select(*[c for c in docs.columns if not c.startswith("mix_")]).withColumns({
         "mix_source": F.coalesce(F.col("source"), F.lit("?")),
         "mix_lang": F.coalesce(F.col("lang"), F.lit("?")),
-        "mix_topic": topic_of(F.col("text")),
+        "mix_topic": topic_of(F.col("text")) if topic is None else F.coalesce(topic.cast("string"), F.lit("?")),
         "mix_tokens": token_count(F.col("text")),
     })
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
+def cells_of(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """Tokens and documents of each cell, stored."""
-    return stored(with_cells(docs.select("source", "lang", "text")).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
+    return stored(with_cells(docs, topic).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
 
 
 def tempered(cells: DataFrame, margin: str, power: float, max_values: int = 100_000) -> dict[str, float] | DataFrame:
@@ -123,9 +128,16 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
         if worst < tolerance or cap is not None and abs(before - worst) < tolerance:  # the cap can keep margins from a fit
             break
         before = worst
+    _missed(worst, tolerance)
     return factor
 
 
+def _missed(worst: float, tolerance: float) -> None:
+    """Says so where a margin is off by more than a thousandth of all tokens."""
+    if worst > max(tolerance, 1e-3):
+        warnings.warn(f"margins don't fit their targets: a value is off by {worst:.4f} of all tokens", stacklevel=3)
+
+
 def _cap(total: float, tokens_wanted: float | None) -> float | None:
     """The factor at which all of a cell is taken, where ``tokens_wanted`` of ``total`` are expected."""
     return None if tokens_wanted is None else max(1.0, float(total) / tokens_wanted) if tokens_wanted > 0 else None
@@ -189,11 +201,12 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame],
         if worst < tolerance or cap is not None and abs(before - worst) < tolerance:
             break
         before = worst
+    _missed(worst, tolerance)
     top = now.agg(F.max("factor")).first()[0]
     return now.select(*keys, (F.col("factor") / top).alias("factor"))
 
 
-def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame, tokens_wanted: float | None = None, seed: int = 1, max_cells: int = 200_000) -> DataFrame:
+def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame, tokens_wanted: float | None = None, seed: int = 1, max_cells: int = 200_000, topic: Column | None = None) -> DataFrame:
     """``docs`` with cell columns, ``mix_weight`` (the factor), ``mix_probability`` and ``mix_sampled``."""
     scale = F.lit(1.0)
     if tokens_wanted is not None:
@@ -202,21 +215,28 @@ def with_probability(docs: DataFrame, cells: DataFrame, cell_factors: DataFrame,
     right = cell_factors.withColumnRenamed("factor", "mix_weight")
     right = F.broadcast(right) if cell_factors.limit(max_cells + 1).count() <= max_cells else right
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.coalesce(F.col("text"), F.lit("")), F.lit(seed)), F.lit(1 << 48)) / float(1 << 48)
-    got = with_cells(docs).join(right, [f"mix_{m}" for m in MARGINS], "left")
+    got = with_cells(docs, topic).join(right, [f"mix_{m}" for m in MARGINS], "left")
     got = got.withColumn("mix_weight", F.coalesce("mix_weight", F.lit(0.0))).withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight") * scale))
     return got.withColumn("mix_sampled", u < F.col("mix_probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, tokens_wanted: int | None = None, seed: int = 1, keep: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, tokens_wanted: int | None = None, seed: int = 1, keep: float = 0.5, topic: Column | None = None) -> DataFrame:
     """All rows of ``docs`` with their probabilities and verdicts.
 
     Without targets, those of :func:`tempered` shares; without ``tokens_wanted`` too, the share ``keep`` of all tokens is expected in the sample.
     """
-    cells = cells_of(docs)
+    cells = cells_of(docs, topic)
     if not targets and tokens_wanted is None:
         tokens_wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or {"source": 0.7, "lang": 0.7, "topic": 0.9}).items()}
-    return with_probability(docs, cells, factors(cells, targets, tokens_wanted=tokens_wanted), tokens_wanted, seed)
+    return with_probability(docs, cells, factors(cells, targets, tokens_wanted=tokens_wanted), tokens_wanted, seed, topic=topic)
+
+
+def margins(mixed: DataFrame) -> DataFrame:
+    """``margin, value, tokens, expected``: what each value of a margin has, and what the sample is expected to have of it."""
+    each = F.array(*[F.struct(F.lit(m).alias("margin"), F.col(f"mix_{m}").alias("value")) for m in MARGINS])
+    cells = mixed.groupBy(*[f"mix_{m}" for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"), F.sum(F.col("mix_tokens") * F.col("mix_probability")).alias("expected"))
+    return cells.select(F.explode(each).alias("m"), "tokens", "expected").groupBy("m.margin", "m.value").agg(F.sum("tokens").alias("tokens"), F.sum("expected").alias("expected"))
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
