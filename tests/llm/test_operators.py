@@ -133,6 +133,20 @@ def test_warc_bad_segments(spark):
     assert [b for _, b in warc.stream(gz(one) + gz(one))] == [b"abc", b"abc"] == [b for _, b in warc.stream(one + one)]
 
 
+def test_warc_digests_nulls_repeats_and_long_payloads(spark):
+    long = "ü" * 200_000
+    rows = [(None, None, "n" * 200), (1, "u", "n" * 200), (2, "u", long), (2, "u", long), (3, "u", "x" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("mine")).withColumn("n", F.lit(0))
+    path = warc.write(pages, fresh_path(spark, "t"), file_bytes=300_000)
+    got = warc.records(spark, path).collect()
+    assert sorted((x["record_type"], len(x["payload"]) if x["payload"] is not None else x["stated_bytes"]) for x in got) == [("response", 150), ("response", 200), ("response", 400_000), ("response", 400_000), ("revisit", 200)]
+    assert all(x["status"] == "ok" for x in got) and spark.read.format("binaryFile").load(path).count() >= 3
+    assert [x["refers_to_id"] for x in got if x["record_type"] == "revisit"] == ["urn:x-page:1"]
+    whole = warc.read(spark, path, segments=False).select(*[f.name for f in warc.RECORD.fields[:6]], "block").where("record_type = 'response'")
+    bad = warc._decode(whole.withColumn("stated_digest", F.lit("sha256:00"))).collect()
+    assert bad and all(x["status"] == "digest" and x["payload"] is None for x in bad)
+
+
 def test_warc_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, payload string")
     assert warc.records(spark, warc.write(pages, fresh_path(spark, "t"))).count() == 0
@@ -675,6 +689,40 @@ def test_mixing_fits_margins(spark):
     assert mixing.factors(cells, {"source": {"absent": 1.0}}).count() == 0 == mixing.factors(cells, {"source": {"absent": 1.0}}, max_cells=1).count()
 
 
+def raked(tokens, targets, rounds=400):
+    """Raking written out with dictionaries: cell (a value of each margin) to factor."""
+    total, factor = sum(tokens.values()), dict.fromkeys(tokens, 1.0)
+    for _ in range(rounds):
+        for k, target in enumerate(targets):
+            have = Counter()
+            for c, n in tokens.items():
+                have[c[k]] += n / total * factor[c]
+            factor = {c: f * target[c[k]] / have[c[k]] for c, f in factor.items()}
+    return factor
+
+
+def test_mixing_equals_plain_raking(spark):
+    r = random.Random(15)
+    rows = [(i, " ".join(words(r.randrange(1, 90), i)), r.choice(["en", "de", "fr"]), r.choice("abcd"), 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("kind", F.col("doc_id") % 3)
+    targets = [{"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}, {"en": 0.5, "de": 0.3, "fr": 0.2}, {"0": 0.2, "1": 0.3, "2": 0.5}]
+    tokens = Counter()
+    for i, t, lang, source, _ in rows:
+        tokens[source, lang, str(i % 3)] += len(t.split())
+    want = raked(tokens, targets)
+    top = max(want.values())
+    got = mixing.mix(docs, dict(zip(("source", "lang", "topic"), targets)), topic=F.col("kind"))
+    for x in got.collect():
+        assert abs(x["mix_probability"] - want[x["mix_source"], x["mix_lang"], x["mix_topic"]] / top) < 1e-6
+    out = {(x["margin"], x["value"]): x["expected"] for x in mixing.margins(got).collect()}
+    whole = sum(v for (m, _), v in out.items() if m == "lang")
+    assert all(abs(out["lang", k] / whole - v) < 1e-6 for k, v in targets[1].items())
+    twice = mixing.mix(docs.unionByName(docs), dict(zip(("source", "lang", "topic"), targets)), topic=F.col("kind"))
+    assert twice.count() == 1_000 and twice.select("doc_id", "mix_sampled").distinct().count() == 500
+    with pytest.warns(UserWarning, match="margins"):
+        mixing.mix(docs.where("source = 'a' AND lang = 'en' OR source = 'b' AND lang = 'de'"), {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}).count()
+
+
 def test_mixing_rate_does_not_hang_on_the_rarest_cell(spark):
     r = random.Random(12)
     rows = [(i, " ".join(words(r.randrange(20, 400), i)), r.choice(["en", "en", "de"]), r.choice(["a", "a", "b"]), 0) for i in range(600)]
