@@ -148,7 +148,13 @@ def factor_stats(returns: DataFrame) -> DataFrame:
 
 def brinson(df: DataFrame, by: list[str]) -> DataFrame:
     """Allocation, selection and interaction of ``wp, wb, rp, rb``; the textbook form, as a definition of our own."""
-    rb_total = F.sum(F.col("wb") * F.col("rb")).over(W.partitionBy(*by)) if by else F.sum(F.col("wb") * F.col("rb")).over(W.partitionBy(F.lit(0)))
+    if not by:  # one row for all: no window over the whole table in one task
+        whole = F.broadcast(df.agg(F.sum(F.col("wb") * F.col("rb")).alias("__rb")))
+        return brinson_of(df.crossJoin(whole), F.col("__rb")).drop("__rb")
+    return brinson_of(df, F.sum(F.col("wb") * F.col("rb")).over(W.partitionBy(*by)))
+
+
+def brinson_of(df: DataFrame, rb_total: Column) -> DataFrame:
     return df.withColumns({"allocation": (F.col("wp") - F.col("wb")) * (F.col("rb") - rb_total), "selection": F.col("wb") * (F.col("rp") - F.col("rb")), "interaction": (F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))})
 
 
@@ -175,3 +181,8 @@ def unpivoted(df: DataFrame, keys: list[str], suffixes: dict[str, str]) -> DataF
     parts = [(c, c[: -len(s)].strip(), m) for c in df.columns for s, m in suffixes.items() if c.endswith(s)]
     items = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("measure"), F.col(f"`{c}`").try_cast("double").alias("value")) for c, n, m in parts])
     return df.select(*keys, F.inline(items))
+
+
+def largest_contribution(layer: DataFrame, name: str) -> DataFrame:
+    """The row with the largest absolute contribution; of equal ones the first by name."""
+    return layer.orderBy(F.abs("contribution").desc(), name).limit(1)

@@ -341,3 +341,21 @@ def product_mentions(text: Column, most: int = 12) -> Column:
 def strategy_mentions(text: Column, names: list[str]) -> Column:
     """Strategies whose names a text holds, as links, in the order given."""
     return F.filter(F.array(*[F.when(F.lower(text).contains(n.lower()), F.lit(f"[[{n}]]")) for n in names]), lambda x: x.isNotNull())
+
+
+def repeated_keys(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """Keys with more than one row: ``rows`` and the number of distinct values."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(value).alias("values")).where("rows > 1")
+
+
+def listed_by(df: DataFrame, by: list[str], value: str, separator: str = "\n") -> DataFrame:
+    """The values of each key in order, as one text."""
+    return df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias("listed"))
+
+
+def sessions_of(df: DataFrame, by: str, at: str, order: str, gap_seconds: int) -> DataFrame:
+    """``session``: a new number after each gap of more than so many seconds."""
+    w = W.partitionBy(by).orderBy(at, order)
+    time = F.col(at).cast("timestamp").cast("double")
+    t = df.withColumn("__new", F.when(time - F.lag(time).over(w) <= gap_seconds, 0).otherwise(1))
+    return t.withColumn("session", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")

@@ -81,10 +81,10 @@ def reporting_dates(days: DataFrame, code: int = 4) -> DataFrame:
     return S.resampled(days.select(F.lit(0).alias("series"), "day", F.lit(0.0).alias("nav")), code).select(F.col("last_day").alias("day"))
 
 
-def found_by_name(df: DataFrame, column: str, text: str, n: int = 1) -> DataFrame:
-    """Rows whose name contains the text literally: equal first, then the shortest, then by name."""
+def found_by_name(df: DataFrame, column: str, text: str, n: int = 1, then: list[str] = ()) -> DataFrame:
+    """Rows whose name contains the text literally: equal first, then the shortest, then by name and other columns."""
     c = F.col(column)
-    return df.where(c.contains(text)).orderBy((c == text).desc(), F.length(c), c).limit(n)
+    return df.where(c.contains(text)).orderBy((c == text).desc(), F.length(c), c, *then).limit(n)
 
 
 def search_quick(df: DataFrame, keyword: str, columns: list[str], page: int = 0, size: int = 20) -> DataFrame:

@@ -39,7 +39,10 @@ CONDITIONS = [
     ("worldquant 世坤", "", "WorldQuant背景", "worldquant 世坤"),
 ]
 RELATION_CONDITIONS = {"WorldQuant背景": "has_people_background", "行业暴露": "has_exposure_constraint", "行业暴露3%以内": "has_exposure_constraint"}
-GENERIC_NAME = r"(?:产品线|系列|策略|代表产品|系列产品|产品)$"
+GENERIC_NAME = "系列|产品线|工具化|策略体系"
+#: Tags that don't go together.
+FUTURES_TAGS = "管理期货 商品CTA 股指CTA 趋势CTA 基本面CTA".split()
+INDEX_TAGS = "指数增强 300指增 500指增 1000指增 2000指增".split()
 
 
 @dataclass
@@ -100,7 +103,10 @@ def text_weight(term: str) -> float:
 
 
 def is_generic(name: Column) -> Column:
-    return F.coalesce(name.rlike(GENERIC_NAME), F.lit(False))
+    """Whether a name stands for a line of products: by its words, or by its end if it has no number."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    unnumbered = ~n.contains("号")
+    return (n == "") | n.rlike(GENERIC_NAME) | unnumbered & (n.endswith("产品") | match_key(n).endswith("cta"))
 
 
 def quality_penalty() -> Column:
@@ -117,8 +123,17 @@ def quality_penalty() -> Column:
     )
 
 
+def review_flags(by_tag: Column) -> Column:
+    """What in a result needs review; ``by_tag`` says whether a tag matched."""
+    keys = F.transform(F.concat("primary_tags", "secondary_tags"), match_key)
+    any_of = lambda tags: F.arrays_overlap(keys, F.array(*[F.lit(text_key(x)) for x in tags]))
+    mixed = any_of(FUTURES_TAGS) & any_of(INDEX_TAGS)
+    flags = [(is_generic(F.col("product_name")), "generic_product_name"), (~F.coalesce("quality_status", F.lit("")).isin("", "confirmed"), "profile_quality_review_needed"), (~by_tag, "weak_text_match"), (mixed, "mixed_strategy_tags"), (mixed, "tag_conflict_review_needed")]
+    return F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in flags]), lambda x: x.isNotNull())
+
+
 def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = None) -> DataFrame:
-    """Profiles with a signal, with ``score, matched, missing, satisfied``.
+    """Profiles with a signal, with ``score, matched, missing, satisfied, review_flags``.
 
     Per term the first field that contains it counts: product, manager, tags, text,
     relations. Conditions add 5.5 (tags or relations) or 4 (text), or cost 2.5.
@@ -152,7 +167,7 @@ def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = No
     terms = literal([(t, text_key(t), t.lower(), text_weight(t)) for t in intent.terms if text_key(t)], "name:string,key:string,low:string,weight:double")
     has = lambda c, x: F.col(c).contains(x)
     weight = lambda x: F.when(has("__product", x["key"]), 8.0).when(has("__manager", x["key"]), 6.0).when(has("__tags", x["low"]), 4.5).when(has("__text", x["low"]), x["weight"]).when(has("__rel", x["low"]), 4.5)
-    t = t.withColumn("__hits", F.filter(F.transform(terms, lambda x: F.struct(x["name"].alias("name"), weight(x).alias("w"))), lambda x: x["w"].isNotNull()))
+    t = t.withColumn("__hits", F.filter(F.transform(terms, lambda x: F.struct(x["name"].alias("name"), weight(x).alias("w"), (~has("__product", x["key"]) & ~has("__manager", x["key"]) & has("__tags", x["low"])).alias("tag"))), lambda x: x["w"].isNotNull()))
     inside = lambda c, x: F.exists(x["keys"], lambda k: has(c, k))
     worth = lambda x: F.when(inside("__tagkey", x) | inside("__relkey", x), 5.5).when(inside("__textkey", x), 4.0).otherwise(-2.5)
     asked = literal([(label, "", "", 0.0, [text_key(n) for n in names]) for label, names in intent.conditions], "name:string,keys:array<string>")
@@ -168,6 +183,8 @@ def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = No
     t = t.where(F.col("__any") & (F.size("matched") > 0))
     total = score + boost + F.least(F.size("evidence"), F.lit(3)) * 0.25 - quality_penalty()
     wanted = bool(intent.conditions or intent.manager or intent.product)
+    by_tag = F.exists("__hits", lambda x: x["tag"]) | F.exists("__met", lambda x: x["w"] == 5.5)
+    t = t.withColumn("review_flags", review_flags(by_tag))
     t = t.withColumns({"score": total, "satisfied": F.when(F.lit(wanted), F.when(F.size("missing") == 0, "satisfied").otherwise("unsatisfied")).otherwise("not_applicable")})
     return t.where("score > 0").drop("__rel", "__product", "__manager", "__tags", "__text", "__tagkey", "__textkey", "__relkey", "__any", "__hits", "__met")
 
@@ -179,10 +196,10 @@ def ranked(results: DataFrame, limit: int) -> DataFrame:
 
 def by_manager(results: DataFrame, limit: int) -> DataFrame:
     """Managers of the results: best score plus 1.5 for up to six products and 0.5 for each with sure tags."""
-    weak = (F.size("primary_tags") == 0) & (F.size("secondary_tags") == 0)
+    weak = F.array_contains("review_flags", "weak_text_match")
     sure = (F.col("tag_confidence") == "high") | (F.col("tag_review_status") == "confirmed")
     rank = F.when(F.col("tag_confidence") == "high", 0).when(F.col("tag_confidence") == "medium", 1).when(F.col("tag_confidence") == "low", 2).otherwise(3)
-    mixed = F.array_contains("primary_tags", "管理期货") & F.array_contains("primary_tags", "指数增强")
+    mixed = F.array_contains("review_flags", "tag_conflict_review_needed")
     t = results.where("manager <> ''").withColumn("manager_key", identity_key(F.col("manager")))
     order = F.struct(is_generic(F.col("product_name")).alias("a"), (F.col("quality_status") != "confirmed").alias("b"), rank.alias("c"), (-F.col("score")).alias("d"), F.length(match_key(F.col("product_name"))).alias("e"), "product_name")
     g = t.groupBy("manager_key").agg(
@@ -226,14 +243,14 @@ def packed(results: DataFrame, budget: int = 8_000, per_result: int = 900) -> Da
     return whole.withColumns({"packed_profile": short("__p"), "packed_evidence": short("__e")}).withColumn("context_chars", F.length("packed_profile") + F.length("packed_evidence")).drop("__p", "__e", "__n")
 
 
-def search(profiles: DataFrame, query: str, limit: int = 10, relations: DataFrame | None = None) -> DataFrame:
+def search(profiles: DataFrame, query: str, limit: int = 10, relations: DataFrame | None = None, budget: int = 8_000) -> DataFrame:
     """Ranked, packed results of a query; relations are read only if a condition asks for them."""
     intent = intent_of(profiles, query)
     needed = {RELATION_CONDITIONS[c] for c, _ in intent.conditions if c in RELATION_CONDITIONS}
     rel = relations.where(F.col("predicate").isin(sorted(needed) + ["has_strategy", "has_product_line"])) if relations is not None and needed else None
     top = ranked(scored(profiles, intent, rel), limit)
     nth = F.row_number().over(W.orderBy(F.col("score").desc(), F.col("quality_status") != "confirmed", F.col("entity_type") != "product", is_generic(F.col("product_name")), "product_name"))
-    return packed(top.withColumn("rank", nth))
+    return packed(top.withColumn("rank", nth), budget)
 
 
 def with_defaults(profiles: DataFrame) -> DataFrame:
@@ -251,3 +268,10 @@ def with_defaults(profiles: DataFrame) -> DataFrame:
 def bigram_index(profiles: DataFrame) -> DataFrame:
     """Inverted index: each Han bigram of a profile's text with its product."""
     return profiles.select("product_name", F.explode(F.array_distinct(bigrams(F.col("profile_text")))).alias("term"))
+
+
+def index_candidates(profiles: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """Profiles that share a Han pair with the query by an inverted index (:func:`bigram_index`): what a search need look at, if it has any."""
+    han = re.sub(r"[^一-鿿]", "", query)
+    pairs = sorted({a + b for a, b in zip(han, han[1:])})
+    return profiles.join(index.where(F.col("term").isin(pairs)).select("product_name").distinct(), "product_name", "left_semi") if pairs else profiles

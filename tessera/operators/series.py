@@ -195,3 +195,21 @@ def running_product(ret: Column, w) -> Column:
 def sensitivity(pairs: DataFrame) -> DataFrame:
     """Slope, intercept and fit of ``y`` on ``x`` for each pair ``a, b``."""
     return pairs.groupBy("a", "b").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), F.regr_r2("y", "x").alias("r2"))
+
+
+def group_stats(df: DataFrame) -> DataFrame:
+    """Mean, deviation, bounds and last value of each series."""
+    return df.groupBy("series").agg(F.avg("nav").alias("mean"), F.stddev_samp("nav").alias("sd"), F.min("nav").alias("low"), F.max("nav").alias("high"), F.max_by("nav", "day").alias("latest"))
+
+
+def rebased(df: DataFrame) -> DataFrame:
+    """``from_start`` and ``rebased``: difference from and ratio to a series' first value."""
+    first = F.first("nav").over(_by_day().rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumns({"from_start": F.col("nav") - first, "rebased": ratio(F.col("nav"), first)})
+
+
+def against_benchmark(df: DataFrame, benchmark: str) -> DataFrame:
+    """``excess`` of each rebased series over one of them, on common days."""
+    r = rebased(df).select("series", "day", "rebased")
+    b = r.where(F.col("series") == benchmark).select("day", F.col("rebased").alias("__b"))
+    return r.where(F.col("series") != benchmark).join(b, "day").select("series", "day", (F.col("rebased") - F.col("__b")).alias("excess"))

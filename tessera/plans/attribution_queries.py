@@ -53,7 +53,7 @@ def strategy_layer(spark, sf):
 @query(f"WITH {_PANEL}, {_STRATEGY} SELECT strategy AS main_strategy, round(contribution, 6) AS contribution FROM layer ORDER BY abs(contribution) DESC, strategy LIMIT 1")
 def main_strategy(spark, sf):
     t = A.strategy_layer(_panel(spark, sf), F.lit(BEGIN_M).cast("date"), F.lit(END_M).cast("date"))
-    return rounded(t.orderBy(F.abs("contribution").desc(), "strategy").limit(1).select(F.col("strategy").alias("main_strategy"), "contribution"))
+    return rounded(A.largest_contribution(t, "strategy").select(F.col("strategy").alias("main_strategy"), "contribution"))
 
 
 def _track_rows(spark, sf):

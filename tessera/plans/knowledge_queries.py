@@ -142,11 +142,14 @@ def _intent(**how):
     return R.Intent("", terms=TERMS, conditions=CONDITIONS, **how)
 
 
-_GENERIC = "regexp_matches(product_name, '(?:产品线|系列|策略|代表产品|系列产品|产品)$')"
+_GENERIC = f"(trim(product_name) = '' OR regexp_matches(product_name, '系列|产品线|工具化|策略体系') OR NOT contains(product_name, '号') AND (ends_with(product_name, '产品') OR ends_with({sql_key('product_name')}, 'cta')))"
 _WEIGHT = {"500指增": 3.0, "CTA": 3.0, "多因子": 1.5, "行业偏离": 2.5, "WorldQuant": 5.0, "灵均": 1.5}
 _TERM = " + ".join(f"CASE WHEN contains(pk, '{text_key(t)}') THEN 8.0 WHEN contains(mk, '{text_key(t)}') THEN 6.0 WHEN contains(tags, '{t.lower()}') THEN 4.5 WHEN contains(txt, '{t.lower()}') THEN {_WEIGHT[t]} ELSE 0 END" for t in TERMS)
 _CONDITION = " + ".join(f"CASE WHEN {contains_any('tagk', [text_key(n) for n in names])} THEN 5.5 WHEN {contains_any('txtk', [text_key(n) for n in names])} THEN 4.0 ELSE -2.5 END" for _, names in CONDITIONS)
 _MET = [f"({contains_any('tagk', [text_key(n) for n in names])} OR {contains_any('txtk', [text_key(n) for n in names])})" for _, names in CONDITIONS]
+_BY_TAG = " OR ".join([f"contains(tags, '{t.lower()}') AND NOT contains(pk, '{text_key(t)}') AND NOT contains(mk, '{text_key(t)}')" for t in TERMS] + [contains_any("tagk", [text_key(n) for n in names]) for _, names in CONDITIONS])
+_TAGGED = "primary_tag IN ({0}) OR secondary_tag IN ({0})"
+_IS_FUTURES, _IS_INDEX = (_TAGGED.format(", ".join(f"'{x}'" for x in tags)) for tags in (["管理期货", "商品CTA", "股指CTA", "趋势CTA", "基本面CTA"], ["指数增强", "300指增", "500指增", "1000指增", "2000指增"]))
 _SEARCH = f"""{V.PROFILES_CTE}, t AS (SELECT *, {sql_key('product_name')} AS pk, {sql_key('manager')} AS mk, lower(primary_tag || chr(10) || secondary_tag) AS tags,
   lower(concat_ws(chr(10), product_name, manager, primary_tag, secondary_tag, evidence_line, profile_text)) AS txt FROM profiles),
 k AS (SELECT *, {sql_key('tags')} AS tagk, {sql_key('txt')} AS txtk FROM t),
@@ -154,7 +157,8 @@ r AS (SELECT *, {_TERM} + {_CONDITION} + 0.25
   - CASE quality_status WHEN 'weak_line' THEN 6.0 WHEN 'needs_review' THEN 4.0 ELSE 0 END - CASE WHEN entity_type IN ('', 'product') THEN 0 ELSE 5.0 END - CASE entity_confidence WHEN 'medium' THEN 1.5 WHEN 'low' THEN 3.0 ELSE 0 END
   - CASE WHEN name_reason = 'strategy_product_line' THEN 2.0 ELSE 0 END - CASE WHEN {_GENERIC} THEN 2.0 ELSE 0 END AS score,
   concat_ws('|', {', '.join(f"CASE WHEN NOT {m} THEN '{label}' END" for m, (label, _) in zip(_MET, CONDITIONS))}) AS missing FROM k WHERE {' OR '.join(_MET)}),
-s AS (SELECT *, CASE WHEN missing = '' THEN 'satisfied' ELSE 'unsatisfied' END AS satisfied FROM r WHERE score > 0)"""
+s AS (SELECT *, CASE WHEN missing = '' THEN 'satisfied' ELSE 'unsatisfied' END AS satisfied,
+  NOT ({_BY_TAG}) AS weak, ({_IS_FUTURES}) AND ({_IS_INDEX}) AS mixed FROM r WHERE score > 0)"""
 _ORDER = f"score DESC, quality_status <> 'confirmed', entity_type <> 'product', {_GENERIC}, product_name, id"
 
 
@@ -170,14 +174,19 @@ def profile_ranking(spark, sf):
 
 @query(f"""WITH {_SEARCH}, mm AS (SELECT manager FROM profiles), {core_steps('mm', 'manager', 'm')}, j AS (SELECT s.*, {sql_key('core')} AS mkey, {_GENERIC} AS gen, CASE tag_confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS rk FROM s JOIN m ON s.manager = m.manager),
 p AS (SELECT mkey, product_name, row_number() OVER (PARTITION BY mkey ORDER BY gen, quality_status <> 'confirmed', rk, score DESC, length(pk), product_name) AS n FROM j),
-g AS (SELECT mkey, max(score) AS best, count(*) AS n, count(*) FILTER (tag_confidence = 'high' OR tag_review_status = 'confirmed') AS sure, bool_or(primary_tag = '' AND secondary_tag = '') AS weak, arg_max(manager, (length(manager), manager)) AS manager FROM j GROUP BY 1)
-SELECT manager, CAST(best + least(n, 6) * 1.5 + sure * 0.5 - CASE WHEN weak AND n = 1 THEN 1.0 ELSE 0 END AS DOUBLE) AS score, n AS matched_products, (SELECT string_agg(product_name, '|' ORDER BY p.n) FROM p WHERE p.mkey = g.mkey AND p.n <= 3) AS representatives,
-  CASE WHEN n >= 2 OR sure > 0 THEN 'high' ELSE 'medium' END AS confidence FROM g""")
+g AS (SELECT mkey, max(score) AS best, count(*) AS n, count(*) FILTER (tag_confidence = 'high' OR tag_review_status = 'confirmed') AS sure, bool_or(weak) AS weak, bool_or(mixed) AS mixed, arg_max(manager, (length(manager), manager)) AS manager FROM j GROUP BY 1)
+SELECT manager, CAST(best + least(n, 6) * 1.5 + sure * 0.5 - CASE WHEN mixed THEN 2.0 ELSE 0 END - CASE WHEN weak AND n = 1 THEN 1.0 ELSE 0 END AS DOUBLE) AS score, n AS matched_products, (SELECT string_agg(product_name, '|' ORDER BY p.n) FROM p WHERE p.mkey = g.mkey AND p.n <= 3) AS representatives,
+  CASE WHEN mixed THEN 'review_needed' WHEN n >= 2 OR sure > 0 THEN 'high' ELSE 'medium' END AS confidence FROM g""")
 def manager_results(spark, sf):
     got = R.by_manager(R.scored(V.profiles(spark, sf), _intent()), 50)
     return got.select("manager", F.col("score").cast("double").alias("score"), "matched_products", F.array_join("representative_products", "|").alias("representatives"), "confidence")
 
 
+@query(f"""WITH {_SEARCH} SELECT id, concat_ws('|', CASE WHEN {_GENERIC} THEN 'generic_product_name' END, CASE WHEN quality_status NOT IN ('', 'confirmed') THEN 'profile_quality_review_needed' END, CASE WHEN weak THEN 'weak_text_match' END, CASE WHEN mixed THEN 'mixed_strategy_tags|tag_conflict_review_needed' END) AS flags FROM s""")
+def review_flags(spark, sf):
+    return R.scored(V.profiles(spark, sf), _intent()).select("id", F.array_join("review_flags", "|").alias("flags"))
+
+
 def _cut(x: str, most: int) -> str:
     return rf"CASE WHEN length({x}) <= {most} THEN {x} ELSE regexp_replace(left({x}, {most - 1}), '[\s,;:.，；：。、]+$', '') || '…' END"
 
@@ -218,6 +227,42 @@ def query_intents(spark, sf):
     return spark.createDataFrame([(i.query, i.manager, i.product, "|".join(c for c, _ in i.conditions), i.mode) for i in got], "query string, manager string, product string, conditions string, mode string")
 
 
+def _search_sql(q: str, limit: int, budget: int, per_result: int) -> str:
+    """Search without a manager or product in the query: its terms and conditions, scored, ranked and packed."""
+    terms, conditions = R.query_terms(q), R.conditions_of(q)
+    points = " + ".join(f"CASE WHEN contains(pk, '{text_key(t)}') THEN 8.0 WHEN contains(mk, '{text_key(t)}') THEN 6.0 WHEN contains(tags, '{t.lower()}') THEN 4.5 WHEN contains(txt, '{t.lower()}') THEN {R.text_weight(t)} ELSE 0 END" for t in terms if text_key(t))
+    met = [(contains_any("tagk", [text_key(n) for n in names]), contains_any("txtk", [text_key(n) for n in names])) for _, names in conditions]
+    more = " + ".join(f"CASE WHEN {a} THEN 5.5 WHEN {b} THEN 4.0 ELSE -2.5 END" for a, b in met)
+    half, first = per_result // 2, max(budget // 2, 120)
+    return f"""WITH RECURSIVE {_SEARCH[:_SEARCH.index('r AS (SELECT *')]}
+r AS (SELECT *, {points} + {more} + 0.25
+  - CASE quality_status WHEN 'weak_line' THEN 6.0 WHEN 'needs_review' THEN 4.0 ELSE 0 END - CASE WHEN entity_type IN ('', 'product') THEN 0 ELSE 5.0 END - CASE entity_confidence WHEN 'medium' THEN 1.5 WHEN 'low' THEN 3.0 ELSE 0 END
+  - CASE WHEN name_reason = 'strategy_product_line' THEN 2.0 ELSE 0 END - CASE WHEN {_GENERIC} THEN 2.0 ELSE 0 END AS score, {' AND '.join(f'({a} OR {b})' for a, b in met)} AS whole FROM k WHERE {' OR '.join(f'{a} OR {b}' for a, b in met)}),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, quality_status <> 'confirmed', entity_type <> 'product', {_GENERIC}, product_name) AS rank FROM r WHERE score > 0),
+n AS (SELECT *, length({_cut('profile_text', half)}) + length({_cut('evidence_line', half)}) AS size FROM o WHERE rank <= {limit}),
+p AS (SELECT rank, CASE WHEN size > {budget} THEN least(size, {2 * first}) ELSE size END AS used, true AS kept FROM n WHERE rank = 1
+  UNION ALL SELECT n.rank, CASE WHEN p.used + size <= {budget} THEN p.used + size ELSE p.used END, p.used + size <= {budget} FROM p JOIN n ON n.rank = p.rank + 1)
+SELECT CAST(n.rank AS INTEGER) AS rank, product_name, manager, CAST(score AS DOUBLE) AS score, CASE WHEN whole THEN 'satisfied' ELSE 'unsatisfied' END AS satisfied FROM n JOIN p ON n.rank = p.rank WHERE kept"""
+
+
+SEARCHED = "哪些管理人有商品期货CTA策略"
+
+
+@query(_search_sql(SEARCHED, 12, 150, 900))
+def profile_search(spark, sf):
+    p = V.profiles(spark, sf)
+    top = R.search(p, SEARCHED, 12, budget=150)
+    return top.select("rank", "product_name", "manager", F.col("score").cast("double").alias("score"), "satisfied")
+
+
+@query()
+def profile_build(spark, sf):
+    """Profiles compiled from notes of the first parts: a build is tested by its steps, which have SQL."""
+    from tessera.plans.profiles import build
+
+    return build(V.notes(spark, sf))["profiles"].select("canonical_key", "product_name", "manager", "primary_tag", "quality_status", "fragments")
+
+
 # --- classification and derived fields
 
 

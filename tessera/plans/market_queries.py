@@ -102,8 +102,7 @@ def reporting_dates(spark, sf):
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'red') ORDER BY p_name = 'red' DESC, length(p_name), p_name, p_partkey LIMIT 5")
 def name_search(spark, sf):
-    t = table(spark, sf, "part").select("p_partkey", "p_name").where(F.col("p_name").contains("red"))
-    return t.orderBy((F.col("p_name") == "red").desc(), F.length("p_name"), "p_name", "p_partkey").limit(5)
+    return M.found_by_name(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "red", 5, ["p_partkey"])
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '00001') ORDER BY s_name, s_suppkey LIMIT 20")
@@ -168,7 +167,8 @@ def latest_by_key(spark, sf):
 
 @query("""SELECT s_nationkey, count(*) AS suppliers, count(DISTINCT round(s_acctbal / 1000)) AS bands FROM supplier GROUP BY 1 HAVING count(*) > 1""")
 def duplicates_having(spark, sf):
-    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"), F.count_distinct(F.round(F.col("s_acctbal") / 1000)).alias("bands")).where("suppliers > 1")
+    got = K.repeated_keys(table(spark, sf, "supplier"), ["s_nationkey"], F.round(F.col("s_acctbal") / 1000))
+    return got.select("s_nationkey", F.col("rows").alias("suppliers"), F.col("values").alias("bands"))
 
 
 @query("""SELECT CASE WHEN max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 0 END) >= 3 THEN 'error' ELSE 'warning' END AS status, count(*) AS issues FROM orders""")
@@ -228,9 +228,12 @@ def repeated_lines(spark, sf):
     return rounded(X.repeated_line_ratio(table(spark, sf, "documents"), "doc_id"))
 
 
-@query(r"""SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{L}\p{N}\s.,;:!?%()\-]', '', 'g')) AS DOUBLE) / greatest(length(text), 1) > 0.9 AS mostly_text FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), l AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, trim(unnest(string_split(t, chr(10))), ' ') AS line FROM d) WHERE length(line) BETWEEN 2 AND 24 GROUP BY 1, 2),
+r AS (SELECT doc_id, sum(CASE WHEN c >= 3 THEN c ELSE 0 END) / sum(c) AS ratio FROM l GROUP BY 1),
+v AS (SELECT doc_id, length(t) AS n, CAST(length(t) - length(regexp_replace(t, '[\p{L}\p{N}\s.,;:!?%()\-，。；：！？（）、]', '', 'g')) AS DOUBLE) / greatest(length(t), 1) AS share FROM d)
+SELECT v.doc_id AS doc_id, share > 0.9 AS mostly_text, n >= 50 AND share >= 0.3 AND coalesce(ratio, 0) <= 0.28 AS usable FROM v LEFT JOIN r ON v.doc_id = r.doc_id""")
 def text_validity(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (X.valid_ratio(F.col("text")) > 0.9).alias("mostly_text"))
+    return table(spark, sf, "documents").select("doc_id", (X.valid_ratio(F.trim(F.coalesce("text", F.lit("")))) > 0.9).alias("mostly_text"), X.is_valid(F.col("text")).alias("usable"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(left(text, 79), '[\\s,;:.]+$', '') || '…' END AS short FROM documents""")
@@ -275,11 +278,7 @@ def rollup_totals(spark, sf):
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, CAST(sid AS BIGINT) AS session, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1, 2""")
 def sessionized(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.col("ts").cast("timestamp").cast("double")
-    gap = at - F.lag(at).over(w)
-    t = table(spark, sf, "events").withColumn("new", F.when(gap <= 6 * 3600, 0).otherwise(1))
-    t = t.withColumn("session", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t = K.sessions_of(table(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600)
     return t.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -298,10 +297,9 @@ def exposure_trend(spark, sf):
 @query(f"""WITH {V.FACTOR}, r AS (SELECT series, day, nav / first(nav) OVER (PARTITION BY series ORDER BY day) AS v FROM factor)
 SELECT a.series AS series, {_D.format('a.day')} AS day, round(a.v - b.v, 6) AS excess FROM r a JOIN r b ON a.day = b.day AND b.series = 'view' WHERE a.series <> 'view'""")
 def benchmark_comparison(spark, sf):
-    first = F.first("nav").over(W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
-    r = V.factor(spark, sf).withColumn("v", F.col("nav") / first)
-    b = r.where("series = 'view'").select("day", F.col("v").alias("b"))
-    return rounded(r.where("series <> 'view'").join(b, "day").select("series", "day", (F.col("v") - F.col("b")).alias("excess")))
+    from tessera.operators.series import against_benchmark
+
+    return rounded(against_benchmark(V.factor(spark, sf), "view"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 1 DAY - INTERVAL 1 DAY * 30, '%Y-%m-%d') AS prev_begin, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS prev_end FROM orders")
@@ -327,25 +325,4 @@ def top_names(spark, sf):
 def manager_rollup(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     t = s.join(n, s["s_nationkey"] == n["n_nationkey"])
-    return t.groupBy("n_nationkey", "n_name").agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("products"))
-
-
-def _notes(spark):
-    note = lambda path, manager, entity, body: (path, f"---\nentity_type: product\nmanager: {manager}\nprimary_entity: '[[{entity}]]'\nmain_strategies: [{body}]\n---\n{entity} 的策略是{body}。\n")
-    return spark.createDataFrame([note("a.md", "双隆", "双隆隆元1号", "商品CTA"), note("b.md", "双隆", "隆元一号", "趋势CTA"), note("c.md", "平方和", "中证1000指数增强产品", "1000指增"), note("d.md", "平方和", "平方和财赢1号", "量化多头")], "path string, content string")
-
-
-@query()
-def profile_build(spark, sf):
-    from tessera.plans.profiles import build
-
-    return build(_notes(spark))["profiles"].select("canonical_key", "product_name", "manager", "primary_tag", "quality_status", "fragments")
-
-
-@query()
-def profile_search(spark, sf):
-    from tessera.operators.retrieval import search, with_defaults
-    from tessera.plans.profiles import build
-
-    p = with_defaults(build(_notes(spark))["profiles"].drop("tag_confidence", "tag_review_status", "path"))
-    return search(p, "哪些管理人有商品CTA策略", 5).select("rank", "product_name", "manager", "score", "satisfied")
+    return K.listed_by(t, ["n_nationkey", "n_name"], "s_name").withColumnRenamed("listed", "products")

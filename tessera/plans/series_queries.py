@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import series as S
@@ -173,10 +172,9 @@ def factor_sensitivity(spark, sf):
 
 @query(f"""WITH {V.NAV} SELECT series, round(avg(nav), 6) AS mean, round(stddev_samp(nav), 6) AS sd, round(min(nav), 6) AS low, round(max(nav), 6) AS high, round(arg_max(nav, day), 6) AS latest FROM nav GROUP BY series""")
 def group_stats(spark, sf):
-    return rounded(V.nav(spark, sf).groupBy("series").agg(F.avg("nav").alias("mean"), F.stddev_samp("nav").alias("sd"), F.min("nav").alias("low"), F.max("nav").alias("high"), F.max_by("nav", "day").alias("latest")))
+    return rounded(S.group_stats(V.nav(spark, sf)))
 
 
 @query(f"""WITH {V.NAV} SELECT series, {_D.format('day')} AS day, round(nav - first(nav) OVER w, 6) AS from_start, round(nav / first(nav) OVER w, 6) AS rebased FROM nav WINDOW w AS (PARTITION BY series ORDER BY day)""")
 def rebased(spark, sf):
-    first = F.first("nav").over(W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
-    return rounded(V.nav(spark, sf).select("series", "day", (F.col("nav") - first).alias("from_start"), (F.col("nav") / first).alias("rebased")))
+    return rounded(S.rebased(V.nav(spark, sf)).select("series", "day", "from_start", "rebased"))

@@ -224,15 +224,15 @@ def test_unnesting(spark):
 
 
 def test_profile_build(spark):
-    from tessera.plans import market_queries as Q
     from tessera.plans import profiles as P
 
-    files = Q._notes(spark)
+    note = lambda path, manager, entity, body: (path, f"---\nentity_type: product\nmanager: {manager}\nprimary_entity: '[[{entity}]]'\nmain_strategies: [{body}]\n---\n{entity} 的策略是{body}。\n")
+    files = spark.createDataFrame([note("a.md", "双隆", "双隆隆元1号", "商品CTA"), note("b.md", "双隆", "隆元一号", "趋势CTA"), note("c.md", "平方和", "中证1000指数增强产品", "1000指增"), note("d.md", "平方和", "平方和财赢1号", "量化多头")], "path string, content string")
     got = P.build(files)
     rows = {r["product_name"]: r for r in got["profiles"].collect()}
     assert len(rows) == 3 and sorted(r["fragments"] for r in rows.values()) == [1, 1, 2]
     assert got["relations"].where("predicate = 'belongs_to_manager' AND object = '双隆'").count() == 1
-    assert got["status"].first()["status"] == "error"
+    assert got["status"].first()["status"] == "warning" and got["relations"].where("predicate = 'has_product'").count() == 3
     body = '---\nentity_type: odd\nmentioned_products_simple:\n  - "[[甲一号]]"\n  - 乙二号\n---\n<!-- SYSTEM_MENTIONED_PRODUCTS not json -->'
     parsed = P.notes(spark.createDataFrame([("x.md", body)], "path string, content string"))
     assert parsed.first()["mentioned"] == ["甲一号", "乙二号"]
