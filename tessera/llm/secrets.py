@@ -2,8 +2,8 @@
 
 Candidates come from one pattern: private-key blocks, assignments to names such
 as ``password`` or ``token`` (a quoted value goes to its closing quote), passwords
-in URLs, tokens with a prefix that vendors publish, and other tokens of 16 or more
-characters with a digit. No run in it has an upper bound and none gives anything
+in URLs, and tokens of 16 or more characters with a prefix that vendors publish or
+with a digit. No run in it has an upper bound and none gives anything
 back, so a value is whole however long it is, and the search is linear.
 The text is split by the same pattern, so each candidate is known with its place
 and with what stands before and after it. Features are length, transitions
@@ -44,12 +44,12 @@ PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 #: Prefixes that vendors of tokens publish.
 VENDORS = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_)"
 IN_TOKEN = r"[A-Za-z0-9+/_=.-]"
-TOKEN = rf"(?<!{IN_TOKEN})(?:{VENDORS}{IN_TOKEN}{{12,}}+|(?=[A-Za-z+/_=.-]*+[0-9]){IN_TOKEN}{{16,}}+)"
+TOKEN = rf"(?<!{IN_TOKEN})(?={IN_TOKEN}{{16}})(?:{VENDORS}|(?=[A-Za-z+/_=.-]*+[0-9])){IN_TOKEN}++"
 URL_USER, URL_PASSWORD = r"://[^\s/:@]*+:", r"(?:(?!://)[^\s@\"'<>]){3,}+"
 #: In this order: the first that fits at a place is taken.
 CANDIDATE = "|".join([
     PRIVATE + r"[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    rf"(?<![A-Za-z]){ASSIGN}(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
+    rf"(?=[aAbBcCpPrRsStT])(?<![A-Za-z]){ASSIGN}(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
     f"{URL_USER}{URL_PASSWORD}@",
     TOKEN,
 ])
