@@ -90,3 +90,10 @@ def score_after(c: Column, label: str) -> Column:
     import re
 
     return F.nullif(F.regexp_extract(c, rf"{re.escape(label)}[^\d\n-]{{0,20}}(-?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
+
+
+def end_day(config: Column, base: Column, today: Column) -> Column:
+    """The end of a report: what a JSON configuration says, else the fund's own last day, else a given one; days before 1990 count as none."""
+    given = soft_day(F.coalesce(*[F.get_json_object(config, f"$.{k}") for k in ("end_date", "endDate", "end")]))
+    known = lambda d: F.when(d >= F.lit("1990-01-01").cast("date"), d)
+    return F.coalesce(known(given), known(soft_day(base)), soft_day(today))

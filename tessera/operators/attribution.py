@@ -186,3 +186,10 @@ def unpivoted(df: DataFrame, keys: list[str], suffixes: dict[str, str]) -> DataF
 def largest_contribution(layer: DataFrame, name: str) -> DataFrame:
     """The row with the largest absolute contribution; of equal ones the first by name."""
     return layer.orderBy(F.abs("contribution").desc(), name).limit(1)
+
+
+def named_row_sum(df: DataFrame, name: str, names: list[str] | None = None) -> DataFrame:
+    """``name, total``: the sum of all numeric columns of the rows of some names."""
+    numeric = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, k in df.dtypes if c != name and (k in ("double", "float", "bigint", "int", "smallint", "tinyint") or k.startswith("decimal"))]
+    t = df if names is None else df.where(F.col(name).isin(names))
+    return t.groupBy(name).agg(F.sum(sum(numeric, F.lit(0.0))).alias("total"))

@@ -97,6 +97,31 @@ def layout_lines(spans: DataFrame, gap: float = 3.0, edge: float = 0.1) -> DataF
     return g.where(~F.trim("text").rlike(r"^[-–— ]*\d{1,4}[-–— ]*$"))
 
 
+def reading_order(lines: DataFrame, least: int = 30, side: int = 12, gap: float = 0.18) -> DataFrame:
+    """Lines ``page, page_width, y0, x0, text`` with ``place`` in reading order: by columns where a page has two, else from the top.
+
+    A page has two columns if it has ``least`` lines outside tables, ``side`` of them begin on each half, and the
+    middle starts of the halves are ``gap`` of the width apart.
+    """
+    plain = (F.trim("text") != "") & ~(F.trim("text").startswith("|") & (F.length("text") - F.length(F.replace("text", F.lit("|"))) >= 2))
+    half = F.col("page_width") * 0.5
+    starts = lambda cond: F.sort_array(F.collect_list(F.when(plain & cond, F.col("x0"))))
+    g = lines.groupBy("page").agg(starts(F.col("x0") < half).alias("l"), starts(F.col("x0") >= half).alias("r"), F.max("page_width").alias("w"))
+    middle = lambda c: F.try_element_at(c, F.floor(F.size(c) / 2).cast("int") + 1)
+    g = g.select("page", middle(F.col("l")).alias("a"), middle(F.col("r")).alias("b"), F.size("l").alias("nl"), F.size("r").alias("nr"), "w")
+    two = (F.col("w") > 0) & (F.col("nl") + F.col("nr") >= least) & (F.col("nl") >= side) & (F.col("nr") >= side) & (F.col("b") - F.col("a") >= F.col("w") * gap)
+    t = lines.join(g.select("page", F.when(two, (F.col("a") + F.col("b")) * 0.5).alias("__split")), "page")
+    column = F.when(F.col("__split").isNotNull() & (F.col("x0") >= F.col("__split")), 1).otherwise(0)
+    return t.withColumn("place", F.row_number().over(W.partitionBy("page").orderBy(column, "y0", "x0", "text"))).drop("__split")
+
+
+def table_items(tables: DataFrame, least_cells: int = 12, edge: float = 0.1) -> DataFrame:
+    """Tables ``page, page_height, y0, y1, rows`` outside the page's outer ``edge`` with enough cells, as Markdown."""
+    cells = F.aggregate("rows", F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0)))
+    t = tables.where((F.col("y1") > F.col("page_height") * edge) & (F.col("y0") < F.col("page_height") * (1 - edge)) & (cells >= least_cells))
+    return t.withColumn("markdown", to_markdown(F.col("rows"))).where(F.trim("markdown") != "")
+
+
 def frontmatter(c: Column) -> Column:
     """Text between the fences at the start, or null."""
     got = F.regexp_extract(c, r"(?s)\A(?:```ya?ml\s*\n)?---[ \t]*\n(.*?)\n---", 1)

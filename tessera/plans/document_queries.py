@@ -288,3 +288,65 @@ def external_checks(spark, sf):
     item = F.expr("map('tier', CASE id % 5 WHEN 0 THEN 'third_party_public' ELSE 'official_public' END, 'url', 'u' || id)")
     t = V.profiles(spark, sf).withColumns({"conflict_status": F.expr("CASE id % 4 WHEN 0 THEN 'conflict' ELSE 'none' END"), "external_evidence": F.when(F.col("id") % 3 > 0, F.array(item)).otherwise(F.array().cast("array<map<string,string>>")), "evidence": F.filter("evidence", lambda x: ~x.contains("稳定"))})
     return X.external_issues(t)
+
+
+_LINES = "SELECT p_partkey % 5 AS page, 600.0 AS page_width, CAST(floor(p_partkey / 10) AS INT) % 40 * 10.0 AS y0, CASE WHEN p_partkey % 5 < 3 AND p_partkey % 2 = 0 THEN 330.0 ELSE 30.0 END + p_partkey % 3 AS x0, CASE WHEN p_partkey % 11 = 0 THEN '| a | b |' ELSE 'line' || p_partkey END AS text FROM part WHERE p_partkey < 400"
+
+
+@query(f"""WITH l AS ({_LINES}), p AS (SELECT *, trim(text) <> '' AND NOT starts_with(text, '|') AS plain FROM l),
+s AS (SELECT page, list_sort(list(x0) FILTER (plain AND x0 < 300)) AS a, list_sort(list(x0) FILTER (plain AND x0 >= 300)) AS b FROM p GROUP BY 1),
+g AS (SELECT page, CASE WHEN coalesce(len(a), 0) + coalesce(len(b), 0) >= 30 AND len(a) >= 12 AND len(b) >= 12 AND b[len(b) // 2 + 1] - a[len(a) // 2 + 1] >= 108 THEN (a[len(a) // 2 + 1] + b[len(b) // 2 + 1]) / 2 END AS cut FROM s)
+SELECT l.page AS page, text, CAST(row_number() OVER (PARTITION BY l.page ORDER BY CASE WHEN cut IS NOT NULL AND x0 >= cut THEN 1 ELSE 0 END, y0, x0, text) AS INTEGER) AS place FROM l JOIN g ON l.page = g.page""")
+def reading_order(spark, sf):
+    t = spark.sql(_LINES.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    return TX.reading_order(t.select("page", *[F.col(c).cast("double").alias(c) for c in ("page_width", "y0", "x0")], "text")).select("page", "text", "place")
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_partkey % 100 AS y0, p_partkey % 100 + 8 AS y1, 2 + p_partkey % 4 AS n FROM part)
+SELECT id, '| a | b|c | d |'.replace('b|c', 'b\\|c') || chr(10) || '| --- | --- | --- |' || repeat(chr(10) || '| x' || id || ' |  | y z |', CAST(n - 1 AS INTEGER)) AS markdown FROM t WHERE y1 > 10 AND y0 < 90 AND n * 3 >= 12""".replace("'| a | b|c | d |'.replace('b|c', 'b\\\\|c')", "'| a | b\\|c | d |'"))
+def table_items(spark, sf):
+    rows = F.expr("concat(array(array('a', 'b|c', 'd')), array_repeat(array('x' || p_partkey, cast(null as string), 'y\nz'), cast(1 + p_partkey % 4 as int)))")
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(100.0).alias("page_height"), (F.col("p_partkey") % 100).alias("y0"), (F.col("p_partkey") % 100 + 8).alias("y1"), rows.alias("rows"))
+    return TX.table_items(t).select("id", "markdown")
+
+
+_SHAPES = "SELECT p_partkey AS id, p_partkey % 6 AS slide, CAST(p_partkey * 7 % 50 AS DOUBLE) / 10 AS top, CAST(p_partkey * 13 % 90 AS DOUBLE) AS left_edge FROM part WHERE p_partkey < 150"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY top, left_edge, id) AS i FROM ({_SHAPES})),
+w AS (SELECT slide, id, i, top, left_edge, top AS start, 1 AS row FROM s WHERE i = 1 UNION ALL SELECT s.slide, s.id, s.i, s.top, s.left_edge, CASE WHEN s.top - w.start > 0.5 THEN s.top ELSE w.start END, CASE WHEN s.top - w.start > 0.5 THEN w.row + 1 ELSE w.row END FROM w JOIN s ON s.slide = w.slide AND s.i = w.i + 1)
+SELECT slide, id, CAST(row AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY slide ORDER BY row, left_edge, id) AS INTEGER) AS place FROM w""")
+def row_groups(spark, sf):
+    t = spark.sql(_SHAPES.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part")).withColumnRenamed("left_edge", "left")
+    return G.row_groups(t, "slide")
+
+
+@query("""SELECT p_brand AS name, round(sum(p_size + p_retailprice + p_partkey), 2) AS total FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1""")
+def named_row_sum(spark, sf):
+    from tessera.operators.attribution import named_row_sum as total
+
+    t = total(table(spark, sf, "part").select(F.col("p_brand").alias("name"), "p_size", "p_retailprice", "p_partkey"), "name", ["Brand#1", "Brand#2", "Brand#3"])
+    return t.select("name", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN '2024-01-05' WHEN s_suppkey % 3 > 0 THEN '2023-12-31' ELSE '2024-02-01' END AS day FROM supplier""")
+def end_days(spark, sf):
+    config = F.expr("""CASE s_suppkey % 4 WHEN 0 THEN '{"end_date": "2024-01-05"}' WHEN 1 THEN '{"end_date": "0001-01-01"}' WHEN 2 THEN 'oops' END""")
+    base = F.expr("CASE WHEN s_suppkey % 3 > 0 THEN '2023-12-31' ELSE 'unknown' END")
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), C.day_text(C.end_day(config, base, F.lit("2024-02-01"))).alias("day"))
+
+
+@query("""WITH n AS (SELECT event_type, event_id, value, ln(1 + row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS x FROM events) SELECT event_type, round(regr_slope(value, x), 4) AS slope, count(*) AS n FROM n GROUP BY 1""")
+def grouped_apply(spark, sf):
+    from tessera.operators.custom import grouped_apply as apply
+
+    def slope(g):
+        import numpy as np
+        import pandas as pd
+
+        g = g.sort_values(["ts", "event_id"])
+        x = np.log1p(np.arange(1, len(g) + 1))
+        return pd.DataFrame({"event_type": g["event_type"].iloc[:1], "slope": [np.polyfit(x, g["value"], 1)[0]], "n": [len(g)]})
+
+    got = apply(table(spark, sf, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], slope, "event_type string, slope double, n long")
+    return got.select("event_type", F.round("slope", 4).alias("slope"), "n")

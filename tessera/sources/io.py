@@ -26,6 +26,27 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     return READERS[kind](spark, path, **options)
 
 
+def register_reader(kind: str, reader: Callable[..., DataFrame]) -> None:
+    """A function of session and path for a kind of source, for example one of Spark's Python data sources."""
+    READERS[kind] = reader
+
+
+def write(df: DataFrame, kind: str, path: str, mode: str = "overwrite", **options) -> None:
+    """A table as parquet, ORC, CSV with a header, JSON lines, or to a database by JDBC (``path`` is the address, ``dbtable`` an option)."""
+    w = df.write.mode(mode).options(**({"header": "true"} if kind == "csv" else {}) | options)
+    if kind == "jdbc":
+        w.format("jdbc").option("url", path).save()
+    elif kind in ("parquet", "orc", "csv", "json"):
+        getattr(w, kind)(path)
+    else:
+        raise ValueError(f"unknown sink {kind!r}")
+
+
+def write_report(lines: DataFrame, path: str, order: list[str], text: str = "text") -> None:
+    """The lines of a report in order, as one text file: reports are pages, not tables."""
+    lines.orderBy(*order).select(text).coalesce(1).write.mode("overwrite").text(path)
+
+
 def first_readable(spark: SparkSession, choices: list[tuple[str, str]], log: Callable[[str], None] = print) -> DataFrame:
     """The first of ``(kind, path)`` that can be read; each one passed over is logged."""
     failed = []
@@ -141,7 +162,7 @@ def parsed(spark: SparkSession, path: str) -> DataFrame:
     for s, f in PARSERS.items():
         text = F.when(suffix == s, f(F.col("content"))).otherwise(text)
     known = suffix.isin(list(PARSERS))
-    return files.select("path", text.alias("text"), known.alias("__k"), suffix.alias("__s")).select("path", F.col("text").alias("content"), F.when(F.col("__k"), "success").otherwise("error").alias("status"), F.when(~F.col("__k"), F.concat(F.lit("no parser for "), F.col("__s"))).alias("error_message"))
+    return files.select("path", text.alias("text"), known.alias("__k"), suffix.alias("__s")).select("path", F.col("text").alias("content"), F.when(F.col("__k") & F.col("text").isNotNull(), "success").otherwise("error").alias("status"), F.when(~F.col("__k"), F.concat(F.lit("no parser for "), F.col("__s"))).when(F.col("text").isNull(), "can't be read").alias("error_message"))
 
 
 #: Error values of spreadsheets.

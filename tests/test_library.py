@@ -306,3 +306,44 @@ def test_field_rules(spark):
     for r in field_issues(spark.createDataFrame(list(docs.items()), "path string, content string")).collect():
         got.setdefault(r["path"], []).append(r["rule"])
     assert got == {"none": ["race_suggestion"], "two": ["race_suggestion"], "many": ["race_suggestion"], "unsure": ["race_suggestion"], "kind": ["fund_type", "fund_type"], "chain": ["evidence_chain"], "note": ["boundary_first"], "list": ["boundary_first"], "rows": ["audit_rows"], "empty": ["audit_rows"]}
+
+
+def test_office_files_sinks_and_readers(spark, tmp_path):
+    import zipfile
+
+    from tessera.sources import office
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>第一</w:t></w:r><w:r><w:tab/><w:t>段</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>')
+    a, p = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
+    with zipfile.ZipFile(tmp_path / "b.pptx", "w") as z:
+        for k in (10, 2):
+            z.writestr(f"ppt/slides/slide{k}.xml", f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:sp><p:txBody><a:p><a:r><a:t>slide</a:t></a:r><a:r><a:t> {k}</a:t></a:r></a:p><a:p><a:r><a:t>more</a:t></a:r></a:p></p:txBody></p:sp></p:sld>')
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    office.register()
+    got = {r["path"].rsplit("/", 1)[1]: r for r in io.parsed(spark, str(tmp_path)).collect()}
+    assert got["a.docx"]["content"] == "第一\t段\n\nend" and got["b.pptx"]["content"] == "slide 2\nmore\nslide 10\nmore"
+    assert (got["c.docx"]["status"], got["c.docx"]["content"]) == ("error", None)
+    t = spark.range(3)
+    for kind in ("parquet", "orc", "csv", "json"):
+        io.write(t, kind, str(tmp_path / "out" / kind))
+        assert sorted(int(r[0]) for r in io.read(spark, kind, str(tmp_path / "out" / kind)).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError, match="unknown sink"):
+        io.write(t, "fax", "x")
+    io.register_reader("numbers", lambda s, path: s.range(int(path)))
+    assert io.first_readable(spark, [("absent", "x"), ("numbers", "4")]).count() == 4
+    io.write_report(t.select("id", F.concat(F.lit("line "), "id").alias("text")), str(tmp_path / "report"), ["id"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["line 0", "line 1", "line 2"]
+
+
+def test_groups_indexes_and_limits(spark, profiles):
+    from tessera.operators import custom
+    from tessera.operators import series as S
+
+    with pytest.raises(ValueError, match="a group of"):
+        custom.grouped_apply(spark.range(10).withColumn("k", F.lit(1)), ["k"], lambda g: g, "id long, k int", most_rows=5)
+    with pytest.raises(ValueError, match="choose some"):
+        S.correlations(spark.range(5).select(F.lit(1).alias("day"), F.col("id").alias("series"), F.lit(0.1).alias("ret")), most=3)
+    index = R.bigram_index(profiles.withColumn("profile_text", F.col("product_name")))
+    assert 0 < R.index_candidates(profiles, index, profiles.first()["product_name"]).count() <= profiles.count() and R.index_candidates(profiles, index, "abc").count() == profiles.count()
