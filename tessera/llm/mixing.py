@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stored, table
+from tessera.session import release, stored, table
 
 MARGINS = ("source", "lang", "topic")
 
@@ -188,7 +188,7 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame],
         if cap is not None:
             t = t.withColumn("target", F.least(F.col("target") * _reachable(_sums_of(t, cap), cap), F.col("there") * cap))
         tables[m] = t.drop("there")
-    now = live.select(*keys, (F.col("tokens") / total).alias("w"), F.lit(1.0).alias("factor"))
+    now, last = live.select(*keys, (F.col("tokens") / total).alias("w"), F.lit(1.0).alias("factor")), None
     for _ in range(rounds):
         now = now.withColumn("worst", F.lit(0.0))
         for m, t in tables.items():
@@ -197,6 +197,9 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame],
             fitted = F.col("factor") * F.col("scale")
             now = now.join(scale, f"mix_{m}").select(*keys, "w", (fitted if cap is None else F.least(fitted, F.lit(cap))).alias("factor"), F.greatest("worst", "off").alias("worst"))
         now = stored(now, "raking")
+        if last is not None:
+            release(last)
+        last = now
         worst = now.agg(F.max("worst")).first()[0]
         if worst < tolerance or cap is not None and abs(before - worst) < tolerance:
             break

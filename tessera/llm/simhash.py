@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.session import stored, table
+from tessera.session import release, stored, table
 
 from .common import arrow_map, map_batches, salted_left_join
 
@@ -270,14 +270,16 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
+        first = e
         around = e.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(e.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        least = stored(around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"), F.sum(F.when(F.col("m") > F.col("n"), 1).otherwise(0)).alias("rows")).where("rows > 0"), "large")
-        large = salted_left_join(e.withColumnRenamed("v", "n"), least, ["n"], ["u"], n="rows").select("u", F.col("least").alias("v"))
-        e = stored(large.distinct(), "edges")
+        large_least = stored(around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"), F.sum(F.when(F.col("m") > F.col("n"), 1).otherwise(0)).alias("rows")).where("rows > 0"), "large")
+        large = salted_left_join(e.withColumnRenamed("v", "n"), large_least, ["n"], ["u"], n="rows").select("u", F.col("least").alias("v"))
+        middle = e = stored(large.distinct(), "edges")
         least = stored(e.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("rows")), "small")
         small = salted_left_join(e, least, ["u"], ["v"], n="rows")
         small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
         e = stored(small.distinct(), "edges")
+        release(first, large_least, middle, least)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
