@@ -678,18 +678,18 @@ def test_mixing_fits_margins(spark):
     assert out.columns == [*docs.columns[:5], "factor", "mix_weight", "mix_probability"]
     assert 0 < out.count() < 403 and sorted(x["doc_id"] for x in out.collect()) == sorted(x["doc_id"] for x in mixing.sample(docs.repartition(7), targets=targets).collect())
     cells = mixing.cells_of(docs)
-    a, b = (sorted(tuple(x) for x in mixing.factors(cells, targets, max_cells=n, rounds=40).collect()) for n in (1000, 1))
+    a, b = (sorted(tuple(x) for x in mixing.factors(cells, targets, max_cells=n, rounds=8).collect()) for n in (1000, 1))
     assert [x[:3] for x in a] == [x[:3] for x in b] and max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
     assert mixing.mix(docs.limit(0)).count() == 0
     shares = {m: mixing.tempered(cells, m, 0.7) for m in ("source", "lang")}
     tables = {m: mixing.tempered(cells, m, 0.7, max_values=1) for m in ("source", "lang")}
     assert {r["value"]: round(r["target"], 9) for r in tables["lang"].collect()} == {k: round(v, 9) for k, v in shares["lang"].items()}
-    a, b = (sorted(tuple(x) for x in mixing.factors(cells, t, rounds=40).collect()) for t in (shares, tables))
+    a, b = (sorted(tuple(x) for x in mixing.factors(cells, t, rounds=8).collect()) for t in (shares, tables))
     assert [x[:3] for x in a] == [x[:3] for x in b] and max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
     assert mixing.factors(cells, {"source": {"absent": 1.0}}).count() == 0 == mixing.factors(cells, {"source": {"absent": 1.0}}, max_cells=1).count()
 
 
-def raked(tokens, targets, rounds=400):
+def raked(tokens, targets, rounds=80):
     """Raking written out with dictionaries: cell (a value of each margin) to factor."""
     total, factor = sum(tokens.values()), dict.fromkeys(tokens, 1.0)
     for _ in range(rounds):
