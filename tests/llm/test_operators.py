@@ -178,6 +178,7 @@ def test_quality_base_counts(spark):
         t = texts[row["doc_id"]]
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == brute_base(t)
         assert row["base_failed"] == (row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"])
+    assert quality.rules(docs.unionByName(docs), {}).count() == 2 * len(texts)
 
 
 def test_quality_divergence(spark):
@@ -539,6 +540,7 @@ def test_secrets_findings_and_redaction(spark, forest):
     assert out.columns == docs.columns
     new = {r["doc_id"]: r["text"] for r in out.collect()}
     assert new[0] == 'é word token = "[SECRET]" and token = "[SECRET]" end' and all(new[i] == texts[i] for i in (1, 2, 3, 4, 5))
+    assert secrets.findings(docs.unionByName(docs), forest).count() == 2 * len(rows)
     assert secrets.redact(docs.limit(0), forest).count() == 0 and secrets.findings(docs.limit(0), forest).count() == 0
 
 
