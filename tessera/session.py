@@ -56,9 +56,9 @@ def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`stored` that nothing reads any more; others are left alone."""
     for t in tables:
         spark, root = t.sparkSession, shared_dir(t.sparkSession) + "/tessera/"
-        for folder in {str(Path(f).parent) for f in t.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-            if root.split("://")[-1].lstrip("/") in str(path):
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if root.split("://")[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
