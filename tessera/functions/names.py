@@ -5,6 +5,7 @@ Java's word classes are ASCII, so letters and digits are matched by Unicode prop
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,7 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+@functools.lru_cache(100_000)
 def text_key(s: str) -> str:
     """:func:`match_key` of a literal."""
     return re.sub(r"[\W_]+", "", s).lower()

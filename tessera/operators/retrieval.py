@@ -80,14 +80,18 @@ def conditions_of(query: str) -> list[tuple[str, list[str]]]:
 
 def intent_of(profiles: DataFrame, query: str) -> Intent:
     """Terms and conditions, and the manager and product whose longest name the query contains."""
-    key = text_key(query)
-    got = Intent(query, query_terms(query), conditions_of(query))
     names = profiles.select("manager").where("manager <> ''").distinct().select("manager", F.explode(manager_aliases(F.col("manager"))).alias("alias"))
-    row = names.where((F.length(fold_key("alias")) >= 2) & F.lit(key).contains(fold_key("alias"))).orderBy(F.length("alias").desc(), "manager").first()
-    got.manager = row["manager"] if row else None
-    p = profiles.select("product_name", match_key(F.col("product_name")).alias("k")).where((F.length("k") >= 3) & F.lit(key).contains(F.col("k")))
-    row = p.orderBy(F.length("k").desc(), "product_name").first()
-    got.product = row["product_name"] if row else None
+    names = names.select(F.lit("manager").alias("kind"), fold_key("alias").alias("key"), F.length("alias").alias("size"), F.col("manager").alias("name")).where(F.length("key") >= 2)
+    products = profiles.select(F.lit("product").alias("kind"), match_key(F.col("product_name")).alias("key"), F.col("product_name").alias("name")).where(F.length("key") >= 3)
+    return asked(query, names.unionByName(products.withColumn("size", F.length("key"))))
+
+
+def asked(query: str, names: DataFrame) -> Intent:
+    """Intent of a query by a table of names: ``kind, key, size, name``."""
+    got = Intent(query, query_terms(query), conditions_of(query))
+    best = names.where(F.lit(text_key(query)).contains(F.col("key"))).groupBy("kind").agg(F.min(F.struct(-F.col("size"), F.col("name"))).alias("x")).select("kind", "x.name")
+    found = {r["kind"]: r["name"] for r in best.collect()}
+    got.manager, got.product = found.get("manager"), found.get("product")
     lists = any(w in query for w in MANAGER_WORDS)
     got.mode = "manager_filter" if lists and not got.manager and not got.product else "single_product" if got.product else "manager_overview" if got.manager and any(w in query for w in OVERVIEW_WORDS) else "manager" if got.manager else "search"
     return got
@@ -132,12 +136,12 @@ def review_flags(by_tag: Column) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in flags]), lambda x: x.isNotNull())
 
 
-def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = None) -> DataFrame:
-    """Profiles with a signal, with ``score, matched, missing, satisfied, review_flags``.
+#: What words are looked for in: keys and lower-case texts.
+FIELDS = ["__product", "__manager", "__tags", "__text", "__rel", "__tagkey", "__textkey", "__relkey"]
 
-    Per term the first field that contains it counts: product, manager, tags, text,
-    relations. Conditions add 5.5 (tags or relations) or 4 (text), or cost 2.5.
-    """
+
+def with_fields(profiles: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Profiles with the fields that are searched, worked out once; relations are joined by product."""
     t = profiles
     if relations is not None:
         text = F.concat_ws("\n", F.collect_list(F.concat_ws(" ", "subject", "predicate", "object", F.concat_ws(" ", "evidence"))))
@@ -151,7 +155,25 @@ def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = No
         "__text": F.lower(F.concat_ws("\n", "product_name", "manager", F.concat_ws(" ", "primary_tags"), F.concat_ws(" ", "secondary_tags"), F.concat_ws(" ", "evidence"), "profile_text", "search_text")),
         "__rel": F.lower(F.coalesce("__rel", F.lit(""))),
     })
-    t = t.withColumns({"__tagkey": match_key(F.col("__tags")), "__textkey": match_key(F.col("__text")), "__relkey": match_key(F.col("__rel"))})
+    return t.withColumns({"__tagkey": match_key(F.col("__tags")), "__textkey": match_key(F.col("__text")), "__relkey": match_key(F.col("__rel"))})
+
+
+def base_score() -> Column:
+    """The part of a score that doesn't hang on the query."""
+    return F.least(F.size("evidence"), F.lit(3)) * 0.25 - quality_penalty()
+
+
+def boost(intent: Intent) -> float:
+    return 3.0 if intent.mode in ("manager_overview", "single_product") else 0.0
+
+
+def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = None) -> DataFrame:
+    """Profiles with a signal, with ``score, matched, missing, satisfied, review_flags``.
+
+    Per term the first field that contains it counts: product, manager, tags, text,
+    relations. Conditions add 5.5 (tags or relations) or 4 (text), or cost 2.5.
+    """
+    t = profiles if relations is None and "__relkey" in profiles.columns else with_fields(profiles.drop(*FIELDS), relations)
     score, matched = F.lit(0.0), []
     if intent.manager:
         t = t.where(identity_key(F.col("manager")) == identity_key(F.lit(intent.manager)))
@@ -177,16 +199,15 @@ def scored(profiles: DataFrame, intent: Intent, relations: DataFrame | None = No
     named = lambda c, cond: F.transform(F.filter(c, cond), lambda x: x["name"])
     met = named(F.col("__met"), lambda x: x["w"] > 0)
     hit_any = F.lit(True) if not intent.conditions or intent.manager or intent.product else F.size(met) > 0
-    boost = 3.0 if intent.mode in ("manager_overview", "single_product") else 0.0
     static = F.array(*matched) if matched else F.array().cast("array<string>")
     t = t.withColumns({"matched": F.array_distinct(F.concat(static, F.transform("__hits", lambda x: x["name"]), met)), "missing": F.array_distinct(named(F.col("__met"), lambda x: x["w"] < 0)), "__any": hit_any})
     t = t.where(F.col("__any") & (F.size("matched") > 0))
-    total = score + boost + F.least(F.size("evidence"), F.lit(3)) * 0.25 - quality_penalty()
+    total = score + boost(intent) + base_score()
     wanted = bool(intent.conditions or intent.manager or intent.product)
     by_tag = F.exists("__hits", lambda x: x["tag"]) | F.exists("__met", lambda x: x["w"] == 5.5)
     t = t.withColumn("review_flags", review_flags(by_tag))
     t = t.withColumns({"score": total, "satisfied": F.when(F.lit(wanted), F.when(F.size("missing") == 0, "satisfied").otherwise("unsatisfied")).otherwise("not_applicable")})
-    return t.where("score > 0").drop("__rel", "__product", "__manager", "__tags", "__text", "__tagkey", "__textkey", "__relkey", "__any", "__hits", "__met")
+    return t.where("score > 0").drop(*FIELDS, "__any", "__hits", "__met")
 
 
 def ranked(results: DataFrame, limit: int) -> DataFrame:
@@ -243,12 +264,15 @@ def packed(results: DataFrame, budget: int = 8_000, per_result: int = 900) -> Da
     return whole.withColumns({"packed_profile": short("__p"), "packed_evidence": short("__e")}).withColumn("context_chars", F.length("packed_profile") + F.length("packed_evidence")).drop("__p", "__e", "__n")
 
 
-def search(profiles: DataFrame, query: str, limit: int = 10, relations: DataFrame | None = None, budget: int = 8_000) -> DataFrame:
-    """Ranked, packed results of a query; relations are read only if a condition asks for them."""
-    intent = intent_of(profiles, query)
+def search(profiles: DataFrame, query: str, limit: int = 10, relations: DataFrame | None = None, budget: int = 8_000, index=None) -> DataFrame:
+    """Ranked, packed results of a query; relations are read only if a condition asks for them.
+
+    With an ``index`` of the profiles (``postings.Index``) only profiles are scored that can be among the results.
+    """
+    intent = index.intent(query) if index else intent_of(profiles, query)
     needed = {RELATION_CONDITIONS[c] for c, _ in intent.conditions if c in RELATION_CONDITIONS}
     rel = relations.where(F.col("predicate").isin(sorted(needed) + ["has_strategy", "has_product_line"])) if relations is not None and needed else None
-    top = ranked(scored(profiles, intent, rel), limit)
+    top = ranked(scored(index.candidates(intent, limit, rel) if index else profiles, intent, rel), limit)
     nth = F.row_number().over(W.orderBy(F.col("score").desc(), F.col("quality_status") != "confirmed", F.col("entity_type") != "product", is_generic(F.col("product_name")), "product_name"))
     return packed(top.withColumn("rank", nth), budget)
 

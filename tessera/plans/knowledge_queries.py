@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions.names import text_key
 from tessera.operators import enrichment as X
 from tessera.operators import knowledge as K
+from tessera.operators import postings, recognition
 from tessera.operators import retrieval as R
 from tessera.operators import taxonomy as T
 from tessera.plans import knowledge_views as V
+from tessera.plans.knowledge_views import pick
 from tessera.plans.name_queries import core_steps, sql_key
+from tessera.session import stored
 
 QUERIES, SQL = {}, {}
 
@@ -138,6 +141,17 @@ TERMS = ["500指增", "CTA", "多因子", "行业偏离", "WorldQuant", "灵均"
 CONDITIONS = [("商品CTA", ["商品期货", "商品CTA", "商品期货CTA"]), ("行业暴露", ["行业暴露", "行业偏离", "行业偏离≤±3%"])]
 
 
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def _index(spark, sf) -> postings.Index:
+    """The index of the profiles, built once in an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(V.profiles(spark, sf))
+    return _INDEXES[key]
+
+
 def _intent(**how):
     return R.Intent("", terms=TERMS, conditions=CONDITIONS, **how)
 
@@ -164,12 +178,12 @@ _ORDER = f"score DESC, quality_status <> 'confirmed', entity_type <> 'product',
 
 @query(f"WITH {_SEARCH} SELECT id, CAST(score AS DOUBLE) AS score, missing, satisfied FROM s")
 def profile_scoring(spark, sf):
-    return R.scored(V.profiles(spark, sf), _intent()).select("id", F.col("score").cast("double").alias("score"), F.array_join("missing", "|").alias("missing"), "satisfied")
+    return R.scored(_index(spark, sf).profiles, _intent()).select("id", F.col("score").cast("double").alias("score"), F.array_join("missing", "|").alias("missing"), "satisfied")
 
 
 @query(f"WITH {_SEARCH} SELECT id, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM s ORDER BY {_ORDER} LIMIT 15)")
 def profile_ranking(spark, sf):
-    return R.ranked(R.scored(V.profiles(spark, sf), _intent()), 15).select("id", F.col("score").cast("double").alias("score"))
+    return R.ranked(R.scored(_index(spark, sf).profiles, _intent()), 15).select("id", F.col("score").cast("double").alias("score"))
 
 
 @query(f"""WITH {_SEARCH}, mm AS (SELECT manager FROM profiles), {core_steps('mm', 'manager', 'm')}, j AS (SELECT s.*, {sql_key('core')} AS mkey, {_GENERIC} AS gen, CASE tag_confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS rk FROM s JOIN m ON s.manager = m.manager),
@@ -178,13 +192,13 @@ g AS (SELECT mkey, max(score) AS best, count(*) AS n, count(*) FILTER (tag_confi
 SELECT manager, CAST(best + least(n, 6) * 1.5 + sure * 0.5 - CASE WHEN mixed THEN 2.0 ELSE 0 END - CASE WHEN weak AND n = 1 THEN 1.0 ELSE 0 END AS DOUBLE) AS score, n AS matched_products, (SELECT string_agg(product_name, '|' ORDER BY p.n) FROM p WHERE p.mkey = g.mkey AND p.n <= 3) AS representatives,
   CASE WHEN mixed THEN 'review_needed' WHEN n >= 2 OR sure > 0 THEN 'high' ELSE 'medium' END AS confidence FROM g""")
 def manager_results(spark, sf):
-    got = R.by_manager(R.scored(V.profiles(spark, sf), _intent()), 50)
+    got = R.by_manager(R.scored(_index(spark, sf).profiles, _intent()), 50)
     return got.select("manager", F.col("score").cast("double").alias("score"), "matched_products", F.array_join("representative_products", "|").alias("representatives"), "confidence")
 
 
 @query(f"""WITH {_SEARCH} SELECT id, concat_ws('|', CASE WHEN {_GENERIC} THEN 'generic_product_name' END, CASE WHEN quality_status NOT IN ('', 'confirmed') THEN 'profile_quality_review_needed' END, CASE WHEN weak THEN 'weak_text_match' END, CASE WHEN mixed THEN 'mixed_strategy_tags|tag_conflict_review_needed' END) AS flags FROM s""")
 def review_flags(spark, sf):
-    return R.scored(V.profiles(spark, sf), _intent()).select("id", F.array_join("review_flags", "|").alias("flags"))
+    return R.scored(_index(spark, sf).profiles, _intent()).select("id", F.array_join("review_flags", "|").alias("flags"))
 
 
 def _cut(x: str, most: int) -> str:
@@ -195,7 +209,7 @@ def _cut(x: str, most: int) -> str:
 p AS (SELECT rank, n, n AS used, true AS kept FROM rr WHERE rank = 1 UNION ALL SELECT rr.rank, rr.n, CASE WHEN p.used + rr.n <= 90 THEN p.used + rr.n ELSE p.used END, p.used + rr.n <= 90 FROM p JOIN rr ON rr.rank = p.rank + 1 WHERE rr.rank <= 12)
 SELECT CAST(rank AS INTEGER) AS rank, CAST(n AS INTEGER) AS context_chars FROM p WHERE kept""")
 def profile_packing(spark, sf):
-    p = V.profiles(spark, sf).withColumn("long_text", F.expr("repeat(profile_text, cast(1 + id % 9 as int))"))
+    p = _index(spark, sf).profiles.withColumn("long_text", F.expr("repeat(profile_text, cast(1 + id % 9 as int))"))
     t = R.scored(p, _intent())
     nth = F.row_number().over(W.orderBy(F.desc("score"), F.col("quality_status") != "confirmed", F.col("entity_type") != "product", R.is_generic(F.col("product_name")), "product_name", "id"))
     top = R.ranked(t, 12).withColumn("rank", nth).withColumn("profile_text", F.col("long_text"))
@@ -213,18 +227,26 @@ def _condition_sql(any_of: str, all_of: str) -> str:
 _CONDITIONS_SQL = ", ".join(f"CASE WHEN {_condition_sql(a, b)} THEN '{label}' END" for a, b, label, _ in R.CONDITIONS)
 
 
-@query(f"""WITH {V.PROFILES_CTE}, mm AS (SELECT manager FROM profiles), {core_steps('mm', 'manager', 'm')},
-al AS (SELECT manager, unnest([manager, mname, core, core || '基金', core || '私募', core || '私募基金', regexp_replace(mname, '^上海', ''), regexp_replace(mname, '投资管理有限公司$', '')]) AS alias FROM m),
-asked(q) AS (VALUES {', '.join(f"('{q}')" for q in ASKED)}),
-mg AS (SELECT q, arg_min(manager, (-length(alias), manager)) AS manager FROM asked JOIN al ON length({sql_key('alias')}) >= 2 AND contains({sql_key('q')}, {sql_key('alias')}) GROUP BY 1),
-pr AS (SELECT q, arg_min(product_name, (-length({sql_key('product_name')}), product_name)) AS product FROM asked JOIN profiles ON length({sql_key('product_name')}) >= 3 AND contains({sql_key('q')}, {sql_key('product_name')}) GROUP BY 1)
+#: Queries made of parts: fixed ones, and names with words round them.
+_ASKED = f"""SELECT DISTINCT {pick(["明汯", "灵均投资 ", "", "衍复 私募", "宽德投资", "九坤基金"], 2)} || {pick(["有哪些", "哪些管理人做", "的", "概况 ", ""], 3)}
+  || {pick(["500指增", "商品期货CTA", "WorldQuant背景", "市场中性", "行业暴露 3% 的1000指增", "空气指增", "期权策略"], 5)} || CASE WHEN k % 4 = 0 THEN product_name ELSE '' END || CASE WHEN k % 9 = 0 THEN ' 如何' ELSE '' END AS query
+FROM (SELECT id AS k, product_name FROM {{profiles}}) AS x UNION SELECT * FROM (VALUES {', '.join(f"('{q}')" for q in ASKED)}) AS f(query)"""
+
+
+@query(f"""WITH {V.PROFILES_CTE}, mm AS (SELECT DISTINCT manager FROM profiles), {core_steps('mm', 'manager', 'm')},
+al AS (SELECT DISTINCT manager, unnest([manager, mname, core, core || '基金', core || '私募', core || '私募基金', regexp_replace(mname, '^上海', ''), regexp_replace(mname, '投资管理有限公司$', '')]) AS alias FROM m),
+pn AS (SELECT DISTINCT product_name, {sql_key('product_name')} AS k FROM profiles),
+asked AS (SELECT query AS q, {sql_key('query')} AS k FROM ({_ASKED.replace('{profiles}', 'profiles')})),
+mg AS (SELECT q, arg_min(manager, (-length(alias), manager)) AS manager FROM asked JOIN al ON length({sql_key('alias')}) >= 2 AND contains(asked.k, {sql_key('alias')}) GROUP BY 1),
+pr AS (SELECT q, arg_min(product_name, (-length(pn.k), product_name)) AS product FROM asked JOIN pn ON length(pn.k) >= 3 AND contains(asked.k, pn.k) GROUP BY 1)
 SELECT asked.q AS query, manager, product, concat_ws('|', {_CONDITIONS_SQL.replace('lower(q)', 'lower(asked.q)')}) AS conditions,
   CASE WHEN {contains_any('asked.q', R.MANAGER_WORDS)} AND manager IS NULL AND product IS NULL THEN 'manager_filter' WHEN product IS NOT NULL THEN 'single_product' WHEN manager IS NOT NULL AND {contains_any('asked.q', R.OVERVIEW_WORDS)} THEN 'manager_overview' WHEN manager IS NOT NULL THEN 'manager' ELSE 'search' END AS mode
 FROM asked LEFT JOIN mg ON asked.q = mg.q LEFT JOIN pr ON asked.q = pr.q""")
 def query_intents(spark, sf):
-    p = V.profiles(spark, sf).select("manager", "product_name")
-    got = [R.intent_of(p, q) for q in ASKED]
-    return spark.createDataFrame([(i.query, i.manager, i.product, "|".join(c for c, _ in i.conditions), i.mode) for i in got], "query string, manager string, product string, conditions string, mode string")
+    p = V.profiles(spark, sf)
+    asked = spark.sql(_ASKED, profiles=p)
+    got = recognition.intents(asked, stored(recognition.name_keys(p), "names"))
+    return got.select("query", "manager", "product", F.array_join("conditions", "|").alias("conditions"), "mode")
 
 
 def _search_sql(q: str, limit: int, budget: int, per_result: int) -> str:
@@ -250,8 +272,8 @@ SEARCHED = "哪些管理人有商品期货CTA策略"
 
 @query(_search_sql(SEARCHED, 12, 150, 900))
 def profile_search(spark, sf):
-    p = V.profiles(spark, sf)
-    top = R.search(p, SEARCHED, 12, budget=150)
+    index = _index(spark, sf)
+    top = R.search(index.profiles, SEARCHED, 12, budget=150, index=index)
     return top.select("rank", "product_name", "manager", F.col("score").cast("double").alias("score"), "satisfied")
 
 
