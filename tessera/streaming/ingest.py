@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.joins import upserted
-from tessera.operators.knowledge import latest
+from tessera.sources.keyed import KeyedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 10) -> DataFrame:
@@ -15,7 +14,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
 
 
 def without_repeats(stream: DataFrame, key: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark, so a rerun of the same day adds nothing."""
+    """Each key once within the watermark; :func:`insert_batches` remembers for good."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
@@ -29,16 +28,25 @@ def sessions(stream: DataFrame, time: str, by: list[str], gap: str = "30 minutes
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str):
-    """Starts a query that keeps the latest row of each key at ``path``, in a new version for each batch.
+def upsert_batches(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str, buckets: int = 64):
+    """Starts a query that keeps the latest row of each key in a keyed table; a batch that is run again changes nothing."""
+    held = KeyedTable(stream.sparkSession, path, key, order, buckets)
 
-    A batch that is run again writes its version again, so results don't change.
+    def write(batch: DataFrame, epoch: int) -> None:
+        held.upsert(batch, (checkpoint, epoch))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def insert_batches(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str, repeats: str, buckets: int = 64):
+    """Starts a query that writes each key once, whenever its day is run again, and keeps what came again in a folder ``repeats`` by batch.
+
+    Other than a watermark this forgets nothing: whether a key is known is read from its bucket of the table.
     """
+    held = KeyedTable(stream.sparkSession, path, key, order, buckets)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = latest(batch, key, order)
-        if epoch > 0:
-            new = upserted(batch.sparkSession.read.parquet(f"{path}/version={epoch - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        again = held.insert(batch, (checkpoint, epoch))
+        again.write.mode("overwrite").parquet(f"{repeats}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

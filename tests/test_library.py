@@ -16,6 +16,7 @@ from tessera.operators import series as S
 from tessera.operators import text as X
 from tessera.operators.risk import parity_weights
 from tessera.sources import io
+from tessera.sources.keyed import KeyedTable
 from tessera.streaming import ingest
 
 
@@ -201,7 +202,7 @@ def test_streams(spark, tmp_path, sf):
     events.where("event_id >= 500").coalesce(1).write.mode("append").parquet(str(src))
     q = run()
     q.awaitTermination(120)
-    got = {r["user_id"]: r["event_id"] for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()}
+    got = {r["user_id"]: r["event_id"] for r in KeyedTable(spark, str(tmp_path / "out"), ["user_id"], ["ts", "event_id"]).read().collect()}
     want = {r["user_id"]: r["event_id"] for r in K.latest(events, ["user_id"], ["ts", "event_id"]).collect()}
     assert got == want
     w = ingest.windowed(ingest.file_stream(spark, str(src), events.schema), "ts", ["event_type"], "value", "1 day")
