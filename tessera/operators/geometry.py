@@ -31,21 +31,3 @@ def to_pdf(box: Column, image_width: Column, image_height: Column, pdf_width: Co
     """``[x0, y0, x1, y1]`` of an image, y down, in a page's units, y up."""
     sx, sy = pdf_width / image_width, pdf_height / image_height
     return F.array(box[0] * sx, pdf_height - box[3] * sy, box[2] * sx, pdf_height - box[1] * sy)
-
-
-def row_groups(shapes: DataFrame, page: str, tolerance: float = 0.5) -> DataFrame:
-    """``page, id, row, place``: shapes from the top, in rows that begin with a shape and take those within ``tolerance`` of its top; each row from the left.
-
-    A page's shapes are folded in their order, as a row begins where the one before ends.
-    """
-    item = F.struct("top", "left", "id")
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("row"), F.array().cast("array<struct<row:int,left:double,id:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = a["top"].isNull() | (x["top"] - a["top"] > tolerance)
-        row = F.when(new, a["row"] + 1).otherwise(a["row"])
-        return F.struct(F.when(new, x["top"]).otherwise(a["top"]).alias("top"), row.alias("row"), F.concat(a["out"], F.array(F.struct(row.alias("row"), x["left"].alias("left"), x["id"].alias("id")))).alias("out"))
-
-    g = shapes.groupBy(page).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    rows = g.select(page, F.posexplode(F.sort_array(F.aggregate("all", start, step)["out"])).alias("i", "x"))
-    return rows.select(page, F.col("x.id").alias("id"), F.col("x.row").alias("row"), (F.col("i") + 1).alias("place"))

@@ -4,14 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-
-def covariance(returns: DataFrame) -> DataFrame:
-    """Sample covariance of each pair ``a <= b`` over common days."""
-    x = returns.select(F.col("day").alias("__d"), F.col("series").alias("a"), F.col("ret").alias("x")).dropna()
-    y = returns.select("day", F.col("series").alias("b"), F.col("ret").alias("y")).dropna()
-    return x.join(y, (F.col("__d") == F.col("day")) & (F.col("a") <= F.col("b"))).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+from tessera.operators.pairs import covariance
 
 
 def parity_weights(cov: np.ndarray, rounds: int = 500, tolerance: float = 1e-12) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import TRADING_DAYS, ordered_product, period_start, ratio, soft_day, soft_double
+from tessera.operators import pairs
 
 
 #: Days that a calendar may have: it is one array, broadcast.
@@ -144,16 +145,14 @@ def portfolio_return(returns: DataFrame, weights: DataFrame, tolerance: float =
     return t.crossJoin(F.broadcast(total)).select("day", "ret", "weight_present", (F.abs(F.col("whole") - 1) <= tolerance).alias("weights_ok"))
 
 
-def correlations(returns: DataFrame, most: int = 5_000) -> DataFrame:
-    """Correlation of each pair ``a < b`` over common days, for the few series that a matrix is asked for.
+def correlations(returns: DataFrame, most: int | None = None) -> DataFrame:
+    """Correlation of each pair ``a < b`` over common days, with their number; see :mod:`tessera.operators.pairs`.
 
-    More than ``most`` series are refused, as the result would have their square.
+    More than ``most`` series are refused where that is given, as the result has their square.
     """
-    t = returns.select("day", "series", "ret").dropna()
-    if (n := t.select("series").distinct().limit(most + 1).count()) > most:
+    if most is not None and (n := returns.dropna(subset=["ret"]).select("series").distinct().limit(most + 1).count()) > most:
         raise ValueError(f"more than {most} series ({n}): choose some, a matrix has the square of them")
-    x, y = t.select(F.col("day").alias("__d"), F.col("series").alias("a"), F.col("ret").alias("x")), t.select("day", F.col("series").alias("b"), F.col("ret").alias("y"))
-    return x.join(y, (F.col("__d") == F.col("day")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return pairs.correlations(returns)
 
 
 def rolling_correlation(pairs: DataFrame, rows: int = 13) -> DataFrame:

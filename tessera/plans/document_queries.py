@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as C
+from tessera.functions.names import match_key
 from tessera.operators import enrichment as X
 from tessera.operators import geometry as G
 from tessera.operators import joins as J
 from tessera.operators import knowledge as K
+from tessera.operators import layout as LY
 from tessera.operators import report_rules as RR
 from tessera.operators import retrieval as R
 from tessera.operators import text as TX
 from tessera.plans import knowledge_views as V
 from tessera.plans import profiles as P
-from tessera.plans.name_queries import sql_link
+from tessera.plans.name_queries import sql_key, sql_link
 from tessera.session import table
 from tessera.sources import io
 
@@ -157,11 +159,11 @@ FROM (SELECT p_partkey AS k, split_part('尽调笔记|路演纪要|路演材料|
 
 @query(f"""WITH f AS ({_FILES}), c AS (SELECT k, name, CASE WHEN contains(name, '尽调笔记') THEN 'diligence_note' WHEN contains(name, '路演纪要') THEN 'meeting_or_interview' WHEN contains(name, '月报') OR contains(name, '净值') THEN 'product_report' WHEN contains(name, '路演') OR contains(name, '材料') THEN 'presentation'
   WHEN ends_with(lower(name), '.pdf') OR ends_with(name, '.docx') THEN 'raw_pdf' WHEN ends_with(name, '.mp3') OR ends_with(name, '.png') THEN 'audio_or_low_signal' WHEN ends_with(name, '.md') OR ends_with(name, '.txt') THEN 'text_note' ELSE 'other' END AS category,
-  CASE WHEN k % 3 = 0 THEN CASE WHEN k % 14 < 12 THEN try_cast('2024-' || lpad(CAST(1 + k % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + k % 31 AS VARCHAR), 2, '0') AS DATE) ELSE CASE WHEN 1 + k % 14 IN (13, 14) THEN try_cast('2024-01-0' || CAST(k % 14 - 9 AS VARCHAR) AS DATE) END END
+  CASE WHEN k % 3 = 0 THEN try_cast('2024-' || lpad(CAST(1 + k % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + k % 31 AS VARCHAR), 2, '0') AS DATE)
     WHEN k % 3 = 1 THEN coalesce(try_cast('2023-' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + k % 33 AS VARCHAR), 2, '0') AS DATE), NULL) END AS d FROM f)
-SELECT k, category, CASE WHEN k % 3 = 0 AND k % 14 >= 12 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS hint FROM c WHERE NOT (k % 3 = 0 AND k % 14 >= 12)""")
+SELECT k, category, strftime(d, '%Y-%m-%d') AS hint FROM c""")
 def file_catalogue(spark, sf):
-    t = spark.sql(_FILES.replace("VARCHAR", "STRING").replace("FROM part", "FROM {part}"), part=table(spark, sf, "part")).where("NOT (k % 3 = 0 AND k % 14 >= 12)")
+    t = spark.sql(_FILES.replace("VARCHAR", "STRING").replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
     return t.select("k", io.file_category(F.col("name"))["category"].alias("category"), C.day_text(io.date_hint(F.col("name"))).alias("hint"))
 
 
@@ -249,7 +251,7 @@ def audit_plan(spark, sf):
 
 # --- places on pages
 
-_SPANS = "SELECT p_partkey % 7 AS page, 100.0 AS page_height, p_partkey % 5 * 20.0 AS x0, p_partkey % 5 * 20.0 + CASE p_partkey % 3 WHEN 0 THEN 19.0 ELSE 10.0 END AS x1, CAST(floor(p_partkey / 35) AS INT) % 20 * 5.0 + 1 AS y0, 'w' || p_partkey AS text FROM part WHERE p_partkey < 700"
+_SPANS = "SELECT p_partkey % 7 + 7 * CAST(floor(p_partkey / 700) AS INT) AS page, 100.0 AS page_height, p_partkey % 5 * 20.0 AS x0, p_partkey % 5 * 20.0 + CASE p_partkey % 3 WHEN 0 THEN 19.0 ELSE 10.0 END AS x1, CAST(floor(p_partkey / 35) AS INT) % 20 * 5.0 + 1 AS y0, 'w' || p_partkey AS text FROM part"
 
 
 @query(f"""WITH s AS ({_SPANS}), f AS (SELECT * FROM s WHERE y0 BETWEEN 10 AND 90), g AS (SELECT page, CAST(round(y0) AS BIGINT) AS line, x0, CASE WHEN x0 - lag(x1) OVER w > 3 THEN ' ' ELSE '' END || text AS piece FROM f WINDOW w AS (PARTITION BY page, CAST(round(y0) AS BIGINT) ORDER BY x0))
@@ -290,7 +292,7 @@ def external_checks(spark, sf):
     return X.external_issues(t)
 
 
-_LINES = "SELECT p_partkey % 5 AS page, 600.0 AS page_width, CAST(floor(p_partkey / 10) AS INT) % 40 * 10.0 AS y0, CASE WHEN p_partkey % 5 < 3 AND p_partkey % 2 = 0 THEN 330.0 ELSE 30.0 END + p_partkey % 3 AS x0, CASE WHEN p_partkey % 11 = 0 THEN '| a | b |' ELSE 'line' || p_partkey END AS text FROM part WHERE p_partkey < 400"
+_LINES = "SELECT p_partkey % 5 AS page, 600.0 AS page_width, CAST(floor(p_partkey / 10) AS INT) % 40 * 10.0 AS y0, CASE WHEN p_partkey % 5 < 3 AND p_partkey % 2 = 0 THEN 330.0 ELSE 30.0 END + p_partkey % 3 AS x0, CASE WHEN p_partkey % 11 = 0 THEN '| a | b |' ELSE 'line' || p_partkey END AS text FROM part"
 
 
 @query(f"""WITH l AS ({_LINES}), p AS (SELECT *, trim(text) <> '' AND NOT starts_with(text, '|') AS plain FROM l),
@@ -310,7 +312,7 @@ def table_items(spark, sf):
     return TX.table_items(t).select("id", "markdown")
 
 
-_SHAPES = "SELECT p_partkey AS id, p_partkey % 6 AS slide, CAST(p_partkey * 7 % 50 AS DOUBLE) / 10 AS top, CAST(p_partkey * 13 % 90 AS DOUBLE) AS left_edge FROM part WHERE p_partkey < 150"
+_SHAPES = "SELECT p_partkey AS id, p_partkey % 6 AS slide, CAST(p_partkey * 7 % 50 AS DOUBLE) / 10 AS top, CAST(p_partkey * 13 % 90 AS DOUBLE) AS left_edge FROM part"
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY top, left_edge, id) AS i FROM ({_SHAPES})),
@@ -318,7 +320,7 @@ w AS (SELECT slide, id, i, top, left_edge, top AS start, 1 AS row FROM s WHERE i
 SELECT slide, id, CAST(row AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY slide ORDER BY row, left_edge, id) AS INTEGER) AS place FROM w""")
 def row_groups(spark, sf):
     t = spark.sql(_SHAPES.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part")).withColumnRenamed("left_edge", "left")
-    return G.row_groups(t, "slide")
+    return LY.row_groups(t, "slide")
 
 
 @query("""SELECT p_brand AS name, round(sum(p_size + p_retailprice + p_partkey), 2) AS total FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1""")
@@ -350,3 +352,46 @@ def grouped_apply(spark, sf):
 
     got = apply(table(spark, sf, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], slope, "event_type string, slope double, n long")
     return got.select("event_type", F.round("slope", 4).alias("slope"), "n")
+
+
+#: Words on pages: two tables of three columns, on every fifth page a paragraph.
+_WORDS = """SELECT page, x0, x0 + 40 AS x1, y0, y0 + 8 AS y1, text FROM (SELECT CAST(floor(p_partkey / 60) AS INT) AS page,
+  CASE WHEN floor(p_partkey / 60) % 5 = 4 THEN 0 ELSE p_partkey % 3 * 100 + p_partkey % 7 END AS x0, floor(p_partkey % 60 / 3) * 10 + CASE WHEN p_partkey % 60 >= 30 THEN 40 ELSE 0 END AS y0,
+  CASE WHEN p_partkey % 11 = 0 THEN ' ' WHEN p_partkey % 13 = 0 THEN 'a|b  ' || p_partkey ELSE 'w' || p_partkey END AS text FROM part) AS w"""
+
+
+def _swept(source: str, by: str, low: str, high: str, gap: float, name: str) -> str:
+    order = ", ".join([low, high, *[c for c in ("y0", "y1", "x0", "x1", "text") if c not in (low, high)]])
+    before = f"max({high}) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    marked = f"SELECT *, CASE WHEN {low} > {before} + {gap} OR {before} IS NULL THEN 1 ELSE 0 END AS fresh FROM {source}"
+    return f"(SELECT * EXCLUDE (fresh), CAST(sum(fresh) OVER (PARTITION BY {by} ORDER BY {order}, fresh DESC ROWS UNBOUNDED PRECEDING) AS INTEGER) AS {name} FROM ({marked}))"
+
+
+@query(rf"""WITH w AS (SELECT * REPLACE (replace(regexp_replace(trim(text), '\s+', ' ', 'g'), '|', '\|') AS text) FROM ({_WORDS}) WHERE trim(text) <> ''),
+s AS (SELECT * FROM {_swept(_swept(_swept('w', 'page', 'y0', 'y1', 12.0, 'tab'), 'page, tab', 'y0', 'y1', 0.0, 'rw'), 'page, tab', 'x0', 'x1', 8.0, 'col')}),
+b AS (SELECT page, tab, max(rw) AS rows, max(col) AS columns FROM s GROUP BY 1, 2 HAVING max(rw) > 1 AND max(col) > 1),
+c AS (SELECT page, tab, rw, col, string_agg(text, ' ' ORDER BY y0, x0, text) AS text FROM s GROUP BY 1, 2, 3, 4),
+l AS (SELECT b.page AS page, b.tab AS tab, r.rw AS rw, '| ' || string_agg(coalesce(c.text, ''), ' | ' ORDER BY k) || ' |' AS line FROM b JOIN (SELECT DISTINCT page, tab, rw FROM c) r ON r.page = b.page AND r.tab = b.tab, LATERAL (SELECT unnest(range(1, b.columns + 1)) AS k) LEFT JOIN c ON c.page = b.page AND c.tab = b.tab AND c.rw = r.rw AND c.col = k GROUP BY 1, 2, 3)
+SELECT b.page AS page, CAST(b.tab AS INTEGER) AS "table", CAST(b.rows AS INTEGER) AS rows, CAST(b.columns AS INTEGER) AS columns, (SELECT string_agg(CASE WHEN rw = 1 THEN line || chr(10) || '|' || repeat(' --- |', b.columns) ELSE line END, chr(10) ORDER BY rw) FROM l WHERE l.page = b.page AND l.tab = b.tab) AS markdown FROM b""")
+def span_tables(spark, sf):
+    t = spark.sql(_WORDS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    return LY.tables_of(t.select("page", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")], "text"))
+
+
+#: What a tag or manager leads to; tags of two levels lead to each other.
+_PAIRS = """SELECT DISTINCT manager AS term, primary_tag AS synonym FROM profiles WHERE primary_tag <> '' UNION SELECT primary_tag, secondary_tag FROM profiles WHERE primary_tag <> '' AND secondary_tag <> ''
+UNION SELECT secondary_tag, primary_tag FROM profiles WHERE primary_tag <> '' AND secondary_tag <> '' AND id % 3 = 0 UNION SELECT secondary_tag, profile_text FROM profiles WHERE secondary_tag <> '' AND profile_text <> ''"""
+_CLOSED = f"{V.PROFILES_CTE}, p AS ({_PAIRS}), c AS (SELECT term, synonym FROM p UNION SELECT c.term, p.synonym FROM c JOIN p ON c.synonym = p.term)"
+
+
+@query(f"WITH RECURSIVE {_CLOSED} SELECT term, synonym FROM c")
+def synonym_closure(spark, sf):
+    return LY.closure(spark.sql(_PAIRS.replace("FROM profiles", "FROM {profiles}"), profiles=V.profiles(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {_CLOSED}, q AS (SELECT DISTINCT {sql_key('evidence_line || product_name || secondary_tag')} AS query FROM profiles), t AS (SELECT DISTINCT term, {sql_key('term')} AS key FROM c)
+SELECT DISTINCT query, s.synonym AS synonym FROM q JOIN t ON contains(query, key) JOIN (SELECT term, synonym FROM c UNION SELECT term, term FROM t) s ON s.term = t.term""")
+def synonym_expansion(spark, sf):
+    p = V.profiles(spark, sf)
+    closed = LY.closure(spark.sql(_PAIRS.replace("FROM profiles", "FROM {profiles}"), profiles=p))
+    return LY.expanded(p.select(match_key(F.concat("evidence_line", "product_name", "secondary_tag")).alias("query")), closed, match_key(F.col("term")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import pairs
 from tessera.operators import series as S
 from tessera.plans import views as V
 from tessera.plans.views import BEGIN, END, rounded
@@ -146,6 +147,11 @@ def correlation_matrix(spark, sf):
     return rounded(S.correlations(S.changes(V.factor(spark, sf))))
 
 
+@query(f"""{_RET} SELECT x.series AS a, y.series AS b, round(covar_samp(x.ret, y.ret), 8) AS cov FROM r x JOIN r y ON x.day = y.day AND x.series <= y.series WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2""")
+def covariance_matrix(spark, sf):
+    return rounded(pairs.covariance(S.changes(V.factor(spark, sf))), 8)
+
+
 @query(f"""{_RET}, p AS (SELECT x.series AS a, y.series AS b, x.day AS day, x.ret AS x, y.ret AS y FROM r x JOIN r y ON x.day = y.day AND x.series < y.series WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
 SELECT a, b, {_D.format('day')} AS day, round(CASE WHEN count(*) OVER w = 13 THEN corr(x, y) OVER w END, 5) AS corr FROM p WINDOW w AS (PARTITION BY a, b ORDER BY day ROWS 12 PRECEDING)""")
 def rolling_correlation(spark, sf):
