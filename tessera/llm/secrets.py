@@ -3,8 +3,9 @@
 Candidates come from one pattern: private-key blocks, assignments to names such
 as ``password`` or ``token`` (a quoted value goes to its closing quote), passwords
 in URLs, and tokens of 16 or more characters with a prefix that vendors publish or
-with a digit. No run in it has an upper bound and none gives anything
-back, so a value is whole however long it is, and the search is linear.
+with a digit. No run of characters in it has an upper bound and none gives anything
+back, so a value is whole however long it is, and the search is linear. A key block goes to its END line, whatever stands
+between (headers of encrypted keys, armour, line ends written as ``\\n``); a URL's password to the last ``@``.
 The text is split by the same pattern, so each candidate is known with its place
 and with what stands before and after it. Features are length, transitions
 between character classes, distinct characters, coverage by dictionary words,
@@ -40,16 +41,20 @@ from tessera.session import table
 NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|(?:access[_-]?|auth[_-]?|refresh[_-]?|bot[_-]?)?token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?)"
 SEPARATED = r"[\"']?[^\S\r\n]*+(?:=>|:=|==|[:=])[^\S\r\n]*+"
 ASSIGN = rf"(?i:{NAMES}){SEPARATED}"
-PRIVATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+PRIVATE, PRIVATE_END = (rf"-----{w} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for w in ("BEGIN", "END"))
+#: Whatever stands before the END line, with up to 64 single dashes or runs of fewer than five; without such a line what looks like a body.
+PRIVATE_BODY = rf"(?:(?:[^-]++-{{1,4}}+(?!-)){{0,64}}+[^-]*+{PRIVATE_END}|[A-Za-z0-9+/=\s]*+)"
 #: Prefixes that vendors of tokens publish.
 VENDORS = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_)"
 IN_TOKEN = r"[A-Za-z0-9+/_=.-]"
 TOKEN = rf"(?<!{IN_TOKEN})(?={IN_TOKEN}{{16}})(?:{VENDORS}|(?=[A-Za-z+/_=.-]*+[0-9])){IN_TOKEN}++"
-URL_USER, URL_PASSWORD = r"://[^\s/:@]*+:", r"(?:(?!://)[^\s@\"'<>]){3,}+"
+URL_USER, _IN_URL, _AT_IN_URL = r"://[^\s/:@]*+:", r"(?:(?!://)[^\s@\"'<>])", r"(?:@[^\s@/\"'<>]++(?=@))"
+#: To the last ``@`` before a slash or blank (up to 16 of them), three characters at least.
+URL_PASSWORD = rf"(?:{_IN_URL}{{3,}}+{_AT_IN_URL}{{0,16}}+|{_IN_URL}{{1,2}}+{_AT_IN_URL}{{1,16}}+)"
 #: In this order: the first that fits at a place is taken.
 CANDIDATE = "|".join([
-    PRIVATE + r"[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    rf"(?=[aAbBcCpPrRsStT])(?<![A-Za-z]){ASSIGN}(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
+    PRIVATE + PRIVATE_BODY,
+    rf"(?=[aAbBcCpPrRsStT])(?<![A-Za-z]){ASSIGN}(?![\"']?-----BEGIN )(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
     f"{URL_USER}{URL_PASSWORD}@",
     TOKEN,
 ])
