@@ -142,8 +142,7 @@ def changed_only(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def vocabulary(files: DataFrame, heading: str, columns: list[str]) -> DataFrame:
     """Rows of the Markdown table under a heading, by position."""
-    rows = F.slice(table_rows(section(F.col("content"), heading)), 2, 1_000_000)
-    t = files.select("path", F.explode(rows).alias("r"))
+    t = files.select("path", F.posexplode(table_rows(section(F.col("content"), heading))).alias("at", "r")).where("at > 0")
     return t.select("path", *[F.try_element_at("r", F.lit(i)).alias(c) for i, c in enumerate(columns, 1)])
 
 
