@@ -4,8 +4,8 @@ A page becomes a tree. Subtrees that by element, role or name are menus, headers
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
 go. Every paragraph then gets points for its length and its commas and passes
 them to its ancestors, fewer the further up; each container's points are
-discounted by the share of its text that lies in links. The best container is
-kept with those of its siblings, and of its ancestors' siblings, that score
+discounted by the share of its text that lies in links. The best container, or
+the lowest one around it that holds half of all points, is kept with those of its siblings, and of its ancestors' siblings, that score
 well; inside them, lists and blocks that are mostly links are left out, but for
 lists that a heading or a paragraph ending in a colon announces (references).
 
@@ -24,8 +24,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +35,10 @@ from tessera.session import table
 
 from .common import map_batches
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: An attribute as browsers read it: a quote opens a value only after ``=``. No part gives anything back, so tags are read in one pass.
+_ATTR = re.compile(r"""(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_ATTRS = r"""(?:[\s/]++|(?:=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+_TOKEN = re.compile(rf"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})(?:>|\Z)""", re.S)
 _NAME_PART = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,23 +54,30 @@ _BAD = frozenset("ad ads adv advert adverts advertisement advertising adslot adb
 #: Names that mark something unwanted only by themselves or with words of layout: an article may have a legal-analysis or related-work.
 _UNSURE = frozenset("legal copyright notice notices related popular trending search share sharing social follow reply replies respond discussion response alert promotion menu subscription sponsor sponsored".split())
 _LAYOUT = frozenset("left right top bottom inner outer wrap wrapper container box list item items block section area content panel unit col column row header heading title body link links button buttons icon icons text primary secondary global site page post posts article articles story stories news fixed sticky mobile desktop small large bar form group topics module feed card cards".split())
+#: Names that speak of a subject, not of a part of the page.
+_SUBJECT = re.compile(r"\b(?:ad hoc|(?:comments?|notices?|discussion|repl(?:y|ies)|responses?) (?:on|of|about|to) [a-z]+)")
 REACH = 32
 _WEAK = frozenset("header meta info tools extra".split())
 _GOOD = frozenset("article main content post entry story text body page".split())
 #: Names by which an element says that it holds the article.
 _ARTICLE_BODY = re.compile(r"(?i)\b(?:article|post|entry|story)[-_]?(?:body|content|text)\b")
 _NEVER = frozenset("html body main".split())
+#: A start tag of a block looks for an open paragraph or heading up to the nearest of these.
+_P_SCOPE = ("p", *sorted(_HEADING), "table", "td", "th", "li", "div", "button", "article", "section")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "up", "kids", "score", "chars", "linked", "commas", "anchors", "holds", "lead")
+    __slots__ = ("tag", "attrs", "up", "depth", "kids", "score", "points", "chars", "linked", "commas", "anchors", "within", "before", "holds", "mains", "lead")
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
+        self.depth: int = up.depth + 1 if up else 0
         self.kids: list[Node | str] = []
-        self.score = 0.0
-        self.chars = self.linked = self.commas = self.anchors = 0
+        self.score = self.points = 0.0
+        self.chars = self.linked = self.commas = self.anchors = self.within = 0  # within: links to places of the same page
+        self.before: Node | str | None = None  # what stands before it in its parent
         self.holds = tag in ("article", "main")  # or has such an element inside
+        self.mains = tag == "main"
         self.lead: Node | None = None  # the heading that a block begins with
 
 
@@ -86,17 +95,20 @@ def preorder(x: Node, into=lambda k: True) -> Iterator[Node]:
 def tree(page: str) -> Node:
     root = Node("html", "", None)
     top, at = root, 0
-    open_: Counter = Counter()  # open elements by tag, so that nothing is looked for in vain
+    open_: defaultdict[str, list[Node]] = defaultdict(list)  # open elements by tag, innermost last, so that no walk up is needed
     absent: set[str] = set()  # raw elements without an end tag in what is left
 
     def close(x: Node) -> Node:
         nonlocal top
         while top is not x:
-            open_[top.tag] -= 1
+            open_[top.tag].pop()
             top = top.up
-        open_[x.tag] -= 1
+        open_[x.tag].pop()
         return x.up
 
+    def nearest(tags: Iterable[str]) -> Node | None:
+        return max((open_[t][-1] for t in tags if open_[t]), key=lambda x: x.depth, default=None)
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             top.kids.append(page[at:m.start()])
@@ -105,30 +117,21 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if not open_[tag]:
-                continue
-            x = top
-            while x.tag != tag:
-                if x.tag in ("table", "article", "body") and tag not in _BLOCK:
-                    break
-                x = x.up
-            if x.tag == tag:
+            x = nearest((tag,))
+            bound = None if tag in _BLOCK else nearest(("table", "article", "body"))
+            if x is not None and (bound is None or bound.depth < x.depth):
                 top = close(x)
             continue
         if tag == "html":
             continue
-        if tag in _BLOCK and tag != "body" and (open_["p"] or any(open_[h] for h in _HEADING)):
-            x = top
-            while x is not root and x.tag not in ("p", *_HEADING, "table", "td", "th", "li", "div", "button", "article", "section"):
-                x = x.up
-            if x.tag == "p" or x.tag in _HEADING and tag in _HEADING:
+        if tag in _BLOCK and tag != "body":
+            x = nearest(_P_SCOPE)
+            if x is not None and (x.tag == "p" or x.tag in _HEADING and tag in _HEADING):
                 top = close(x)
-        if tag in _ENDS and any(open_[e] for e in _ENDS[tag][0]):
+        if tag in _ENDS:
             ends, stop = _ENDS[tag]
-            x = top
-            while x is not root and x.tag not in ends and x.tag not in stop:
-                x = x.up
-            if x.tag in ends:
+            x = nearest(ends | stop)
+            if x is not None and x.tag in ends:
                 top = close(x)
         node = Node(tag, m[3], top)
         top.kids.append(node)
@@ -139,11 +142,12 @@ def tree(page: str) -> Node:
             at = end.end() if end else len(page) if tag in ("script", "style") else at
         elif tag not in _VOID and not m[3].endswith("/"):
             top = node
-            open_[tag] += 1
+            open_[tag].append(node)
     if at < len(page):
         top.kids.append(page[at:])
     for x in reversed(list(preorder(root))):
         x.holds = x.holds or any(k.holds for k in x.kids if isinstance(k, Node))
+        x.mains = x.mains or any(k.mains for k in x.kids if isinstance(k, Node))
         if x.tag in _SECTIONING:
             first = next((k for k in x.kids if isinstance(k, Node) or k.strip()), None)
             if isinstance(first, Node):
@@ -161,7 +165,9 @@ def unwanted(x: Node, inside: bool) -> bool:
         return True
     if not x.attrs or "=" not in x.attrs and "hidden" not in x.attrs:
         return False
-    a = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(x.attrs)}
+    a: dict[str, str] = {}
+    for m in _ATTR.finditer(x.attrs):
+        a.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     if a.get("role", "").lower() in _ROLES:
@@ -177,11 +183,18 @@ def unwanted(x: Node, inside: bool) -> bool:
         return False  # a frame round the article, named after what else it holds
     if inside and _UNSURE.issuperset(bad) and not (_BAD | _LAYOUT).issuperset(parts):
         return False
+    if inside and _SUBJECT.search(" ".join(parts)):
+        return False
     return {"with", "has", "no"}.isdisjoint(parts)
 
 
 #: Headings of what follows an article.
-_AFTER = re.compile(r"(?i)^\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|leave a (?:reply|comment)|join the discussion|responses?|related(?: (?:articles?|posts?|stories|news|links|reading|content|topics|pages|coverage|videos))?|read (?:more|next)|more (?:stories|from .*)|you may also like|share this|advertisement|newsletter|subscribe|kommentare|commentaires|comentarios)\W*(?:\(?\d+\)?)?\W*$")
+_AFTER = re.compile(r"(?i)^\W*(?:\d+\W+)?(?:(?:reader |user )?comments?|leave a (?:reply|comment)|join the discussion|\d+ responses?|responses? \(\d+\)|related(?: (?:articles?|posts?|stories|news|links|reading|content|topics|pages|coverage|videos))?|read (?:more|next)|more (?:stories|from .*)|you may also like|share this|advertisement|newsletter|subscribe|kommentare|commentaires|comentarios)\W*(?:\(?\d+\)?)?\W*$")
+
+
+#: A heading that a part of an article may have as well: what is below it decides.
+_MAYBE_AFTER = re.compile(r"(?i)^\W*responses?\W*$")
+_OF_READERS = frozenset("form textarea time article".split())
 
 
 def headed_after(x: Node, known: dict[int, bool]) -> bool:
@@ -189,7 +202,8 @@ def headed_after(x: Node, known: dict[int, bool]) -> bool:
     if x.lead is None:
         return False
     if id(x.lead) not in known:
-        known[id(x.lead)] = bool(_AFTER.match(" ".join("".join(texts(x.lead)).split())))
+        head = " ".join("".join(texts(x.lead)).split())
+        known[id(x.lead)] = bool(_AFTER.match(head)) or bool(_MAYBE_AFTER.match(head)) and any(k.tag in _OF_READERS for k in preorder(x))
     return known[id(x.lead)]
 
 
@@ -211,7 +225,7 @@ def prune(root: Node) -> None:
         kids = []
         for k in x.kids:
             if isinstance(k, Node):
-                if unwanted(k, inside) or headed_after(k, known) and not find(k, ("main",)):
+                if unwanted(k, inside) or headed_after(k, known) and not k.mains:
                     continue
                 if k.tag == "header":  # of an article: its headings and running text stay
                     keep_headings(k)
@@ -226,20 +240,28 @@ def keep_headings(x: Node, least_chars: int = 60) -> None:
             x.kids = [k for k in x.kids if isinstance(k, Node) and (k.tag in _HEADING or k.tag in ("div", "hgroup") or k.tag == "p" and sum(map(len, texts(k))) >= least_chars)]
 
 
+_WITHIN = re.compile(r"""(?i)\bhref\s*+=\s*+["']?#""")
+
+
 def count(root: Node) -> None:
-    """Characters, those in links, commas and links of each subtree."""
+    """Characters, those in links, commas and links of each subtree, and what stands before each element."""
     nodes, linked = list(preorder(root)), {id(root)} if root.tag == "a" else set()
     for x in nodes:
         if x.tag == "a" or x.up is not None and id(x.up) in linked:
             linked.add(id(x))
     for x in reversed(nodes):
+        before = None
         for k in x.kids:
             if isinstance(k, Node):
+                k.before = before
+                before = k
                 x.chars += k.chars
                 x.linked += k.linked
                 x.commas += k.commas
                 x.anchors += 1 if k.tag == "a" else k.anchors
+                x.within += bool(_WITHIN.search(k.attrs)) if k.tag == "a" else k.within
             elif t := k.strip():
+                before = k
                 x.chars += len(t)
                 x.linked += len(t) * (id(x) in linked)
                 x.commas += t.count(",") + t.count("、") + t.count("，")
@@ -271,10 +293,13 @@ def density(x: Node) -> float:
 def chosen(root: Node, least_chars: int, least_share: float) -> list[Node]:
     """The best container and what else is kept, in page order."""
     scored: dict[int, Node] = {}
+    total = 0.0
     for p in paragraphs(root):
         if p.chars < least_chars:
             continue
         points = (1 + p.commas + min(p.chars / 100, 3)) * (1 - density(p))
+        p.points += points
+        total += points
         x, level = p.up if p.tag not in ("div", "section", "article", "main", "body") else p, 0
         while x is not None and level < REACH:
             x.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -284,11 +309,7 @@ def chosen(root: Node, least_chars: int, least_share: float) -> list[Node]:
         return []
     final = {i: x.score * (1 - density(x)) for i, x in scored.items()}
     best = scored[max(final, key=final.get)]
-    within = best
-    while within is not None and within.tag not in ("article", "main") and not _ARTICLE_BODY.search(within.attrs):
-        within = within.up
-    if within is not None:
-        best = within
+    best = article_of(best) or holder(root, best, total)
     need = least_share * final.get(id(best), best.score)
     keep = {id(best)}
     x = best
@@ -305,24 +326,38 @@ def chosen(root: Node, least_chars: int, least_share: float) -> list[Node]:
     return [x for x in preorder(root, lambda x: id(x) not in keep) if id(x) in keep]
 
 
+def holder(root: Node, best: Node, total: float) -> Node:
+    """The lowest of ``best`` and its ancestors with half of all points or more inside: paragraphs may each stand in wrappers of their own."""
+    for x in reversed(list(preorder(root))):
+        x.points += sum(k.points for k in x.kids if isinstance(k, Node))
+    while best.up is not None and 2 * best.points < total:
+        best = best.up
+    return best
+
+
 def announced(x: Node) -> bool:
     """Whether a list of links belongs to the article: after a heading or a paragraph with a colon, and not of links within the page."""
     if x.tag not in ("ul", "ol", "dl"):
         return False
-    before = None
-    for k in x.up.kids if x.up else []:
-        if k is x:
-            break
-        if isinstance(k, Node) or k.strip():
-            before = k
+    before = x.before
     if not isinstance(before, Node) or not (before.tag in _HEADING or before.tag == "p" and "".join(texts(before)).rstrip().endswith(":")):
         return False
-    hrefs = [k.attrs for k in preorder(x) if k.tag == "a"]
-    return 2 * sum(bool(re.search(r"""(?i)\bhref\s*=\s*["']?#""", h)) for h in hrefs) < len(hrefs)
+    return 2 * x.within < x.anchors
+
+
+_LISTS = frozenset("ul ol dl div section".split())
+
+
+def article_of(x: Node | None) -> Node | None:
+    """The element that says that it holds the article, if ``x`` is one or lies inside."""
+    while x is not None and x.tag not in ("article", "main") and not _ARTICLE_BODY.search(x.attrs):
+        x = x.up
+    return x
 
 
 def blocks(root: Node, linked_share: float = 0.5) -> list[str]:
-    """Texts of the blocks of a subtree in page order, without those that are mostly links."""
+    """Texts of the blocks of a subtree in page order, without those that are mostly links; of an article only lists and containers of links go."""
+    listed = _LISTS if article_of(root) else _LISTS | {"table", "p"}
     out: list[str] = []
     run: list[str] = []
     stack: list[Node | str | None] = [root]  # None: a block ends
@@ -340,7 +375,7 @@ def blocks(root: Node, linked_share: float = 0.5) -> list[str]:
             run.append(entities.unescape(x))
         elif x.tag == "br":
             run.append(" ")
-        elif x.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and x.linked and density(x) > linked_share and (x.tag != "p" or density(x) > 0.9) and x.anchors > (1 if x.tag != "p" else 2) and not announced(x) and not any(announced(k) for k in x.kids if isinstance(k, Node)):
+        elif x.tag in listed and x.linked and density(x) > linked_share and (x.tag != "p" or density(x) > 0.9) and x.anchors > (1 if x.tag != "p" else 2) and not announced(x) and not any(announced(k) for k in x.kids if isinstance(k, Node)):
             continue
         else:
             if x.tag in _BLOCK:

@@ -310,12 +310,91 @@ def test_html_extraction(spark):
     assert html_text.extract(twice).count() == 2 * len(PAGES) == 2 * html_text.extract(twice).distinct().count()
 
 
+SOME = "<p>Some text, long enough, to be scored by the method, which passes points.</p>"
+SOME_TEXT = SOME[3:-4]
+
+
+def test_html_wrapped_paragraphs_stay():
+    for depth in (1, 2, 3, 5, 9):
+        page = "".join("<div>" * depth + f"<p>This is paragraph {i}, with some words, and more of them to be long enough.</p>" + "</div>" * depth for i in range(8))
+        got = html_text.main_text(f"<body><div class=top><a href=x>Home</a> <a href=y>News</a></div><div id=c>{page}</div><div><a href=1>One</a><a href=2>Two</a></div>")
+        assert [b.split(",")[0] for b in got.split("\n\n")] == [f"This is paragraph {i}" for i in range(8)], depth
+
+
+def test_html_stray_quotes_are_no_markup():
+    for tag in ('<img alt=5" src=a.png>', "<img alt='a>b' src=x>", '<img "alt" =x=y>', "<img alt=a'b'>", '<img alt= "a > b"/>', "<img / alt = x'y>"):
+        assert html_text.main_text(f"<article><p>Some text, long enough to be scored.{tag} And more.</p></article>") == "Some text, long enough to be scored. And more.", tag
+    assert "gone" not in html_text.main_text(f'<article>{SOME}<p class=x" hidden>gone</p><p class="hidden" class="y" style="display:none">gone</p></article>')
+
+
+def test_html_keeps_parts_of_the_article():
+    kept = {
+        f"<section><h2>Responses</h2>{SOME}</section>": f"Responses\n\n{SOME_TEXT}",
+        '<p class="ad-hoc-network">Ad hoc networks.</p>': "Ad hoc networks.",
+        '<div class="comments-on-method"><p>On the method.</p></div>': "On the method.",
+        "<table><tr><td><a href=a>Alpha</a><td><a href=b>Beta</a></table>": "Alpha\n\nBeta",
+        "<p><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></p>": "One Two Three",
+    }
+    for part, text in kept.items():
+        assert html_text.main_text(f"<article>{SOME}{part}</article>") == f"{SOME_TEXT}\n\n{text}", part
+    for part in ("<section><h2>Responses</h2><time>1 May</time><p>A reader says so.</p></section>", "<section><h2>3 Responses</h2><p>A reader says so.</p></section>", "<section><h2>Responses (2)</h2><p>So.</p></section>", '<div class="comments-list"><p>A reader says so.</p></div>', '<div class="ad ad-slot"><p>Buy.</p></div>'):
+        assert html_text.main_text(f"<article>{SOME}{part}</article>") == SOME_TEXT, part
+
+
+def brute_best(page: str) -> str:
+    """Id of the best container of a well-formed page of divs, paragraphs and links, from the definition."""
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(f"<div id='root'>{page}</div>")
+    up = {k: x for x in root.iter() for k in x}
+    chars = lambda x: sum(len(t.strip()) for t in x.itertext() if t.strip())
+    density = lambda x: sum(chars(a) for a in x.iter("a")) / chars(x) if chars(x) else 0.0
+    points = {p: (1 + "".join(p.itertext()).count(",") + min(chars(p) / 100, 3)) * (1 - density(p)) for p in root.iter("p") if chars(p) >= 25}
+    above = {p: [up[p]] for p in points}
+    for line in above.values():
+        while line[-1] in up:
+            line.append(up[line[-1]])
+    of = lambda x: sum(points[p] / (1, 2, 6, 9, 12, 15, 18, 21)[line.index(x)] for p, line in above.items() if x in line)
+    order = list(dict.fromkeys(x for line in above.values() for x in line))
+    best = max(order, key=lambda x: round(of(x) * (1 - density(x)), 9))
+    inside = lambda x: sum(v for p, v in points.items() if x in above[p])
+    while best in up and 2 * inside(best) < sum(points.values()) - 1e-9:
+        best = up[best]
+    return best.get("id")
+
+
+def test_html_scores_equal_brute_force():
+    r = random.Random(8)
+
+    def part(depth: int) -> str:
+        if depth == 0 or r.random() < 0.4:
+            words = " ".join(r.choice(["alpha", "beta,", "gamma", "delta,", "of"]) for _ in range(r.randint(1, 60)))
+            return f"<p>{words} <a>{'link ' * r.randint(1, 20)}</a></p>" if r.random() < 0.3 else f"<p>{words}</p>"
+        return f'<div id="n{r.random()}">' + "".join(part(depth - 1) for _ in range(r.randint(1, 4))) + "</div>"
+
+    seen = 0
+    for _ in range(300):
+        page = "".join(part(5) for _ in range(r.randint(1, 3)))
+        if not any(len(p) > 40 for p in re.findall(r"<p>(.*?)</p>", page)):
+            continue
+        root = html_text.tree(f'<body><div id="root">{page}</div></body>')
+        html_text.count(root)
+        if kept := html_text.chosen(root, 25, float("inf")):
+            ids = [m[1] for k in kept if (m := re.search('id="([^"]*)"', k.attrs))]
+            assert ids == [brute_best(page)], page
+            seen += 1
+    assert seen > 200
+
+
 def test_html_is_linear():
     started = time.process_time()
     n = 20_000
-    for page in ("<noscript>" * n, "<textarea>x" * n, "<div>" * n + "text" + "</b>" * n, "<div>" * n + "<p>some words here, and more of them</p>" * 50, "<span>" * n + "<p>x" * n, "<ul>" + "<li><a href=x>y</a>" * n, "<div class=promo>" * n, "<section><div>" * n + "<h2>Comments</h2>"):
+    for page in ("<noscript>" * n, "<textarea>x" * n, "<div>" * n + "text" + "</b>" * n, "<div>" * n + "<p>some words here, and more of them</p>" * 50, "<span>" * n + "<p>x" * n, "<ul>" + "<li><a href=x>y</a>" * n, "<div class=promo>" * n, "<section><div>" * n + "<h2>Comments</h2>", "<b><table>" + "<i>" * n + "</b>" * n, "<h1>" + "<b>" * n + "<hr>" * n, "<ul><li><a href=x>a</a><li><a href=y>b</a></ul>" * (n // 4), "<div><h2>Comments</h2>" * n + "<main>", '<a x="' * (n + 1)):
         html_text.main_text(f"<article>{page}")
-    assert time.process_time() - started < 30
+    assert time.process_time() - started < 40
+    started = time.process_time()
+    html_text.main_text('<a "' * 4 * n + "'")
+    assert time.process_time() - started < 2
     long = "Words of a long page, in one paragraph. " * 50_000
     assert html_text.main_text(f"<article><p>{long}</p>") == long.strip()
 
