@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates come from one pattern: private-key blocks, assignments to names such
-as ``password`` or ``token`` (a quoted value goes to its closing quote), passwords
+as ``password``, ``DB_PASS`` or ``token``, also in the attributes of an element (a quoted value goes to its closing quote, past quotes with a backslash before them), passwords
 in URLs, and tokens of 16 or more characters with a prefix that vendors publish or
 with a digit. No run of characters in it has an upper bound and none gives anything
 back, so a value is whole however long it is, and the search is linear. A key block goes to its END line, whatever stands
@@ -38,23 +38,29 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-NAMES = r"(?:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|(?:access[_-]?|auth[_-]?|refresh[_-]?|bot[_-]?)?token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?)"
-SEPARATED = r"[\"']?[^\S\r\n]*+(?:=>|:=|==|[:=])[^\S\r\n]*+"
+NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?key)?|(?:access[_-]?|auth[_-]?|refresh[_-]?|bot[_-]?)?token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?)"
+#: Also from a quoted name to the next attribute, ``value``.
+SEPARATED = r"(?:[\"']?[^\S\r\n]*+(?:=>|:=|==|[:=])|[\"'][^\S\r\n]++(?i:value)[^\S\r\n]*+=)[^\S\r\n]*+"
 ASSIGN = rf"(?i:{NAMES}){SEPARATED}"
+#: Where a name may begin: not amid letters but at a change of case or in capitals (``dbPassword``, ``PGPASSWORD``); ``pass`` alone needs a name before it (``DB_PASS``).
+STARTS = r"(?=[aAbBcCpPrRsStT])(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z]{4}))(?:(?!(?i:pass)[^A-Za-z])|(?<=[_-]))"
+#: A quoted value goes to the first quote without a backslash before it.
+VALUE = r"(?![\"']?-----BEGIN )(?:\"(?:[^\"\\\r\n]|\\[^\r\n]){6,}+(?=\")|'(?:[^'\\\r\n]|\\[^\r\n]){6,}+(?=')|[\"']?[^\s\"',;<>|]{6,}+)"
 PRIVATE, PRIVATE_END = (rf"-----{w} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for w in ("BEGIN", "END"))
 #: Whatever stands before the END line, with up to 64 single dashes or runs of fewer than five; without such a line what looks like a body.
 PRIVATE_BODY = rf"(?:(?:[^-]++-{{1,4}}+(?!-)){{0,64}}+[^-]*+{PRIVATE_END}|[A-Za-z0-9+/=\s]*+)"
 #: Prefixes that vendors of tokens publish.
 VENDORS = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_)"
 IN_TOKEN = r"[A-Za-z0-9+/_=.-]"
-TOKEN = rf"(?<!{IN_TOKEN})(?={IN_TOKEN}{{16}})(?:{VENDORS}|(?=[A-Za-z+/_=.-]*+[0-9])){IN_TOKEN}++"
+#: An assignment up to 64 characters on isn't taken for a token.
+TOKEN = rf"(?<!{IN_TOKEN})(?={IN_TOKEN}{{16}})(?:{VENDORS}|(?=[A-Za-z+/_=.-]*+[0-9])(?![A-Za-z0-9_.-]{{0,64}}?{STARTS}{ASSIGN}{VALUE})){IN_TOKEN}++"
 URL_USER, _IN_URL, _AT_IN_URL = r"://[^\s/:@]*+:", r"(?:(?!://)[^\s@\"'<>])", r"(?:@[^\s@/\"'<>]++(?=@))"
 #: To the last ``@`` before a slash or blank (up to 16 of them), three characters at least.
 URL_PASSWORD = rf"(?:{_IN_URL}{{3,}}+{_AT_IN_URL}{{0,16}}+|{_IN_URL}{{1,2}}+{_AT_IN_URL}{{1,16}}+)"
 #: In this order: the first that fits at a place is taken.
 CANDIDATE = "|".join([
     PRIVATE + PRIVATE_BODY,
-    rf"(?=[aAbBcCpPrRsStT])(?<![A-Za-z]){ASSIGN}(?![\"']?-----BEGIN )(?:\"[^\"\r\n]{{6,}}+(?=\")|'[^'\r\n]{{6,}}+(?=')|[\"']?[^\s\"',;<>|]{{6,}}+)",
+    f"{STARTS}{ASSIGN}{VALUE}",
     f"{URL_USER}{URL_PASSWORD}@",
     TOKEN,
 ])
@@ -200,7 +206,7 @@ def labelled_findings(n: int = 1_500, seed: int = 5, known: list[str] = WORDS) -
     pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
     word = lambda: r.choice(known)
     case = lambda s: r.choice([str, str, str.upper])(s)
-    name = lambda: r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "SECRET_KEY", "private_key", "credential"])
+    name = lambda: r.choice(["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "SECRET_KEY", "private_key", "credential", "DB_PASS", "PGPASSWORD", "dbPassword"])
     syllables = lambda: "".join(r.choice(["the", "an", "er", "ion", "ti", "he", "ou", "es", "der", "la", "en", "que"]) for _ in range(r.randint(1, 4)))
     prose = lambda: " ".join(syllables() for _ in range(6))
     assign = lambda v: r.choice(['{} = "{}"', "{}={}", '{}: "{}"', "{}: {}", '"{}": "{}"', "{} := '{}'", "export {}={}"]).format(name(), v)
@@ -208,12 +214,19 @@ def labelled_findings(n: int = 1_500, seed: int = 5, known: list[str] = WORDS) -
     def secret() -> str:
         v = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: pick(hexa, 40), lambda: pick(alnum, r.randint(16, 48)), lambda: pick(b64, r.choice([24, 40, 64])) + r.choice(["", "=", "=="]), lambda: r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "AIza" + pick(alnum + "_-", 35), "eyJ" + pick(b64, 30) + "." + pick(b64, 40) + "." + pick(b64, 30)]), lambda: pick(alnum + "!@$%^*_-", r.randint(9, 20)) + pick(string.digits, 2)])()
         kind = r.random()
+        if kind < 0.04:  # what people choose: a word, digits and a mark
+            chosen = f"{r.choice([word(), word().capitalize(), word() + word()])}{pick(string.digits, r.randint(1, 4))}{r.choice('!@#$%*?')}"
+            return r.choice(["{}: {}", "{}={}", '{} = "{}"']).format(r.choice(["password", "passwd", "db_password", "DB_PASS", "PGPASSWORD"]), chosen)
+        if kind < 0.07:
+            return r.choice(['<add key="{}" value="{}"/>', "<property name='{}' value='{}'>"]).format(r.choice(["Password", "ApiKey", "ClientSecret", "auth_token"]), v)
+        if kind < 0.1:
+            return assign(v.replace(v[4], v[4] + r.choice(['\\"', "\\\\"]), 1)) if len(v) > 4 else assign(v)
         if kind < 0.6:
             return case(assign(v))
         if kind < 0.7:
             return f"Authorization: Bearer {pick(alnum, r.randint(24, 60))}"
         if kind < 0.77:
-            return f"{r.choice(['postgres', 'https', 'mysql', 'amqp'])}://{word()}:{pick(alnum + '!$*_', r.randint(8, 20))}@{word()}.example.com/x"
+            return f"{r.choice(['postgres', 'https', 'mysql', 'amqp'])}://{word()}:{pick(alnum + '!$*_', r.choice([r.randint(8, 20), r.randint(8, 20), r.randint(20, 400)]))}@{word()}.example.com/x"
         if kind < 0.92:
             phrase = " ".join(r.choice([word, syllables])() for _ in range(r.randint(2, 6)))
             given = lambda names, v: r.choice(['{} = "{}"', "{}: '{}'", '"{}": "{}"']).format(r.choice(names), v)
@@ -242,6 +255,7 @@ def labelled_findings(n: int = 1_500, seed: int = 5, known: list[str] = WORDS) -
             lambda: f"{r.choice(['token', 'api_key', 'credentials'])}: \"{word()} {word()} {word()}\"",
             lambda: f"sk-{word()}-{word()}-{word()}",
             lambda: f"https://{word()}.com:{r.randint(80, 9999)}/{word()}/@{word()}",
+            lambda: f"https://{word()[:r.randint(1, 8)]}.{word()[:2]}:{r.choice([80, 443, r.randint(80, 65535)])}/{'/'.join(word()[:r.randint(1, 8)] for _ in range(r.randint(1, 3)))}/@{word()}",
             lambda: f"data:image/png;base64,{pick(b64, 80)}",
             lambda: f"{pick(string.digits, 4)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}T{pick(string.digits, 2)}.{pick(string.digits, 2)}.{pick(string.digits, 6)}",
             lambda: f"{r.randint(1, 99)}.{word()}@mail{r.randint(1, 9)}.{word()}.com",

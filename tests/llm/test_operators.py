@@ -640,7 +640,7 @@ def test_secrets_long_values_are_whole(spark, forest):
 def scanned(text):
     """Candidates of a text, found character by character: (start, value, kind)."""
     token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
-    names = ["secret_key", "secretkey", "access_token", "client_secret", "password", "passwd", "passphrase", "api_key", "apikey", "token", "secret", "pwd"]
+    names = ["secret_key", "secretkey", "access_token", "client_secret", "password", "passwd", "passphrase", "api_key", "apikey", "token", "secret", "pwd", "pass"]
     vendors = ["AKIA", "ghp_", "sk_live_", "sk-", "glpat-"]
     out, i, n = [], 0, len(text)
 
@@ -650,20 +650,28 @@ def scanned(text):
         return at
 
     def assigned(at):
-        if at and text[at - 1].isalpha():
+        here, left = text[at:at + 4], text[at - 1] if at else " "
+        if left.isalpha() and not (left.islower() and here[:1].isupper() or left.isupper() and len(here) == 4 and here.isalpha() and here.isupper()):
             return None
         for name in (x for x in names if text[at:at + len(x)].lower() == x):
             j = at + len(name)
-            j += j < n and text[j] in "\"'"
-            j = run(j, lambda c: c in " \t")
+            if name == "pass" and left not in "_-":
+                continue
+            quoted = j < n and text[j] in "\"'"
+            j = run(j + quoted, lambda c: c in " \t")
             sep = next((s for s in ("=>", ":=", "==", ":", "=") if text.startswith(s, j)), None)
+            if sep is None and quoted and text[j - 1] in " \t" and text[j:j + 5].lower() == "value":
+                j = run(j + 5, lambda c: c in " \t")
+                sep = "=" if text[j:j + 1] == "=" else None
             if sep is None:
                 continue
             j = run(j + len(sep), lambda c: c in " \t")
             for q in "\"'":
                 if text[j:j + 1] == q:
-                    e = run(j + 1, lambda c: c not in q + "\r\n")
-                    if e - j > 6 and text[e:e + 1] == q:
+                    e, units = j + 1, 0
+                    while e < n and text[e] not in q + "\r\n" and (text[e] != "\\" or text[e + 1:e + 2] not in ("", "\r", "\n")):
+                        e, units = e + (2 if text[e] == "\\" else 1), units + 1
+                    if units >= 6 and text[e:e + 1] == q:
                         return j + 1, e
             j += j < n and text[j] in "\"'"
             e = run(j, lambda c: not c.isspace() and c not in "\"',;<>|")
@@ -693,7 +701,9 @@ def scanned(text):
         if text[i] in token and (i == 0 or text[i - 1] not in token):
             e = run(i, token.__contains__)
             v = text[i:e]
-            if len(v) >= 16 and (any(v.startswith(x) for x in vendors) or any(c.isdigit() for c in v)):
+            name_end = run(i, lambda c: c in token and c not in "+/=")
+            named = any(assigned(k) for k in range(i, min(name_end, i + 64) + 1))
+            if len(v) >= 16 and (any(v.startswith(x) for x in vendors) or any(c.isdigit() for c in v) and not named):
                 out.append((i, v, "token"))
                 i = e
                 continue
@@ -708,7 +718,7 @@ def test_secrets_candidates_equal_a_scan_by_characters(spark, forest):
     size = lambda: r.choice([1, 2, 5, 6, 7, 15, 16, 40, 65, 66, 130, 257, 700, 4_097, 50_000])
     parts = [
         lambda: pick("abcdef ", r.randrange(1, 30)), lambda: r.choice([" ", "\n", ". ", ", ", "'", '"', ":", "=", "@", "://", "/"]), lambda: pick(alnum, size()), lambda: pick(alnum[:40], size()),
-        lambda: f'{r.choice(["password", "api_key", "TOKEN", "db_secret", "passphrase"])}{r.choice([" = ", ": ", "=", " := ", "\" : "])}{r.choice(["", "\"", "\'"])}{pick(alnum + " !$@", size())}{r.choice(["", "\"", "\'"])}',
+        lambda: f'{r.choice(["password", "api_key", "TOKEN", "db_secret", "passphrase", "DB_PASS", "PGPASSWORD", "dbPassword", "x1_long_prefix_token", "pass", "bypassword", 'key="Password'])}{r.choice([" = ", ": ", "=", " := ", "\" : ", "' value = "])}{r.choice(["", "\"", "\'"])}{pick(alnum + " !$@" + r.choice(["", chr(92), chr(92) + "'" + chr(34)]), size())}{r.choice(["", "\"", "\'"])}',
         lambda: f"{r.choice(['redis', 'https'])}://{r.choice(['', 'user', 'a' * 70])}:{pick(alnum + '/!$:', size())}{r.choice(['@', ' '])}host", lambda: r.choice(["AKIA", "ghp_", "sk-", "glpat-"]) + pick(alnum[:40], size()),
     ]
     texts = ["".join(r.choice(parts)() for _ in range(r.randrange(1, 12))) for _ in range(150)]
@@ -753,6 +763,22 @@ def test_secrets_key_blocks_and_urls_are_whole(spark, forest):
     assert new[8] == "postgres://user:[SECRET]@host/db" and new[9] == texts[9]
 
 
+def test_secrets_names_attributes_and_escapes(spark, forest):
+    long = "Zx9kQ2mW7pL4vT8r"
+    cases = [
+        ('password="a\\"bcdefgh12345XYZ"', 'a\\"bcdefgh12345XYZ'), (f"token = 'it\\'s{long}'", f"it\\'s{long}"), (f'<add key="Password" value="{long}" />', long), (f"<p name='ApiKey' value = '{long}'>", long),
+        (f"DB_PASS={long}", long), (f"export PGPASSWORD={long}", long), (f"MYSQL_ROOT_PASSWORD={long}", long), (f"dbPassword: {long}", long), (f"AWS_SECRET_ACCESS_KEY={long}/{long}+ab12", f"{long}/{long}+ab12"),
+        ("password: hunter2!", "hunter2!"), (f'password = "{long}' + chr(92) * 2 + f'" and "{long}x"', long + chr(92) * 2), ('password="' + "\\x" * 50_000 + 'Zx9kQ2mW7"', "\\x" * 50_000 + "Zx9kQ2mW7"),
+    ]
+    texts = [f"en un der la que {t} the other words" for t, _ in cases]
+    found = {(x["doc_id"], x["value_sha256"]) for x in secrets.findings(docs_of(spark, texts), forest).collect() if x["is_secret"]}
+    assert [i for i, (_, v) in enumerate(cases) if (i, hashlib.sha256(v.encode()).hexdigest()) not in found] == []
+    new = {x["doc_id"]: x["text"] for x in secrets.redact(docs_of(spark, texts), forest).collect()}
+    assert [i for i, (_, v) in enumerate(cases) if v in new[i] or "[SECRET]" not in new[i]] == []
+    plain = ["You shall not pass: everyone stays here", "the bypass = something longer", "a compassword is no word: really"]
+    assert [x for x in secrets.findings(docs_of(spark, plain), forest).collect() if x["is_secret"]] == []
+
+
 def test_secrets_dictionary_comes_from_the_corpus(spark):
     docs = docs_of(spark, ["zorbling zorbling zorbling Zorbling", "zorbling quuxed", None, "", "é ab 12"])
     known = secrets.dictionary(docs, most=1)
