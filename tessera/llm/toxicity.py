@@ -34,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tessera.session import table
 
@@ -199,7 +198,10 @@ def fit_passages(texts: list[str], labels: list[int], window: int = 12, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, clean_docs: int = 4_000, max_chars: int = 150_000_000, **how) -> Model | None:
-    """A model of a bounded sample of labelled rows; only their ids are broadcast, so texts aren't shuffled."""
+    """A model of a bounded sample of labelled rows; only their ids are broadcast, so texts aren't shuffled.
+
+    Lengths of the sampled texts come first, so that no more than ``max_chars`` characters are ever gathered.
+    """
     labelled = training_part(labels).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = []
     for kind, n in ((1, toxic_docs), (0, clean_docs)):
@@ -207,9 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, clean_doc
     if len({r["toxic"] for r in ids}) < 2:
         return None
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
-    known = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    # the sample is small, so its running sum may be one task's; texts beyond the bound stay where they are
-    known = known.withColumn("so_far", F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("so_far") <= max_chars)
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    # lengths first: only texts within the bound are gathered
+    sizes = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min_by(F.length("text"), F.xxhash64("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits = np.cumsum([r["n"] for r in sizes], dtype=np.int64) <= max_chars
+    wanted = wanted.join(F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r, ok in zip(sizes, fits, strict=True) if ok], "doc_id long")), "doc_id")
+    known = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted(known.select("doc_id", "toxic", "text").collect(), key=lambda r: r["doc_id"])
     return fit_passages([r["text"] for r in rows], [r["toxic"] for r in rows], **how) if rows else None
 

@@ -431,6 +431,11 @@ def test_toxicity_learns_and_shares_ngrams(spark):
     a, b = (toxicity.train(x, labels) for x in (repeated, repeated.repartition(7).sort("text")))
     assert (a.weights == b.weights).all() and a.bias == b.bias
     assert toxicity.train(docs, labels, max_chars=0) is None
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit_passages", lambda texts, marks: seen.append(sum(map(len, texts))))
+        toxicity.train(docs, labels, max_chars=1_000)
+    assert 500 < seen[0] <= 1_000
     assert {x["score"] for x in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
 
