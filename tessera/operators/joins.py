@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -46,21 +44,24 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def first_override(items: DataFrame, overrides: DataFrame, fields: list[str], order: str, item_key: list[str]) -> DataFrame:
     """Each item with the first override all of whose given (non-null) fields equal it.
 
-    Overrides that give the same set of fields are joined by equality of these; the first over all sets is kept.
+    Overrides that give the same set of fields are joined by equality of these, a join for each set that occurs; the first over all sets is kept.
     """
     rest = [c for c in overrides.columns if c not in fields]
-    given = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.lit(str(i % 10))) for i, c in enumerate(fields)])
-    marks = [[str(i % 10) for i in chosen] for n in range(len(fields) + 1) for chosen in itertools.combinations(range(len(fields)), n)]
-    t, held = items, []
-    for k, mark in enumerate(marks):
-        on = [fields[int(i)] for i in mark]
-        w = W.partitionBy(*on) if on else W.partitionBy(F.lit(0))
-        o = overrides.where(given == "".join(mark)).withColumn("__n", F.row_number().over(w.orderBy(F.col(order).asc_nulls_last()))).where("__n = 1")
-        o = o.select(*on, F.struct(F.col(order).alias("__order"), F.lit(k).alias("__k"), *[F.col(c).alias(f"__{c}") for c in rest]).alias(f"__set{k}"))
-        t = t.join(o, on, "left") if on else t.join(F.broadcast(o), how="left")  # at most one row
+    given = F.array(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(fields)])
+    given = F.array_compact(given) if fields else F.array().cast("array<int>")
+    sets = sorted(tuple(r[0]) for r in overrides.select(given).distinct().collect())  # of few fields
+    t, held = items, [F.lit(None)]
+    for k, chosen in enumerate(sets):
+        on = [fields[i] for i in chosen]
+        body = F.struct(F.col(order).alias("__order"), F.lit(k).alias("__k"), *[F.col(c).alias(f"__{c}") for c in rest])
+        o = overrides.where(given == F.lit(list(chosen)).cast("array<int>")).groupBy(*on).agg(F.min_by(body, F.struct(F.col(order).isNull(), order)).alias(f"__set{k}"))
+        t = t.join(o, on, "left") if on else t.join(F.broadcast(o), how="left")  # one row
         held.append(f"__set{k}")
+    if not sets:
+        t = t.withColumn("__set0", F.lit(None).cast(overrides.select(F.struct(F.col(order).alias("__order"), F.lit(0).alias("__k"), *[F.col(c).alias(f"__{c}") for c in rest])).schema[0].dataType))
+        held.append("__set0")
     first = F.try_element_at(F.array_sort(F.filter(F.array(*held), lambda x: x.isNotNull()), lambda a, b: F.when(a["__order"].isNull() & b["__order"].isNotNull(), 1).when(a["__order"].isNotNull() & b["__order"].isNull(), -1).when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).otherwise(a["__k"] - b["__k"])), F.lit(1))
-    t = t.withColumn("__first", first).drop(*held)
+    t = t.withColumn("__first", first).drop(*held[1:])
     t = t.withColumn("__i", F.row_number().over(W.partitionBy(*item_key).orderBy(F.col("__first")["__order"].asc_nulls_last()))).where("__i = 1")
     return t.select(*items.columns, *[F.col("__first")[f"__{c}"].alias(c) for c in rest])
 

@@ -245,6 +245,12 @@ def unpivot_columns(spark, sf):
     return rounded(A.unpivoted(wide, ["day"], {"贡献": "contribution", "收益": "return"}), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.FACTOR}, r AS (SELECT series, day, nav / lag(nav) OVER (PARTITION BY series ORDER BY day) - 1 AS ret FROM factor),
+p AS (SELECT x.series AS a, y.series AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y ON x.day = y.day WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT list(a ORDER BY a) AS names, list(c ORDER BY a) AS c, CAST(count(*) AS DOUBLE) AS n FROM (SELECT a, list(cov ORDER BY b) AS c FROM p GROUP BY a)),
+step(k, x) AS (SELECT 0, list_transform(c, lambda v, i: 1 / sqrt(n * v[i])) FROM m
+  UNION ALL SELECT k + 1, list_transform(x, lambda v, i: (v + (sqrt((list_dot_product(c[i], x) - c[i][i] * v) ** 2 + 4 * c[i][i] / n) - list_dot_product(c[i], x) + c[i][i] * v) / (2 * c[i][i])) / 2) FROM step, m WHERE k < 300),
+w AS (SELECT unnest(names) AS series, unnest(x) AS x, unnest(list_transform(c, lambda v, i: list_dot_product(v, x) * x[i])) AS risk FROM step, m WHERE k = 300)
+SELECT series, round(x / sum(x) OVER (), 6) AS weight, round(risk / sum(risk) OVER (), 6) AS risk_share FROM w""")
 def risk_parity(spark, sf):
     return rounded(_risk_parity(S.changes(V.factor(spark, sf))))

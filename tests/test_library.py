@@ -14,7 +14,7 @@ from tessera.operators import knowledge as K
 from tessera.operators import retrieval as R
 from tessera.operators import series as S
 from tessera.operators import text as X
-from tessera.operators.risk import parity_weights
+from tessera.operators.risk import parity_weights, risk_parity
 from tessera.sources import io
 from tessera.sources.keyed import KeyedTable
 from tessera.streaming import ingest
@@ -82,6 +82,44 @@ def test_risk_parity_shares():
     assert abs(w.sum() - 1) < 1e-12 and np.allclose(share, 1 / 3, atol=1e-9)
 
 
+def test_risk_parity_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    ret = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 12)) * 0.01 + rng.normal(size=(60, 12)) * 0.02
+    rows = [(d, f"s{k:02d}", float(ret[d, k])) for d in range(60) for k in range(12)] + [(d, "still", 0.5) for d in range(60)] + [(1, "once", 0.1), (2, "none", None)]
+    df = spark.createDataFrame(rows, "day int, series string, ret double")
+    want = parity_weights(np.cov(ret.T))
+    for block in (6, 100):
+        got = {r["series"]: r for r in risk_parity(df, block=block, tolerance=1e-9).collect()}
+        assert sorted(got) == [f"s{k:02d}" for k in range(12)]  # neither without variance nor with one day
+        assert np.allclose([got[f"s{k:02d}"]["weight"] for k in range(12)], want, atol=1e-8) and np.allclose([r["risk_share"] for r in got.values()], 1 / 12, atol=1e-8)
+    assert risk_parity(df.limit(0)).count() == 0
+
+
+def test_folds_and_numbers_of_groups(spark):
+    from tessera.operators.custom import grouped_fold, numbered
+
+    df = spark.range(5_000).select(F.when(F.col("id") % 10 > 2, "hot").when(F.col("id") % 10 == 1, "b").alias("k"), (F.col("id") * 7919 % 5_003).alias("v"))
+    got = numbered(df, ["k"], ["v"])
+    by: dict = {}
+    for r in got.collect():
+        by.setdefault(r["k"], []).append((r["number"], r["v"]))
+    assert sorted(map(len, by.values())) == [500, 1_000, 3_500] and None in by
+    for rows in by.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and [v for _, v in rows] == sorted(v for _, v in rows)
+    want = {r["k"]: (r["n"], r["s"]) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    fold = grouped_fold(df, ["k"], lambda g: {"n": len(g), "s": g["v"].sum()}, lambda g: {"n": g["n"].sum(), "s": g["s"].sum()}, "n long, s long")
+    assert {r["k"]: (r["n"], r["s"]) for r in fold.collect()} == want
+    assert grouped_fold(df.limit(0), ["k"], len, len, "n long").count() == 0 and numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_first_override_without_overrides(spark):
+    items = spark.createDataFrame([(1, "a"), (2, None)], "id int, kind string")
+    o = spark.createDataFrame([(None, "a", "x"), (2, "a", "y"), (9, None, "z")], "n int, kind string, note string")
+    held = lambda t: {r["id"]: r["note"] for r in J.first_override(items, t, ["kind"], "n", ["id"]).collect()}
+    assert held(o) == {1: "y", 2: "z"} and held(o.where("kind = 'a' AND n IS NULL")) == {1: "x", 2: None} and held(o.limit(0)) == {1: None, 2: None}
+
+
 def test_text(spark):
     assert value(spark, X.compacted(F.lit("a  b\n\n a b\nc\0\nc\nd"))) == "a b\nc\nd"
     assert value(spark, X.section(F.lit("# A\nx\n## B\ny\n# C\nz"), "## B")) == "y" and value(spark, X.section(F.lit("x"), "# A")) is None
