@@ -37,3 +37,12 @@ def test_repeated_boxes_overlap_as_single_ones(spark):
     got = G.overlaps(s)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert got.columns == ["page", "a", "b", "area"]
+
+
+def test_fragments_of_one_key_are_all_attached(spark):
+    generic = spark.range(1_000).select("id", F.lit("m").alias("manager"), F.expr("if(id % 10 = 0, NULL, 'f')").alias("family"))
+    real = spark.range(700).select(F.lit("m").alias("manager"), F.lit("f").alias("family"), F.concat(F.lit("p"), "id").alias("canonical_key"))
+    got = K.attached(generic, real, ["manager", "family"])
+    assert got.columns == ["manager", "family", "id", "target_key"] and got.count() == got.distinct().count() == 900 * 700
+    text = got._jdf.queryExecution().toString()
+    assert "collect_list" in text  # lists meet, not rows
