@@ -21,6 +21,13 @@ def parts(spark, tmp_path_factory):
     return d
 
 
+def test_rows_of_a_small_file_are_dealt(spark, parts):
+    for of in (V.profiles, V.products, V.notes):
+        t = of(spark, parts)
+        sizes = [r["n"] for r in t.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 25_000 and max(sizes) <= 12_000
+
+
 def test_lists_of_a_key_have_a_bound(spark):
     t = spark.range(3_000).select(F.lit("k").alias("k"), "id").unionByName(spark.range(3).select(F.lit(None).cast("string").alias("k"), "id"))
     d = J.dealt(t, ["k"], 100)
