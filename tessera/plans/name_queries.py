@@ -156,7 +156,7 @@ SELECT product_name, manager, candidate_id, candidate_name, score, place FROM (S
 def candidate_matches(spark, sf):
     p = V.products(spark, sf)
     c = p.where("id % 7 = 1").select(F.col("id").alias("candidate_id"), F.col("product_name").alias("candidate_name"), F.col("manager").alias("candidate_manager"))
-    return K.best_candidates(K.candidate_matches(p.where("id % 2 = 0").select("product_name", "manager").distinct(), c), 3)
+    return K.best_candidates(K.candidate_matches(p.where("id % 2 = 0").select("product_name", "manager").distinct(), K.first_alike(c, 3)), 3)
 
 
 _FOLDER = "CASE WHEN length(n) = 0 THEN 0 ELSE CASE WHEN f = n THEN 100 ELSE 0 END + CASE WHEN ends_with(f, '_' || n) OR ends_with(f, '-' || n) THEN 90 ELSE 0 END + CASE WHEN contains(f, n) THEN 70 ELSE 0 END + CAST(floor(20 * len(list_filter(cs, lambda x: contains(f, x))) / len(cs)) AS INTEGER) END"

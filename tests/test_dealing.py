@@ -53,3 +53,12 @@ def test_fragments_of_one_key_are_all_attached(spark):
     assert got.columns == ["manager", "family", "id", "target_key"] and got.count() == got.distinct().count() == 900 * 700
     text = got._jdf.queryExecution().toString()
     assert "collect_list" in text  # lists meet, not rows
+
+
+def test_first_of_alike_candidates_decide(spark):
+    left = spark.createDataFrame([("甲一号", "甲投资管理有限公司"), ("甲", "甲"), ("丙二号", "乙")], "product_name string, manager string")
+    c = spark.range(400).select(F.col("id").alias("candidate_id"), F.element_at(F.array(*[F.lit(x) for x in ("甲一号", "甲一号增强", "乙", "甲")]), F.expr("cast(1 + id % 4 as int)")).alias("candidate_name"), F.element_at(F.array(*[F.lit(x) for x in ("甲", "乙", "甲投资", None)]), F.expr("cast(1 + id div 4 % 4 as int)")).alias("candidate_manager"))
+    few = K.first_alike(c, 3)
+    assert few.count() == 48
+    rows = lambda t: sorted(map(tuple, K.best_candidates(K.candidate_matches(left, t), 3).collect()))
+    assert rows(few) == rows(c) and rows(c)
