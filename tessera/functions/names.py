@@ -220,16 +220,16 @@ def analyzed(df: DataFrame, product: str = "product_name", manager: str = "manag
     canonical = F.when((short != "") & has_family, F.concat(short, F.col("__family.label"))).when(has_family, F.col("__family.label")).otherwise(F.col("__clean"))
     t = t.withColumn("canonical_name", F.when(F.col("is_generic"), canonical).otherwise(F.col("__clean")))
     suspicious = ~F.col("is_generic") & plain & ~has_family & F.col("__stem").rlike(r"^[一-鿿]{2,3}$")
-    key = synonym_key(F.col("canonical_name"))
-    hit = F.try_element_at(F.filter("__aliases", lambda a: (synonym_key(a) != "") & key.startswith(synonym_key(a))), F.lit(1))
+    t = t.withColumn("__key", synonym_key(F.col("canonical_name"))).withColumn("__cuts", F.transform("__aliases", synonym_key))
+    key, hit = F.col("__key"), F.try_element_at(F.filter("__cuts", lambda a: (a != "") & F.col("__key").startswith(a)), F.lit(1))
     return t.withColumns({
         "family": F.col("__family.code"),
         "quality_status": F.when(F.col("is_generic"), "weak_line").when(suspicious, "needs_review").otherwise("confirmed"),
         "name_reason": F.coalesce("__generic", F.when(suspicious, "suspicious_short_name").otherwise("product_specific")),
         "entity_type": F.when(~F.col("is_generic"), "product").when(F.col("__own").rlike("(?:系列|系列产品)$"), "product_series").when(F.col("__generic") == "generic_product_tail", "generic_bucket").otherwise("strategy_line"),
         "entity_confidence": F.when(F.col("is_generic"), "low").when(suspicious, "medium").otherwise("high"),
-        "canonical_key": F.concat_ws("|", identity_key(F.col(manager)), F.when(F.col("is_generic"), "generic").otherwise("product"), F.coalesce(F.substr(key, F.length(synonym_key(hit)) + 1), key)),
-    }).drop("__clean", "__aliases", "__own", "__family", "__specific", "__stem", "__generic")
+        "canonical_key": F.concat_ws("|", identity_key(F.col(manager)), F.when(F.col("is_generic"), "generic").otherwise("product"), F.coalesce(F.substr(key, F.length(hit) + 1), key)),
+    }).drop("__clean", "__aliases", "__own", "__family", "__specific", "__stem", "__generic", "__key", "__cuts")
 
 
 def bigrams(c: Column) -> Column:
