@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import release, stored
+from tessera.session import release, spread, stored
 
 
 def swept(df: DataFrame, by: list[str], low: str, high: str, gap: float, name: str) -> DataFrame:
@@ -112,12 +112,13 @@ def closure(pairs: DataFrame, most_rounds: int = 1_000) -> DataFrame:
 def expanded(queries: DataFrame, closed: DataFrame, key: Column) -> DataFrame:
     """``query`` with every term of a closure that it names by ``key`` (a column of ``term``) and what these lead to.
 
-    Terms are found by equality of the query's substrings with the keys, so only terms that match are made.
+    Terms are found by equality of the query's substrings with the keys, so only terms that match are made. Substrings
+    are made of the lengths that keys have and aren't made distinct: what a query names twice goes with the last step.
     """
     terms = stored(closed.select("term").distinct().withColumn("key", key).where("key <> ''"), "terms")
-    longest = terms.agg(F.max(F.length("key"))).first()[0] or 0
-    q = queries.select("query").distinct().withColumn("n", F.length("query"))
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))
-    cut = q.select("query", "n", F.explode(starts).alias("at")).select("query", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1)), lambda k: F.substr("query", F.col("at"), k))).alias("key")).distinct() if longest else q.select("query", F.lit("").alias("key")).limit(0)
-    named = cut.join(terms, "key").select("query", "term").distinct()
+    sizes = [r["n"] for r in terms.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]
+    q = spread(stored(queries.select("query").where("query IS NOT NULL").distinct(), "queries"), "query")
+    starts = q.select("query", F.length("query").alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("query"), F.lit(1)))).alias("at"))
+    cut = starts.withColumn("k", F.explode(F.lit(sizes).cast("array<int>"))).where("at + k - 1 <= n").select("query", F.expr("substr(query, at, k)").alias("key"))
+    named = cut.join(terms, "key").select("query", "term")
     return named.select("query", F.col("term").alias("synonym")).unionByName(named.join(closed, "term").select("query", "synonym")).distinct()

@@ -62,3 +62,11 @@ def test_first_of_alike_candidates_decide(spark):
     assert few.count() == 48
     rows = lambda t: sorted(map(tuple, K.best_candidates(K.candidate_matches(left, t), 3).collect()))
     assert rows(few) == rows(c) and rows(c)
+
+
+def test_terms_are_found_wherever_they_stand(spark):
+    q = spark.createDataFrame([("abcab",), ("",), (None,), ("zab",), ("xyz",)], "query string")
+    closed = spark.createDataFrame([("AB", "s"), ("abc", "s"), ("Ab", "t"), ("", "u")], "term string, synonym string")
+    got = LY.expanded(q, closed, F.lower("term"))
+    assert sorted(map(tuple, got.collect())) == sorted([("abcab", x) for x in ("AB", "Ab", "abc", "s", "t")] + [("zab", x) for x in ("AB", "Ab", "s", "t")])
+    assert LY.expanded(q, closed.limit(0), F.lower("term")).count() == 0
