@@ -55,6 +55,18 @@ def test_fragments_of_one_key_are_all_attached(spark):
     assert "collect_list" in text  # lists meet, not rows
 
 
+def test_fragments_of_one_key_merge_as_a_fold(spark):
+    t = spark.range(2_000).select(F.expr("if(id % 3 = 0, NULL, 'k')").alias("k"), F.expr("id % 50").alias("o"), F.array(F.concat(F.lit("x"), F.col("id") * 7 % 31), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("y"), F.col("id") % 9)).alias("xs"), F.lit("t").alias("name"), F.lit("low").alias("c"))
+    t = t.unionByName(spark.sql("SELECT 'e' AS k, 1L AS o, CAST(NULL AS ARRAY<STRING>) AS xs, '' AS name, 'high' AS c"))
+    got = K.merged_fragments(t, ["k"], ["o"], ["name"], ["xs"], {"c": K.CONFIDENCE}, most=20)
+    assert got.columns == ["k", "name", "xs", "c", "fragments"]
+    for r in got.collect():
+        rows = sorted((x["o"], x["xs"] or [], x["o"]) for x in t.where(F.col("k").eqNullSafe(r["k"])).select("o", F.transform("xs", lambda v: F.coalesce(v, F.lit(""))).alias("xs")).collect())
+        assert r["xs"] == list(dict.fromkeys(v for _, xs, _ in rows for v in xs if v))[:20]
+    assert {r["k"]: r["fragments"] for r in got.collect()} == {"k": 1_333, None: 667, "e": 1}
+    assert "collect_list(struct(o" not in got._jdf.queryExecution().toString()
+
+
 def test_first_of_alike_candidates_decide(spark):
     left = spark.createDataFrame([("甲一号", "甲投资管理有限公司"), ("甲", "甲"), ("丙二号", "乙")], "product_name string, manager string")
     c = spark.range(400).select(F.col("id").alias("candidate_id"), F.element_at(F.array(*[F.lit(x) for x in ("甲一号", "甲一号增强", "乙", "甲")]), F.expr("cast(1 + id % 4 as int)")).alias("candidate_name"), F.element_at(F.array(*[F.lit(x) for x in ("甲", "乙", "甲投资", None)]), F.expr("cast(1 + id div 4 % 4 as int)")).alias("candidate_manager"))
