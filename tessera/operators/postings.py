@@ -26,6 +26,8 @@ from tessera.operators import retrieval as R
 from tessera.session import fresh_path, stored
 
 FOLDERS, CHUNK = 32, 8_192
+#: Profiles of a file of the index.
+ROWS = 10_000
 #: Candidates up to this number are named in the filter of the scan of profiles; more are joined.
 NAMED = 1_000
 #: Bits of the fields.
@@ -51,21 +53,24 @@ class Index:
 def build(profiles: DataFrame, id: str = "id", relations: DataFrame | None = None) -> Index:
     """Index of profiles whose ``id`` (a long) is unique; ``relations`` must hold all that searches will be given."""
     spark = profiles.sparkSession
-    whole = R.with_fields(R.with_defaults(profiles))
+    n = profiles.count()
+    whole = R.with_fields(R.with_defaults(profiles.repartitionByRange(-(-n // ROWS) or 1, id).sortWithinPartitions(id)))
     path = fresh_path(spark, "indexed-profiles")
-    whole.repartitionByRange(id).sortWithinPartitions(id).write.parquet(path)
+    whole.write.parquet(path)
     whole = spark.read.schema(whole.schema).parquet(path)
-    n = whole.count()
     pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(F.substr(F.col(c), i, F.lit(2)).alias("pair"), F.lit(BIT[c]).alias("bit")))
     found = F.concat(*[F.when(F.length(c) > 1, pairs(c)).otherwise(F.array().cast("array<struct<pair:string,bit:int>>")) for c in R.FIELDS])
     own = F.array(F.struct(F.concat(F.lit("\0"), F.col("manager_key")).alias("pair"), F.lit(0).alias("bit")))
     searched = whole if relations is None else R.with_fields(whole.drop(*R.FIELDS), relations)
-    rows = searched.withColumn("manager_key", identity_key(F.col("manager"))).select(F.col(id).alias("id"), R.base_score().alias("base"), F.explode(F.concat(found, own)).alias("x"))
-    rows = rows.groupBy("x.pair", "id").agg(F.bit_or("x.bit").alias("fields"), F.first("base").alias("base"))
-    lists = rows.groupBy("pair", F.pmod(F.xxhash64("id"), F.lit(1 + n // CHUNK)).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", "fields", "base"))).alias("entries"))
-    lists = lists.withColumn("folder", folder("pair"))
+    # profiles are dealt by chunk before they are taken to pairs, and both groupings are by chunk too: pairs are never shuffled
+    chunks = 1 + n // CHUNK
+    searched = searched.withColumn("chunk", F.pmod(F.xxhash64(id), F.lit(chunks))).repartition(-(-chunks // 2), "chunk")
+    rows = searched.withColumn("manager_key", identity_key(F.col("manager"))).select("chunk", F.col(id).alias("id"), R.base_score().alias("base"), F.explode(F.concat(found, own)).alias("x"))
+    rows = rows.select("chunk", "x.pair", "id", "x.bit", "base").groupBy("chunk", "pair", "id").agg(F.bit_or("bit").alias("fields"), F.first("base").alias("base"))
+    lists = rows.groupBy("chunk", "pair").agg(F.sort_array(F.collect_list(F.struct("id", "fields", "base"))).alias("entries"))
+    lists = lists.select("pair", "chunk", "entries", folder("pair").alias("folder"))
     path = fresh_path(spark, "postings")
-    lists.repartition("folder").sortWithinPartitions("folder", "pair", "chunk").write.partitionBy("folder").parquet(path)
+    lists.sortWithinPartitions("folder", "pair", "chunk").write.partitionBy("folder").parquet(path)
     schema = lists.schema
     return Index(whole, spark.read.schema(schema).parquet(path), stored(recognition.name_keys(whole), "names"), id)
 

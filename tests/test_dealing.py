@@ -82,3 +82,16 @@ def test_terms_are_found_wherever_they_stand(spark):
     got = LY.expanded(q, closed, F.lower("term"))
     assert sorted(map(tuple, got.collect())) == sorted([("abcab", x) for x in ("AB", "Ab", "abc", "s", "t")] + [("zab", x) for x in ("AB", "Ab", "s", "t")])
     assert LY.expanded(q, closed.limit(0), F.lower("term")).count() == 0
+
+
+def test_index_of_many_chunks(spark, profiles, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(postings, "CHUNK", 1)
+    monkeypatch.setattr(postings, "ROWS", 2)
+    t = profiles.withColumn("id", F.monotonically_increasing_id())
+    index = postings.build(t)
+    assert len(index.profiles.inputFiles()) > 1  # readers get work for several tasks
+    files = index.postings.select(F.input_file_name().alias("f"), "chunk").distinct().groupBy("chunk").agg(F.count_distinct(F.regexp_extract("f", r"part-(\d+)", 1)).alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1  # a chunk is one task's, from its profiles to its lists
+    asked = "哪些管理人有期货策略？"
+    rows = lambda d: sorted(map(tuple, d.select("rank", "product_name", "score").collect()))
+    assert rows(R.search(index.profiles, asked, 10, index=index)) == rows(R.search(profiles, asked, 10))
