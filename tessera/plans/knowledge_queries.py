@@ -96,7 +96,7 @@ q AS (SELECT item_id, kind, manager, product_name, severity, CASE WHEN substr(it
 
 
 def _queue(spark, sf):
-    issues = _issues(spark, sf)
+    issues = stored(_issues(spark, sf), "issues")  # read twice
     old = K.review_queue(issues, spark.createDataFrame([], "item_id string, created_at string, status string"), _no_overrides(spark), F.lit("2023-01-01")).where("substr(item_id, 1, 1) < '4'").select("item_id", "created_at", F.lit("in_review").alias("status"))
     overrides = spark.createDataFrame([("low_entity_confidence", None, None, "suppressed", 1), (None, "灵均投资", None, "accepted", 2), ("missing_sources", "衍复私募", None, "open", 3)], "kind string, manager string, product_name string, status string, priority int")
     return K.review_queue(issues, old, overrides, F.lit("2024-02-01")).drop("detail")
