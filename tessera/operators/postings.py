@@ -64,7 +64,7 @@ def build(profiles: DataFrame, id: str = "id", relations: DataFrame | None = Non
     searched = whole if relations is None else R.with_fields(whole.drop(*R.FIELDS), relations)
     # profiles are dealt by chunk before they are taken to pairs, and both groupings are by chunk too: pairs are never shuffled
     chunks = 1 + n // CHUNK
-    searched = searched.withColumn("chunk", F.pmod(F.xxhash64(id), F.lit(chunks))).repartition(-(-chunks // 2), "chunk")
+    searched = searched.withColumn("chunk", F.pmod(F.xxhash64(id), F.lit(chunks))).repartitionByRange(max(min(chunks, 64), -(-chunks // 2)), "chunk")
     rows = searched.withColumn("manager_key", identity_key(F.col("manager"))).select("chunk", F.col(id).alias("id"), R.base_score().alias("base"), F.explode(F.concat(found, own)).alias("x"))
     rows = rows.select("chunk", "x.pair", "id", "x.bit", "base").groupBy("chunk", "pair", "id").agg(F.bit_or("bit").alias("fields"), F.first("base").alias("base"))
     lists = rows.groupBy("chunk", "pair").agg(F.sort_array(F.collect_list(F.struct("id", "fields", "base"))).alias("entries"))
