@@ -9,6 +9,7 @@ from tessera.operators import knowledge as K
 from tessera.operators import layout as LY
 from tessera.operators import postings
 from tessera.operators import retrieval as R
+from tessera.plans import check_queries as C
 from tessera.plans import knowledge_views as V
 from tests.test_library import profiles  # noqa: F401
 
@@ -55,6 +56,23 @@ def test_fragments_of_one_key_are_all_attached(spark):
     assert "collect_list" in text  # lists meet, not rows
 
 
+def test_a_list_is_taken_to_rows_before_it_meets_the_next(spark):
+    t = spark.range(700).select(F.expr("id % 3").alias("k"), "id")
+    got = J.every_pair(t.select("k").distinct(), J.dealt(t, ["k"], 50), J.dealt(t, ["k"], 50), ["k"], ["k"]).select("l.id", F.col("r.id").alias("other"))
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(700) for b in range(700) if a % 3 == b % 3]
+    last = got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert last.count("Generate explode") == 1  # not the product of two lists from one row
+
+
+def test_attached_profiles_are_worked_out_once(spark, parts):
+    got = C.group_attach(spark, parts)
+    assert "part.parquet" not in "".join(got.inputFiles()) and "repartition" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    keys = lambda t: sorted(map(tuple, t.groupBy("manager", "family").agg(F.count(F.lit(1)), F.count_distinct("id"), F.count_distinct("target_key")).collect()))
+    p = V.profiles(spark, parts).select("id", "manager", F.col("primary_tag").alias("family"), "product_name")
+    plain = p.where("id % 6 = 0").drop("product_name").join(p.where("id % 36 BETWEEN 1 AND 3").select("manager", "family", F.col("product_name").alias("target_key")).distinct(), ["manager", "family"])
+    assert keys(got) == keys(plain) and len(keys(got)) == 5
+
+
 def test_fragments_of_one_key_merge_as_a_fold(spark):
     t = spark.range(2_000).select(F.expr("if(id % 3 = 0, NULL, 'k')").alias("k"), F.expr("id % 50").alias("o"), F.array(F.concat(F.lit("x"), F.col("id") * 7 % 31), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("y"), F.col("id") % 9)).alias("xs"), F.lit("t").alias("name"), F.lit("low").alias("c"))
     t = t.unionByName(spark.sql("SELECT 'e' AS k, 1L AS o, CAST(NULL AS ARRAY<STRING>) AS xs, '' AS name, 'high' AS c"))
