@@ -73,6 +73,15 @@ def test_attached_profiles_are_worked_out_once(spark, parts):
     assert keys(got) == keys(plain) and len(keys(got)) == 5
 
 
+def test_attached_rows_are_dealt_by_their_number(spark):
+    generic = spark.range(300).select("id", F.expr("if(id % 400 < 399, 'm', 'n')").alias("manager"))
+    real = spark.range(20_000).select(F.expr("if(id % 400 < 399, 'm', 'n')").alias("manager"), F.concat(F.lit("p"), "id").alias("canonical_key"))
+    got = K.attached(generic, real, ["manager"], rows=100_000)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 300 * 19_950 and got.rdd.getNumPartitions() == 60 and max(sizes) < 1_000_000
+    assert K.attached(generic.where("id < 0"), real, ["manager"]).count() == 0
+
+
 def test_fragments_of_one_key_merge_as_a_fold(spark):
     t = spark.range(2_000).select(F.expr("if(id % 3 = 0, NULL, 'k')").alias("k"), F.expr("id % 50").alias("o"), F.array(F.concat(F.lit("x"), F.col("id") * 7 % 31), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("y"), F.col("id") % 9)).alias("xs"), F.lit("t").alias("name"), F.lit("low").alias("c"))
     t = t.unionByName(spark.sql("SELECT 'e' AS k, 1L AS o, CAST(NULL AS ARRAY<STRING>) AS xs, '' AS name, 'high' AS c"))
